@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -149,15 +150,11 @@ class WordTable:
             words = self.split(text)
             parts.append(np.fromiter(map(get, words), np.int32, len(words)))
         if len(self.ids) > known:
-            self.new(list(self.ids)[known:] if known * 4 < len(self.ids) else _last(self.ids, len(self.ids) - known))
+            self.new(last_keys(self.ids, len(self.ids) - known))
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), lengths
 
 
-def _last(d: dict, n: int) -> list:
-    out = []
-    for key in reversed(d):
-        out.append(key)
-        if len(out) == n:
-            break
-    return out[::-1]
+def last_keys(d: dict, n: int) -> list:
+    """The n keys that came last, in order."""
+    return list(islice(reversed(d), n))[::-1]

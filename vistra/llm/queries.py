@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, sentencepieces
+from . import language_id, maxent, mixing, secrets, sentencepieces, simhash, token_records, url_filters
 
 
 def piece_vocabulary() -> str:
@@ -29,16 +30,47 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs, piece_vocabulary()))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return maxent.score(docs, *maxent.fit(docs))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(_table(spark, sf_dir, "documents"), piece_vocabulary())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.read(token_records.write(_table(spark, sf_dir, "documents"), word_vocabulary()))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_url_filter": op2_url_filter,
+        "op3_lm_score": op3_lm_score,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_simhash": op5_simhash,
+        "op6_mixture": op6_mixture,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_token_records": op10_token_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filters.ORACLE, "op6_mixture": mixing.ORACLE}
