@@ -130,7 +130,7 @@ def apply_mixture(docs: DataFrame) -> DataFrame:
 
 #: The same mix in SQL: the running sums are taken over single hashes.
 ORACLE = f"""
-WITH RECURSIVE docs AS (
+WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size,
          coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 9))::BIGINT, 0) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM docs GROUP BY source),
@@ -139,7 +139,7 @@ w AS (SELECT source, n, (k % 3 + 1)::DOUBLE AS weight FROM src),
 r AS (SELECT *, {MOST} * n / weight AS ratio FROM w),
 o AS (SELECT *, coalesce(sum({MOST} * n) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped,
   sum(weight) OVER (ORDER BY ratio DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS open_weight, sum(n) OVER () AS total FROM r),
-lam AS (SELECT coalesce(min(CASE WHEN (total - capped) / open_weight <= ratio THEN (total - capped) / open_weight END), max(ratio)) AS l FROM o),
+lam AS (SELECT arg_min((total - capped) / open_weight, ratio) AS l FROM o WHERE (total - capped) / open_weight <= ratio),
 t AS (SELECT source, n AS source_size, least({MOST} * n, l * weight)::DOUBLE AS target FROM r, lam),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {MOST})::BIGINT ELSE 0 END AS whole FROM t),
 v AS (SELECT *, CASE WHEN source_size > 0 AND whole < {MOST} THEN target - whole * source_size ELSE 0 END AS rest FROM u),
