@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, maxent, mixing, secrets, sentencepieces, simhash, token_records, url_filters
+from . import language_id, maxent, mixing, secrets, sentencepieces, simhash, token_records, url_filters, vector_dedup
 
 
 def piece_vocabulary() -> str:
@@ -51,6 +51,10 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_simhash": op5_simhash,
         "op6_mixture": op6_mixture,
+        "op7_vector_dedup": op7_vector_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_records": op10_token_records,
     }
