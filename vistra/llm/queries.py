@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, maxent, mixing, secrets, sentencepieces, simhash, token_records, url_filters, vector_dedup
+from . import language_id, maxent, media_chunks, mixing, secrets, sentencepieces, simhash, token_records, url_filters, vector_dedup
 
 
 def piece_vocabulary() -> str:
@@ -55,6 +55,10 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op5_simhash": op5_simhash,
         "op6_mixture": op6_mixture,
         "op7_vector_dedup": op7_vector_dedup,
+        "op8_media": op8_media,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_records": op10_token_records,
     }
