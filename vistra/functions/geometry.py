@@ -12,6 +12,10 @@ def box(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(prefix + s) for s in SIDES)
 
 
+def length(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def center(b) -> tuple[Column, Column]:
     return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
 
@@ -53,12 +57,12 @@ def iou_eps(a, b) -> Column:
 def edge_gap(a, b) -> Column:
     dx = F.greatest(a[0] - b[2], b[0] - a[2], F.lit(0.0))
     dy = F.greatest(a[1] - b[3], b[1] - a[3], F.lit(0.0))
-    return F.hypot(dx, dy)
+    return length(dx, dy)
 
 
 def center_distance(a, b) -> Column:
     (ax, ay), (bx, by) = center(a), center(b)
-    return F.hypot(ax - bx, ay - by)
+    return length(ax - bx, ay - by)
 
 
 def center_distance_scaled(a, b) -> Column:
