@@ -87,3 +87,31 @@ def event_sample(rows: DataFrame, most: int = 8, burst: int = 5) -> DataFrame:
     even = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.element_at("frames", place(i)))
     pick = F.array_sort(F.slice(F.array_distinct(F.concat(near, even)), 1, F.least(F.lit(most), n)))
     return rows.withColumn("sample", F.when(n > 0, pick).otherwise(F.array().cast("array<int>")))
+
+
+def packets(features: DataFrame, routed: DataFrame) -> DataFrame:
+    """One nested row for each direction: its evidence, candidates in order, and the frames to show."""
+    names = routed.groupBy(*PACKET).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("candidates"))
+    return event_sample(features).join(names, list(PACKET))
+
+
+def pair_batches(visible: DataFrame, size: int = 6) -> DataFrame:
+    """Windows of the same pair in chunks of ``size``, in order."""
+    order = Window.partitionBy("video_id", "a", "b").orderBy("window_id")
+    return visible.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+
+
+def crop_boxes(pairs: DataFrame, width: int, height: int, share: float = 0.4) -> DataFrame:
+    """The pixels about both boxes, with ``share`` of their extent on each side, inside the frame."""
+    s, o = g.box("s_"), g.box("o_")
+    x1, y1, x2, y2 = F.least(s[0], o[0]), F.least(s[1], o[1]), F.greatest(s[2], o[2]), F.greatest(s[3], o[3])
+    w, h = F.greatest(F.lit(1.0), x2 - x1), F.greatest(F.lit(1.0), y2 - y1)
+    low = lambda v: F.greatest(F.lit(0), v.cast("int"))
+    return pairs.select("video_id", "frame", "a", "b", low(x1 - share * w).alias("left_x"), low(y1 - share * h).alias("top_y"), F.least(F.lit(width), (x2 + share * w).cast("int")).alias("right_x"), F.least(F.lit(height), (y2 + share * h).cast("int")).alias("bottom_y"))
+
+
+def annotatable(pairs: DataFrame, least: int = 30) -> DataFrame:
+    """Ordered pairs with at least ``least`` common frames."""
+    n = pairs.groupBy("video_id", "a", "b").agg(F.count(F.lit(1)).alias("common_frames")).where(F.col("common_frames") >= least)
+    both = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))
+    return n.select("video_id", F.explode(both).alias("d"), "common_frames").select("video_id", F.col("d.s").alias("subject_id"), F.col("d.o").alias("object_id"), "common_frames")

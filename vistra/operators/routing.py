@@ -82,7 +82,7 @@ def route(ranked: DataFrame, siblings: DataFrame, most: int = 14) -> DataFrame:
     first = best.groupBy(*PACKET, "name").agg(F.min(F.col("family_rank") * 10 + F.col("n")).alias("k"))
     chosen = first.select(*PACKET, "name", F.struct(F.lit(1).alias("stage"), F.col("k").cast("int").alias("a"), F.lit(0).alias("b")).alias("o"))
     theirs = first.join(F.broadcast(siblings), "name").select(*PACKET, F.col("sibling").alias("name"), F.struct(F.lit(2).alias("stage"), F.col("k").cast("int").alias("a"), F.col("ord").alias("b")).alias("o"))
-    theirs = theirs.join(F.broadcast(ranked.select("name").distinct()), "name", "left_semi").select(*PACKET, "name", "o")
+    theirs = theirs.join(ranked.select(*PACKET, "name"), [*PACKET, "name"], "left_semi")
     rest = ranked.where("eligible").select(*PACKET, "name", F.struct(F.lit(3).alias("stage"), F.col("rank").alias("a"), F.lit(0).alias("b")).alias("o"))
     once = chosen.unionByName(theirs).unionByName(rest).groupBy(*PACKET, "name").agg(F.min("o").alias("o"))
     out = once.withColumn("ord", F.row_number().over(Window.partitionBy(*PACKET).orderBy("o")))
@@ -97,12 +97,11 @@ def neighbor_families(chosen: DataFrame, neighbors: DataFrame, *keys: str) -> Da
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("o")) - 1).drop("o")
 
 
-def expand(routed: DataFrame, ranked: DataFrame, members: DataFrame, requests: DataFrame, neighbors: DataFrame, most: int = 24) -> DataFrame:
-    """The route with all ranked predicates of the requested families added, as far as those neighbour the three best; at most ``most``.
+def expand(routed: DataFrame, ranked: DataFrame, members: DataFrame, requests: DataFrame, neighbors: DataFrame, *, best: DataFrame, most: int = 24) -> DataFrame:
+    """The route with all ranked predicates of the requested families added, as far as those neighbour the best ones; at most ``most``.
 
-    ``requests``: the direction and a family.
+    ``requests``: the direction and a family; ``best``: the direction, its best families and their places k.
     """
-    best = ranked_families_of(ranked, members)
     open_ = neighbor_families(best, neighbors, *PACKET).select(*PACKET, F.col("neighbor").alias("family"))
     granted = requests.join(open_, [*PACKET, "family"], "left_semi")
     wanted = granted.join(F.broadcast(members), "family").select(*PACKET, "name").distinct()
@@ -111,9 +110,3 @@ def expand(routed: DataFrame, ranked: DataFrame, members: DataFrame, requests: D
     once = base.unionByName(more).groupBy(*PACKET, "name").agg(F.min("o").alias("o"))
     out = once.withColumn("ord", F.row_number().over(Window.partitionBy(*PACKET).orderBy("o")))
     return out.where(F.col("ord") <= most).select(*PACKET, "name", "ord")
-
-
-def ranked_families_of(ranked: DataFrame, members: DataFrame) -> DataFrame:
-    """The three best families of each direction (family, k), from what the ranking has kept of them."""
-    one = ranked.join(F.broadcast(members.groupBy("name").agg(F.collect_list("family").alias("f"), F.count(F.lit(1)).alias("c")).where("c = 1")), "name")
-    return one.select(*PACKET, F.element_at("f", 1).alias("family"), F.element_at("ranks", 1).alias("k")).where("k <= 3").distinct()
