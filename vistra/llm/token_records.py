@@ -13,6 +13,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,20 +22,23 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, Pool, WordTable, last_keys, new_path, segment_sums, slices, text_bytes
+from .common import Ids, Pool, WordTable, last_keys, new_path, ranges, segment_sums, slices, text_bytes
 
 #: Fixed values of CRC-32C (reflected polynomial) and of the mask that record files use.
 CASTAGNOLI = 0x82F63B78
 MASK_ADD = 0xA282EAD8
 
-#: Bytes of a checksum that one table row covers.
-BLOCK = 2048
+#: Bytes of a block whose checksum is put together from table rows.
+BLOCK = 64
+#: Records whose checksums are computed together, in bytes.
+BATCH_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 END_ID = 2
 
 
+@lru_cache(maxsize=1)
 def _tables() -> np.ndarray:
-    """``t[k][b]``: what byte b does to the checksum when k bytes follow it."""
+    """``t[k][b]``: what byte b does to the checksum when k bytes of its block follow it."""
     crc = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         crc = np.where(crc & 1, (crc >> 1) ^ np.uint32(CASTAGNOLI), crc >> 1)
@@ -45,37 +49,54 @@ def _tables() -> np.ndarray:
     return out
 
 
-_T: np.ndarray | None = None
-#: How many bytes follow each byte of a full block.
-_AFTER = np.arange(BLOCK - 1, -1, -1)
-
-
-def crc32c(data: bytes) -> int:
-    """CRC-32C; the sum is linear, so each block of bytes is one gather and one exclusive-or over it."""
-    global _T
-    if _T is None:
-        _T = _tables()
-    state, raw = 0xFFFFFFFF, np.frombuffer(data, np.uint8)
-    for a in range(0, len(raw), BLOCK):
-        part = raw[a : a + BLOCK]
-        n = len(part)
-        if n >= 4:
-            head = part[:4] ^ np.frombuffer(struct.pack("<I", state), np.uint8)
-            state = int(np.bitwise_xor.reduce(_T[_AFTER[BLOCK - n : BLOCK - n + 4], head]))
-            state ^= int(np.bitwise_xor.reduce(_T[_AFTER[BLOCK - n + 4 :], part[4:]])) if n > 4 else 0
-        else:
-            for b in part.tolist():
-                state = (state >> 8) ^ int(_T[0][(state ^ b) & 0xFF])
-    return state ^ 0xFFFFFFFF
+@lru_cache(maxsize=32)
+def _shift(level: int) -> np.ndarray:
+    """Four tables that move a checksum over ``BLOCK * 2**level`` zero bytes."""
+    if not level:
+        return np.stack([_tables()[BLOCK - 1 - i] for i in range(4)])
+    once = _shift(level - 1)
+    return np.stack([_moved(row, once) for row in once])
+
 
+def _moved(crc: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    return shift[0][crc & 0xFF] ^ shift[1][crc >> 8 & 0xFF] ^ shift[2][crc >> 16 & 0xFF] ^ shift[3][crc >> 24]
 
-def masked(crc: int) -> int:
-    return (((crc >> 15) | (crc << 17)) + MASK_ADD) & 0xFFFFFFFF
 
+def crc32c(parts: list[bytes]) -> np.ndarray:
+    """CRC-32C of each part, of four bytes or more.
 
-def frame(data: bytes) -> bytes:
-    size = struct.pack("<Q", len(data))
-    return size + struct.pack("<I", masked(crc32c(size))) + data + struct.pack("<I", masked(crc32c(data)))
+    The checksum is linear and zero bytes in front do not change it, so the parts are filled up to whole blocks, all blocks
+    are looked up side by side, and neighbours are joined in rounds.
+    """
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    n = -(-sizes // BLOCK)
+    data = bytearray().join([x for p, pad in zip(parts, (n * BLOCK - sizes).tolist(), strict=True) for x in (bytes(pad), p)])
+    raw = np.frombuffer(data, np.uint8)
+    raw[(np.cumsum(n) * BLOCK - sizes)[:, None] + np.arange(4)] ^= 0xFF
+    columns, table = np.ascontiguousarray(raw.reshape(-1, BLOCK).T), _tables()
+    crc = np.zeros(columns.shape[1], np.uint32)
+    for j in range(BLOCK):
+        crc ^= table[BLOCK - 1 - j][columns[j]]
+    level = 0
+    while len(crc) > len(parts):
+        odd, half = n % 2, (n + 1) // 2
+        i = ranges(np.zeros(len(n), np.int64), half)
+        low = np.repeat(np.cumsum(n) - n + 1 - odd, half) + 2 * i
+        alone = (i == 0) & np.repeat(odd == 1, half)
+        high = np.where(alone, 0, crc[low - 1]).astype(np.uint32)
+        crc, n, level = _moved(high, _shift(level)) ^ crc[low], half, level + 1
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
+def masked(crc: np.ndarray) -> list[int]:
+    wide = crc.astype(np.uint64)
+    return (((wide >> np.uint64(15) | wide << np.uint64(17)) + np.uint64(MASK_ADD)) & np.uint64(0xFFFFFFFF)).tolist()
+
+
+def frames(records: list[bytes]) -> list[bytes]:
+    sizes = [struct.pack("<Q", len(r)) for r in records]
+    both = zip(sizes, masked(crc32c(sizes)), records, masked(crc32c(records)), strict=True) if records else ()
+    return [size + struct.pack("<I", a) + data + struct.pack("<I", b) for size, a, data, b in both]
 
 
 def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
@@ -88,16 +109,24 @@ def parse(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if doc_id == NULL_ID else doc_id, np.frombuffer(data, f"<u{width}", n, 13).astype("<u4")
 
 
-def read_records(stream):
-    """The data of each record of an open file, checksums verified."""
-    while head := stream.read(12):
-        size, crc = struct.unpack("<QI", head)
-        if masked(crc32c(head[:8])) != crc:
-            raise ValueError("a record's length is damaged")
-        data = stream.read(size)
-        if masked(crc32c(data)) != struct.unpack("<I", stream.read(4))[0]:
-            raise ValueError("a record's data is damaged")
-        yield data
+def read_records(stream, most: int | None = None):
+    """The data of each record of an open file from where it stands, at most ``most`` records, checksums verified."""
+    batch, held, left = [], 0, most
+    while left is None or left > 0:
+        head = stream.read(12)
+        if head:
+            size, a = struct.unpack("<QI", head)
+            data = stream.read(size)
+            batch.append((head[:8], a, data, struct.unpack("<I", stream.read(4))[0]))
+            held, left = held + size, left and left - 1
+        if batch and (not head or held > BATCH_BYTES or left == 0):
+            sizes, a, datas, b = map(list, zip(*batch, strict=True))
+            if masked(crc32c(sizes)) != a or masked(crc32c(datas)) != b:
+                raise ValueError("a record is damaged")
+            yield from datas
+            batch, held = [], 0
+        if not head:
+            return
 
 
 def read_at(path: str, number: int) -> tuple[int | None, np.ndarray]:
@@ -108,7 +137,15 @@ def read_at(path: str, number: int) -> tuple[int | None, np.ndarray]:
         offset, _ = struct.unpack("<QQ", index.read(16))
     with store.open_input_file(name) as stream:
         stream.seek(offset)
-        return parse(next(read_records(stream)))
+        return parse(next(read_records(stream, 1)))
+
+
+def _letters(word: bytes) -> bool:
+    """Letters only, and still so in lower case (a few capitals turn into a letter and a mark)."""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and text.lower().isalpha() and "\ufffd" not in text
 
 
 class WordEncoder:
@@ -119,13 +156,16 @@ class WordEncoder:
     hold the opening of a special token are encoded whole.
     """
 
-    _AFTER_WORD = ".,!?;:&|()[]{}*#=+/<>\""
+    _AFTER_WORD = b".,!?;:&|()[]{}*#=+/<>\""
 
-    def __init__(self, tokenizer_file: str, limit: int = 500_000):
+    def __init__(self, tokenizer_file: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.table = WordTable(lambda t: t.lower().split(), self._new, self._reset, limit)
         self._reset()
 
@@ -134,23 +174,43 @@ class WordEncoder:
 
     def _new(self, words: list[bytes]) -> None:
         """A word of letters with punctuation after it has the ids of both, one after the other."""
-        known, number, rows, double = len(self.parts), self.parts.__getitem__, [], []
+        known, number, rows, double, after = len(self.parts), self.parts.__getitem__, [], [], self._AFTER_WORD
         for word in words:
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(self._AFTER_WORD)
-            if core is not text and len(core) < len(text) and core.isalpha():
+            core = word.rstrip(after)
+            if len(core) < len(word) and (core.isalpha() or _letters(core)):
                 rows.append(number(core))
-                rows.append(number(text[len(core) :]))
+                rows.append(number(word[len(core) :]))
                 double.append(2)
             else:
-                rows.append(number(text))
+                rows.append(number(word))
                 double.append(1)
-        found = self.tokenizer.encode_batch_fast(last_keys(self.parts, len(self.parts) - known), add_special_tokens=False)
-        found = [e.ids for e in found]
-        self.part_ids.add(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        self.part_ids.add(*self._encode_parts(last_keys(self.parts, len(self.parts) - known)))
         flat, sizes = self.part_ids.take(np.array(rows))
         self.pool.add(flat, segment_sums(sizes, np.array(double)))
 
+    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each part.  Words of letters are encoded side by side in one text: each ends in an id of a word's end, and in one only."""
+        plain = np.fromiter((p.isalpha() or _letters(p) for p in parts), bool, len(parts))
+        words = [p for p, x in zip(parts, plain, strict=True) if x]
+        flat, stops = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if words:
+            texts = [b" ".join(words[a : a + 1000]).decode() for a in range(0, len(words), 1000)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            stops = np.flatnonzero(self.ends[flat]) + 1
+            if len(stops) != len(words):
+                plain[:] = False
+        others = [p.decode("utf-8", "replace") for p, x in zip(parts, plain, strict=True) if not x]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        sizes, starts = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        if plain.any():
+            sizes[plain], starts[plain] = np.diff(stops, prepend=0), np.r_[0, stops[:-1]]
+        else:
+            flat = flat[:0]
+        sizes[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        starts[~plain] = len(flat) + np.cumsum(sizes[~plain]) - sizes[~plain]
+        pool = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.uint32)])
+        return pool[ranges(starts, sizes)], sizes
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each."""
         whole = {i: np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if b"<|" in t}
@@ -165,6 +225,12 @@ class WordEncoder:
         return ids, counts
 
 
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process, so that known words stay known."""
+    return WordEncoder(tokenizer_file)
+
+
 def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> DataFrame:
     """Encode every whole text, append the end id, and write record files in ascending doc_id order.
 
@@ -185,20 +251,20 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> Da
         for batch in batches:
             for part in slices(batch, "text"):
                 if stream is None:
-                    encoder, number = WordEncoder(tokenizer_file), part.column("part")[0].as_py()
+                    encoder, number = word_encoder(tokenizer_file), part.column("part")[0].as_py()
                     store, root = fs.FileSystem.from_uri(folder)
                     store.create_dir(root, recursive=True)
                     name = f"part-{number:06d}-{uuid.uuid4().hex}.records"
                     stream, index = store.open_output_stream(f"{root}/{name}"), store.open_output_stream(f"{root}/{name[:-8]}.index")
                 ids, sizes = encoder.encode(text_bytes(part.column("text")).to_pylist())
-                stops, out, places = np.cumsum(sizes), [], []
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), (stops - sizes).tolist(), stops.tolist(), strict=True):
-                    record = frame(serialize(doc_id, np.append(ids[a:b], np.uint32(END_ID))))
-                    out.append(record)
-                    places += [at, len(record)]
-                    at += len(record)
+                stops = np.cumsum(sizes)
+                rows = zip(part.column("doc_id").to_pylist(), (stops - sizes).tolist(), stops.tolist(), strict=True)
+                out = frames([serialize(doc_id, np.append(ids[a:b], np.uint32(END_ID))) for doc_id, a, b in rows])
+                ends = at + np.cumsum([len(r) for r in out])
+                places = np.stack([np.r_[at, ends[:-1]], np.diff(np.r_[at, ends])], 1)
+                at = int(ends[-1])
                 stream.write(b"".join(out))
-                index.write(np.array(places, "<u8").tobytes())
+                index.write(places.astype("<u8").tobytes())
                 n_docs, n_ids = n_docs + len(sizes), n_ids + int(sizes.sum()) + len(sizes)
         if stream is not None:
             stream.close()
