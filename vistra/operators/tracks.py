@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from vistra.functions import geometry as g
 
 KEYS = ("video_id", "track_id")
-ORDER = Window.partitionBy(*KEYS).orderBy("frame")
+
+
+def by_frame():
+    """A track's rows in order."""
+    return Window.partitionBy(*KEYS).orderBy("frame")
 
 
 def main_class(rows: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def recent_class_vote(rows: DataFrame, window: int = 12) -> DataFrame:
 
     A null score weighs 1; ``unknown`` has no vote; of equal classes the one first seen in the window wins.
     """
-    seen = F.collect_list(F.struct("class_name", F.coalesce("score", F.lit(1.0)).alias("w"))).over(ORDER.rowsBetween(1 - window, 0))
+    seen = F.collect_list(F.struct("class_name", F.coalesce("score", F.lit(1.0)).alias("w"))).over(by_frame().rowsBetween(1 - window, 0))
     votes = F.filter(seen, lambda v: v["class_name"] != "unknown")
     names = F.array_distinct(F.transform("votes", lambda v: v["class_name"]))
     total = lambda name: F.aggregate(F.filter("votes", lambda v: v["class_name"] == name), F.lit(0.0), lambda s, v: s + v["w"])
@@ -36,9 +40,9 @@ def kinematics(rows: DataFrame) -> DataFrame:
     """Running confidence, hits, path length and speed of each track at each of its rows."""
     cx, cy = g.center(g.box())
     moved = rows.withColumns({"cx": cx, "cy": cy})
-    step = F.hypot(F.col("cx") - F.lag("cx").over(ORDER), F.col("cy") - F.lag("cy").over(ORDER))
+    step = F.hypot(F.col("cx") - F.lag("cx").over(by_frame()), F.col("cy") - F.lag("cy").over(by_frame()))
     moved = moved.withColumn("step", F.coalesce(step, F.lit(0.0)))
-    upto = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_frame().rowsBetween(Window.unboundedPreceding, 0)
     duration = F.col("frame") - F.min("frame").over(upto) + 1
     out = moved.withColumns({"confidence": F.avg("score").over(upto), "hits": F.count(F.lit(1)).over(upto), "duration_frames": duration, "total_distance": F.sum("step").over(upto)})
     return out.withColumn("avg_speed", F.col("total_distance") / F.col("duration_frames")).drop("cx", "cy", "step")
@@ -46,8 +50,8 @@ def kinematics(rows: DataFrame) -> DataFrame:
 
 def velocity(rows: DataFrame) -> DataFrame:
     """Each row's box velocity since the row before, per frame, null for a track's first."""
-    dt = F.col("frame") - F.lag("frame").over(ORDER)
-    return rows.withColumns({f"v_{s}": (F.col(s) - F.lag(s).over(ORDER)) / dt for s in g.SIDES})
+    dt = F.col("frame") - F.lag("frame").over(by_frame())
+    return rows.withColumns({f"v_{s}": (F.col(s) - F.lag(s).over(by_frame())) / dt for s in g.SIDES})
 
 
 def predict(rows: DataFrame, gap: Column) -> dict[str, Column]:
@@ -84,7 +88,7 @@ def short_tracks(rows: DataFrame, min_frames: int = 2) -> DataFrame:
 
 def class_drift(rows: DataFrame, max_changes: int = 1) -> DataFrame:
     """Tracks whose class changes more than ``max_changes`` times from row to row."""
-    changed = (F.col("class_name") != F.lag("class_name").over(ORDER)).cast("int")
+    changed = (F.col("class_name") != F.lag("class_name").over(by_frame())).cast("int")
     return rows.withColumn("c", changed).groupBy(*KEYS).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("changes")).where(F.col("changes") > max_changes)
 
 
@@ -92,7 +96,7 @@ def large_jumps(rows: DataFrame, max_ratio: float = 0.45) -> DataFrame:
     """Rows whose centre moved more than ``max_ratio`` diagonals of the box since the observed row before."""
     cx, cy = g.center(g.box())
     moved = rows.withColumns({"cx": cx, "cy": cy})
-    far = F.hypot(F.col("cx") - F.lag("cx").over(ORDER), F.col("cy") - F.lag("cy").over(ORDER))
+    far = F.hypot(F.col("cx") - F.lag("cx").over(by_frame()), F.col("cy") - F.lag("cy").over(by_frame()))
     b = g.box()
     diagonal = F.hypot(F.greatest(F.lit(1.0), b[2] - b[0]), F.greatest(F.lit(1.0), b[3] - b[1]))
     return moved.select(*KEYS, "frame", (far / diagonal).alias("jump_ratio")).where(F.col("jump_ratio") > max_ratio)
@@ -101,7 +105,7 @@ def large_jumps(rows: DataFrame, max_ratio: float = 0.45) -> DataFrame:
 def continuity(rows: DataFrame) -> DataFrame:
     """Span, coverage, segments and gaps of each track.  ``box_source`` tells observed rows from interpolated ones."""
     once = rows.groupBy(*KEYS, "frame").agg(F.max((F.col("box_source") == "observed").cast("int")).alias("o"), F.max((F.col("box_source") == "interpolated").cast("int")).alias("i"))
-    gap = F.col("frame") - F.lag("frame").over(ORDER) - 1
+    gap = F.col("frame") - F.lag("frame").over(by_frame()) - 1
     out = once.withColumn("gap", F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0))).groupBy(*KEYS).agg(
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count(F.lit(1)).alias("output_frames"), F.sum("o").alias("observed_frames"),
         F.sum("i").alias("interpolated_frames"), (F.sum((F.col("gap") > 0).cast("int")) + 1).alias("segments"), F.max("gap").alias("max_gap"),
@@ -142,7 +146,7 @@ def interpolate_gaps(rows: DataFrame, max_gap: int = 6) -> DataFrame:
 
     New rows carry the attributes of the observed row before them, ``box_source`` interpolated and is_predicted true.
     """
-    nxt = {f"n_{c}": F.lead(c).over(ORDER) for c in ("frame", *g.SIDES)}
+    nxt = {f"n_{c}": F.lead(c).over(by_frame()) for c in ("frame", *g.SIDES)}
     wide = rows.withColumns(nxt)
     gap = F.col("n_frame") - F.col("frame") - 1
     filled = wide.where((gap > 0) & (gap <= max_gap)).withColumn("f", F.explode(F.sequence(F.col("frame") + 1, F.col("n_frame") - 1)))
