@@ -106,7 +106,7 @@ def _filter_words(shared: DataFrame) -> np.ndarray:
 
 
 def _maybe_shared(digests: list[bytes], words: np.ndarray) -> np.ndarray:
-    places = np.frombuffer(b"".join(digests), ">u4").reshape(-1, DIGEST // 4)[:, :FILTER_PLACES].astype(np.int64) % FILTER_BITS
+    places = np.frombuffer(b"".join(digests), ">u4").reshape(-1, DIGEST // 4)[:, :FILTER_PLACES].astype(np.int64) % (64 * len(words))
     return ((words[places >> 6] >> (places & 63)) & 1).all(1)
 
 
