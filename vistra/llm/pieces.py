@@ -118,8 +118,7 @@ class Lattice:
 
     def runs(self):
         """Slices of edges that end at the same place of their words."""
-        for a, b in zip(self.steps, np.r_[self.steps[1:], len(self.start)], strict=True):
-            yield a, b
+        yield from zip(self.steps, np.r_[self.steps[1:], len(self.start)][: len(self.steps)], strict=True)
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """Sums over all segmentations up to each node; ``weight`` has a row of factors for each edge."""
@@ -139,7 +138,7 @@ class Lattice:
         order = np.lexsort((self.start, tail))
         tail, start, end, weight = tail[order], self.start[order], self.end[order], weight[order]
         cuts = np.flatnonzero(np.r_[True, tail[1:] != tail[:-1]]) if len(tail) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.r_[cuts[1:], len(tail)], strict=True):
+        for a, b in zip(cuts, np.r_[cuts[1:], len(tail)][: len(cuts)], strict=True):
             s = start[a:b]
             heads = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             beta[s[heads]] = np.add.reduceat(beta[end[a:b]] * weight[a:b], heads, axis=0)
