@@ -91,8 +91,7 @@ def event_sample(rows: DataFrame, most: int = 8, burst: int = 5) -> DataFrame:
 
 def packets(features: DataFrame, routed: DataFrame) -> DataFrame:
     """One nested row for each direction: its evidence, candidates in order, and the frames to show."""
-    names = routed.groupBy(*PACKET).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("candidates"))
-    return event_sample(features).join(names, list(PACKET))
+    return event_sample(features).join(routed.select(*PACKET, "candidates"), list(PACKET))
 
 
 def pair_batches(visible: DataFrame, size: int = 6) -> DataFrame:

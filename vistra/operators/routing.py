@@ -12,15 +12,15 @@ def _in01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def family_scores(features: DataFrame) -> DataFrame:
-    """One row per direction and family with its score."""
+def score_columns() -> dict[str, Column]:
+    """Each family's score from the columns of a row of features."""
     f = F.col
     proximity = F.greatest(F.lit(0.0), 1 - f("edge_gap_min"))
     contact = F.greatest(f("iou_max"), proximity)
     motion = F.least(F.lit(1.0), F.abs("approach_rate") * 12 + f("relative_motion") * 4)
     align = F.greatest(F.lit(0.0), f("motion_alignment"))
     size = F.least(F.lit(1.0), F.abs(F.log(F.greatest(F.lit(1e-6), f("size_ratio"))) / F.log(F.lit(2.0))))
-    scores = {
+    return {
         "geometry": F.lit(0.55),
         "relative_motion": F.greatest(F.lit(0.15), motion, 0.8 * align),
         "locomotion_state": F.greatest(F.lit(0.2), F.least(F.lit(1.0), f("subject_speed") * 5)),
@@ -29,7 +29,11 @@ def family_scores(features: DataFrame) -> DataFrame:
         "attention_social": F.greatest(F.lit(0.2), 0.4 * proximity + 0.35 * align),
         "comparative": F.greatest(F.lit(0.1), size),
     }
-    rows = F.array(*[F.struct(F.lit(name).alias("family"), score.alias("score")) for name, score in scores.items()])
+
+
+def family_scores(features: DataFrame) -> DataFrame:
+    """One row per direction and family with its score."""
+    rows = F.array(*[F.struct(F.lit(name).alias("family"), score.alias("score")) for name, score in score_columns().items()])
     return features.select(*PACKET, F.explode(rows).alias("x")).select(*PACKET, "x.family", "x.score")
 
 
@@ -51,42 +55,62 @@ def action_support(action: Column) -> Column:
     )
 
 
-def ranked_families(scores: DataFrame) -> DataFrame:
-    """Families of each direction by falling score, then by name: ``family_rank`` from 1."""
-    return scores.withColumn("family_rank", F.row_number().over(Window.partitionBy(*PACKET).orderBy(F.col("score").desc(), "family")))
+def _as_map(rows: DataFrame, key: str, values: Column, name: str) -> DataFrame:
+    """A small dimension as one row with a map from ``key`` to a list."""
+    lists = rows.groupBy(key).agg(values.alias("v"))
+    return lists.agg(F.map_from_entries(F.collect_list(F.struct(key, "v"))).alias(name))
+
+
+def _in_order(order: str, value: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
 
 
 def ranked_predicates(features: DataFrame, predicates: DataFrame, members: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Every predicate of every direction with its score, rank, its families' best rank and whether all of them are among the first three.
+    """One row per direction: ``best``, its three best families, and ``ranked``, all predicates in order.
 
-    A composite predicate counts the weakest of its families, so one cue alone does not carry it.
+    A composite predicate counts the weakest of its families, so one cue alone does not carry it; it is eligible if all of
+    them are among the best.  Each row of features meets the fixed list of predicates in place; nothing is shuffled but
+    the features themselves.
     """
-    known = predicates.where(~F.col("name").isin(*exclude)) if exclude else predicates
-    fams = ranked_families(family_scores(features))
-    by_name = fams.join(F.broadcast(members), "family").groupBy(*PACKET, "name").agg(F.min("score").alias("family_score"), (F.max("family_rank") <= 3).alias("eligible"), F.collect_list("family_rank").alias("ranks"))
-    rows = by_name.join(F.broadcast(known), "name").join(features, list(PACKET))
-    score = 0.6 * F.col("family_score") + 0.25 * spatial_support(F.col("spatial")) + 0.15 * action_support(F.col("action"))
-    rows = rows.select(*PACKET, "name", "eligible", "ranks", score.alias("score"))
+    names = list(score_columns())
+    rows = features.withColumns({f"_s_{n}": c for n, c in score_columns().items()})
+    ahead = lambda n, m: (F.col(f"_s_{m}") > F.col(f"_s_{n}")) | ((F.col(f"_s_{m}") == F.col(f"_s_{n}")) & F.lit(m < n))
+    rank = {n: sum((ahead(n, m).cast("int") for m in names if m != n), F.lit(1)) for n in names}
+    rows = rows.withColumn("_fam", F.create_map(*[x for n in names for x in (F.lit(n), F.struct(F.col(f"_s_{n}").alias("score"), rank[n].alias("rank")))]))
+    place = F.array(*[F.struct(F.col("_fam")[n]["rank"].alias("rank"), F.lit(n).alias("family")) for n in names])
+    rows = rows.withColumn("best", F.slice(F.transform(F.array_sort(place), lambda x: x["family"]), 1, 3))
+    known = (predicates.where(~F.col("name").isin(*exclude)) if exclude else predicates).join(members.groupBy("name").agg(F.collect_list("family").alias("families")), "name").select("name", "action", "spatial", "families")
+    rows = rows.crossJoin(F.broadcast(known))
+    mine = F.transform("families", lambda f: F.col("_fam")[f])
+    score = 0.6 * F.array_min(F.transform(mine, lambda x: x["score"])) + 0.25 * spatial_support(F.col("spatial")) + 0.15 * action_support(F.col("action"))
     # ties are ties of the real numbers, not of their last bits
-    order = Window.partitionBy(*PACKET).orderBy(F.round("score", 9).desc(), "name")
-    return rows.withColumn("rank", F.row_number().over(order))
+    item = F.struct((-F.round(score, 9)).alias("k"), "name", (F.array_max(F.transform(mine, lambda x: x["rank"])) <= 3).alias("eligible"), "families")
+    return rows.groupBy(*PACKET).agg(F.first("best").alias("best"), F.array_sort(F.collect_list(item)).alias("ranked"))
 
 
 def route(ranked: DataFrame, siblings: DataFrame, most: int = 14) -> DataFrame:
-    """name, ord: the candidates of each direction.
+    """``ranked`` with ``candidates``: two eligible predicates of each of the best families, the siblings of those, then the other eligible ones; each once."""
+    names = lambda items: F.transform(items, lambda x: x["name"])
+    eligible = F.filter("ranked", lambda x: x["eligible"])
+    first = F.flatten(F.transform("best", lambda f: F.slice(names(F.filter("_ok", lambda x: F.array_contains(x["families"], f))), 1, 2)))
+    rows = ranked.crossJoin(F.broadcast(_as_map(siblings, "name", _in_order("ord", "sibling"), "_sib"))).withColumn("_ok", eligible)
+    rows = rows.withColumn("_first", F.array_distinct(first))
+    theirs = F.array_intersect(F.array_distinct(F.flatten(F.transform("_first", lambda n: F.coalesce(F.col("_sib")[n], F.array().cast("array<string>"))))), names("ranked"))
+    return rows.withColumn("candidates", F.slice(F.array_distinct(F.concat("_first", theirs, names("_ok"))), 1, most)).drop("_sib", "_ok", "_first")
 
-    First two eligible predicates of each of the three best families, then the siblings of those, then the other eligible ones; each once.
-    """
-    fam = ranked.where("eligible").select(*PACKET, "name", "rank", F.explode("ranks").alias("family_rank"))
-    best = fam.withColumn("n", F.row_number().over(Window.partitionBy(*PACKET, "family_rank").orderBy("rank"))).where("n <= 2")
-    first = best.groupBy(*PACKET, "name").agg(F.min(F.col("family_rank") * 10 + F.col("n")).alias("k"))
-    chosen = first.select(*PACKET, "name", F.struct(F.lit(1).alias("stage"), F.col("k").cast("int").alias("a"), F.lit(0).alias("b")).alias("o"))
-    theirs = first.join(F.broadcast(siblings), "name").select(*PACKET, F.col("sibling").alias("name"), F.struct(F.lit(2).alias("stage"), F.col("k").cast("int").alias("a"), F.col("ord").alias("b")).alias("o"))
-    theirs = theirs.join(ranked.select(*PACKET, "name"), [*PACKET, "name"], "left_semi")
-    rest = ranked.where("eligible").select(*PACKET, "name", F.struct(F.lit(3).alias("stage"), F.col("rank").alias("a"), F.lit(0).alias("b")).alias("o"))
-    once = chosen.unionByName(theirs).unionByName(rest).groupBy(*PACKET, "name").agg(F.min("o").alias("o"))
-    out = once.withColumn("ord", F.row_number().over(Window.partitionBy(*PACKET).orderBy("o")))
-    return out.where(F.col("ord") <= most).select(*PACKET, "name", "ord")
+
+def expand(routed: DataFrame, neighbors: DataFrame, most: int = 24) -> DataFrame:
+    """Routed rows with ``requested`` families: candidates get all ranked predicates of those that neighbour the best ones; at most ``most``."""
+    rows = routed.crossJoin(F.broadcast(_as_map(neighbors, "family", _in_order("ord", "neighbor"), "_near")))
+    open_ = F.array_except(F.array_distinct(F.flatten(F.transform("best", lambda f: F.col("_near")[f]))), F.col("best"))
+    rows = rows.withColumn("_granted", F.array_intersect(open_, F.col("requested")))
+    more = F.transform(F.filter("ranked", lambda x: F.arrays_overlap(x["families"], F.col("_granted"))), lambda x: x["name"])
+    return rows.withColumn("candidates", F.slice(F.array_distinct(F.concat("candidates", more)), 1, most)).drop("_near", "_granted")
+
+
+def listed(routed: DataFrame) -> DataFrame:
+    """name, ord: candidates as rows, from 1."""
+    return routed.select(*PACKET, F.posexplode("candidates").alias("ord", "name")).select(*PACKET, "name", (F.col("ord") + 1).alias("ord"))
 
 
 def neighbor_families(chosen: DataFrame, neighbors: DataFrame, *keys: str) -> DataFrame:
@@ -95,18 +119,3 @@ def neighbor_families(chosen: DataFrame, neighbors: DataFrame, *keys: str) -> Da
     found = found.join(chosen.select(*keys, F.col("family").alias("neighbor")), [*keys, "neighbor"], "left_anti")
     first = found.groupBy(*keys, "neighbor").agg(F.min("o").alias("o"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("o")) - 1).drop("o")
-
-
-def expand(routed: DataFrame, ranked: DataFrame, members: DataFrame, requests: DataFrame, neighbors: DataFrame, *, best: DataFrame, most: int = 24) -> DataFrame:
-    """The route with all ranked predicates of the requested families added, as far as those neighbour the best ones; at most ``most``.
-
-    ``requests``: the direction and a family; ``best``: the direction, its best families and their places k.
-    """
-    open_ = neighbor_families(best, neighbors, *PACKET).select(*PACKET, F.col("neighbor").alias("family"))
-    granted = requests.join(open_, [*PACKET, "family"], "left_semi")
-    wanted = granted.join(F.broadcast(members), "family").select(*PACKET, "name").distinct()
-    more = ranked.join(wanted, [*PACKET, "name"], "left_semi").select(*PACKET, "name", F.struct(F.lit(2).alias("stage"), F.col("rank").alias("a")).alias("o"))
-    base = routed.select(*PACKET, "name", F.struct(F.lit(1).alias("stage"), F.col("ord").alias("a")).alias("o"))
-    once = base.unionByName(more).groupBy(*PACKET, "name").agg(F.min("o").alias("o"))
-    out = once.withColumn("ord", F.row_number().over(Window.partitionBy(*PACKET).orderBy("o")))
-    return out.where(F.col("ord") <= most).select(*PACKET, "name", "ord")

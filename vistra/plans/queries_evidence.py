@@ -130,7 +130,7 @@ def ranked(s, d):
 
 @query(with_obs(f", {_SOME_SQL}, {SCORES_SQL}, {ROUTE_SQL} SELECT {', '.join(PACKET)}, name, ord FROM ro WHERE ord <= 14"))
 def route_predicates(s, d):
-    return routing.route(ranked(s, d), O.siblings(s))
+    return routing.listed(routing.route(ranked(s, d), O.siblings(s)))
 
 
 _EXPAND_SQL = f"""{O.words_sql('nbr', O.FAMILY_NEIGHBORS)}, best AS (SELECT * FROM fr WHERE family_rank <= 3),
@@ -142,11 +142,9 @@ eo AS (SELECT video_id, window_id, subject_id, object_id, name, row_number() OVE
 
 @query(with_obs(f", {_SOME_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {_EXPAND_SQL} SELECT {', '.join(PACKET)}, name, ord FROM eo WHERE ord <= 24"))
 def expand_route(s, d):
-    f, members = _some(features(s, d)), O.family_members(s)
-    r = routing.ranked_predicates(f, O.predicates(s), members, O.GEOMETRIC)
-    asked = f.select(*PACKET, F.explode(F.array(F.lit("contact"), F.lit("locomotion_state"), F.lit("no_such_family"))).alias("family"))
-    best = routing.ranked_families(routing.family_scores(f)).where("family_rank <= 3").select(*PACKET, "family", F.col("family_rank").alias("k"))
-    return routing.expand(routing.route(r, O.siblings(s)), r, members, asked, O.neighbors(s), best=best)
+    asked = F.array(F.lit("contact"), F.lit("locomotion_state"), F.lit("no_such_family"))
+    routed = routing.route(ranked(s, d), O.siblings(s)).withColumn("requested", asked)
+    return routing.listed(routing.expand(routed, O.neighbors(s)))
 
 
 @query(with_obs(f", {_SOME_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {SAMPLE_SQL}, rt AS (SELECT video_id, window_id, subject_id, object_id, string_agg(name, ',' ORDER BY ord) AS candidates FROM ro WHERE ord <= 14 GROUP BY ALL) SELECT {', '.join(PACKET)}, frame_count, round(median_dx, 6)+0.0 AS median_dx, round(approach_rate, 6)+0.0 AS approach_rate, candidates, sample FROM fe JOIN rt USING (video_id, window_id, subject_id, object_id) JOIN sa USING (video_id, window_id, subject_id, object_id)"))

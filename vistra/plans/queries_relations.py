@@ -248,10 +248,10 @@ def normalize_label(s, d):
     return _labels(s, d)
 
 
-@query(with_obs(f""", {_LABEL_SQL}, {O.values_sql('ob', 'name, k', [(n, 1) for n in O.OBJECTS])} SELECT video_id, raw AS raw_label, label AS canonical_label, CASE WHEN label IN (SELECT name FROM ob) THEN 'vidvrd' ELSE 'discovered' END AS ontology_source FROM lb QUALIFY row_number() OVER (PARTITION BY video_id, label ORDER BY event_id) = 1"""))
+@query(with_obs(f""", {_LABEL_SQL}, {O.values_sql('ob', 'name, k', [(n, 1) for n in O.OBJECTS])} SELECT video_id, raw AS raw_label, label AS canonical_label, CASE WHEN label IN (SELECT name FROM ob) THEN 'ontology' ELSE 'discovered' END AS ontology_source FROM lb QUALIFY row_number() OVER (PARTITION BY video_id, label ORDER BY event_id) = 1"""))
 def vocabulary_dedup(s, d):
     v = labels.vocabulary(_labels(s, d), "event_id")
-    known = F.broadcast(O.objects(s).select(F.col("name").alias("label"), F.lit("vidvrd").alias("o")))
+    known = F.broadcast(O.objects(s).select(F.col("name").alias("label"), F.lit("ontology").alias("o")))
     return v.join(known, "label", "left").select("video_id", F.col("raw").alias("raw_label"), F.col("label").alias("canonical_label"), F.coalesce("o", F.lit("discovered")).alias("ontology_source"))
 
 
