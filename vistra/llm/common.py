@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from itertools import islice
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at a time; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1_000
 
 _local_scratch: dict[str, str] = {}
 
@@ -61,6 +64,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(rows: DataFrame, run, schema) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in bounded memory.
+
+    By default a batch has 10,000 rows whatever their size, and the JVM and the worker hold several; with long texts
+    that has no useful bound, so the session's batches are made smaller.  A worker that has ended its task gives
+    freed memory back, since it lives on for other tasks.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Freed memory to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> pa.Array:
     """A text column as UTF-8 bytes, nulls as empty."""
     return pc.fill_null(column.cast(pa.binary()), b"")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import WordTable, segment_sums, slices, text_bytes
+from .common import WordTable, map_batches, segment_sums, slices, text_bytes
 
 #: Bound of the fitted sample: about so many documents of each language, chosen by a hash of doc_id.
 TRAIN_DOCS = 400
@@ -27,7 +27,7 @@ SCALE = float(np.exp(2.5))
 #: Longer words count as their parts of so many bytes.
 LONGEST = 48
 #: Words whose lattices are held at once.
-CHUNK = 20_000
+CHUNK = 8_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             nonlocal logs, letters
             logs, letters = logs[:0].copy(), letters[:0].copy()
 
-        table = WordTable(lambda t: t.lower().split(), new, reset, limit=300_000)
+        table = WordTable(lambda t: t.lower().split(), new, reset, limit=200_000)
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, lengths = table.batch(text_bytes(part.column("text")).to_pylist())
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", "text", (F.coalesce(~is_training(F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull()).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_words long")
+    return map_batches(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_words long")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -179,7 +179,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             nonlocal logs, letters
             logs, letters = logs[:0].copy(), letters[:0].copy()
 
-        table = WordTable(lambda t: t.lower().split(), new, reset, limit=300_000)
+        table = WordTable(lambda t: t.lower().split(), new, reset, limit=200_000)
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, lengths = table.batch(text_bytes(part.column("text")).to_pylist())
@@ -189,4 +189,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
     if not model.langs:
         return docs.where(F.lit(False))
-    return docs.mapInArrow(run, kept_schema)
+    return map_batches(docs, run, kept_schema)

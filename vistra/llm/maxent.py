@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, cut, segment_sums, slices, text_bytes
+from .common import WordTable, cut, map_batches, segment_sums, slices, text_bytes
 
 #: Words whose counts are sent to every worker, at most; all others are joined.
 FREQUENT = 200_000
@@ -55,7 +55,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
 
     rows = docs.where(is_training(F.col("doc_id"))).select("text")
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(rows, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _counts(found: dict[bytes, int]) -> pa.RecordBatch:
@@ -156,7 +156,7 @@ def triples(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
 
     rows = docs.where(is_training(F.col("doc_id"))).select("text")
-    return rows.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return map_batches(rows, run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def context_rows(context: np.ndarray) -> np.ndarray:
@@ -291,7 +291,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out"), F.spark_partition_id().alias("part"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = cut(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, part int, nr long, n_tokens long, known long, base double, log_p double, rare array<binary>"), "lm-scored")
+    scored = cut(map_batches(rows, run, f"doc_id {kind}, held_out boolean, part int, nr long, n_tokens long, known long, base double, log_p double, rare array<binary>"), "lm-scored")
     rare = scored.select("part", "nr", F.explode("rare").alias("word"))
     found = counts.where((F.col("c") < model.floor) & F.col("word").isNotNull())
     hits = rare.join(found, "word").groupBy("part", "nr").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))

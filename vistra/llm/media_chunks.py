@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes
+from .common import cut, map_batches, slices, text_bytes
 
 PAD = 64
 #: Least and greatest bytes of a chunk (the last may be smaller); a cut needs MASK_BITS zero bits, about 2 KB on average.
@@ -125,7 +125,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 found = [digest(c) for t in text_bytes(part.column("text")).to_pylist() for c in chunks(payload(t))]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    often = rows.mapInArrow(listed, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = map_batches(rows, listed, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     words = _filter_words(often)
 
     def packed(batches):
@@ -147,7 +147,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_bytes", "sizes", "digests", "shared", "pack", "payload_key", "joins", "gone"])
 
     schema = f"doc_id {kind}, n_bytes long, sizes array<int>, digests array<binary>, shared array<boolean>, pack binary, payload_key binary, joins boolean, gone array<struct<digest: binary, chunk: binary>>"
-    packs = cut(rows.mapInArrow(packed, schema), "media-packs")
+    packs = cut(map_batches(rows, packed, schema), "media-packs")
     once = packs.where("joins").select(F.explode("gone").alias("g")).select("g.digest", "g.chunk")
     shared = cut(once.groupBy("digest").agg(F.first("chunk").alias("chunk")), "media-shared")
     return packs.drop("gone"), shared
@@ -220,7 +220,7 @@ def texts(packs: DataFrame, shared: DataFrame) -> DataFrame:
     wanted = packs.select("payload_key", F.posexplode(F.arrays_zip("digests", "shared")).alias("at", "c")).where("c.shared").select("payload_key", "at", F.col("c.digests").alias("digest")).distinct()
     fetched = wanted.join(shared, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("at", "chunk")).alias("fetched"))
     rows = packs.join(fetched, "payload_key", "left")
-    return rows.mapInArrow(run, f"doc_id {packs.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_batches(rows, run, f"doc_id {packs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def media(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import map_batches, slices
 
 #: The three base patterns, which ignore case only where marked.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -176,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, counts), pa.array(digest), pa.array(spans)], ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -203,6 +203,6 @@ def redact(docs: DataFrame) -> DataFrame:
                         part = part.set_column(k, part.schema.field(k), pa.array(lengths, part.schema.field(k).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import pieces
-from .common import Pool, WordTable, slices, text_bytes
+from .common import Pool, WordTable, map_batches, slices, text_bytes
 
 #: A longer run without spaces is encoded place by place, not in a batch.
 LONG = 256
 #: Words whose lattices are held at once.
-CHUNK = 20_000
+CHUNK = 8_000
 
 _RUNS = re.compile(rb" +[^ \n]*|\n[^ \n]*")
 
@@ -45,7 +45,7 @@ class Encoder:
     of its segments.
     """
 
-    def __init__(self, vocab: str, limit: int = 300_000):
+    def __init__(self, vocab: str, limit: int = 200_000):
         self.vocab, self.trie = vocab, pieces.trie(vocab)
         self.score, self.zero = pieces.rank_log_scores(vocab), pieces.vocabulary(vocab)[2]
         self.byte_score = float(self.score[self.zero])
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, vocab: str) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
+    return map_batches(rows, run, f"doc_id {kind}, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocab: str) -> DataFrame:
@@ -179,4 +179,4 @@ def decode(encoded: DataFrame, vocab: str) -> DataFrame:
 
     rows = encoded.select("doc_id", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text string")
+    return map_batches(rows, run, f"doc_id {kind}, text string")

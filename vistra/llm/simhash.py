@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes
+from .common import cut, map_batches, slices, text_bytes
 from .components import components
 
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -55,14 +55,22 @@ def fingerprint(text: bytes) -> int:
 @lru_cache(maxsize=1)
 def codewords() -> np.ndarray:
     """For each 23-bit word the index (12 bits) of the codeword within three bits of it."""
-    syndrome = np.arange(1 << 23, dtype=np.int32)
-    for bit in range(22, 10, -1):
-        syndrome = np.where(syndrome >> bit & 1, syndrome ^ (GENERATOR << (bit - 11)), syndrome)
-    error = np.zeros(1 << 11, np.int32)
     one = 1 << np.arange(23, dtype=np.int32)
-    flips = np.r_[one, (one[:, None] | one)[np.triu_indices(23, 1)], [a | b | c for i, a in enumerate(one) for j, b in enumerate(one[:i]) for c in one[:j]]]
-    error[syndrome[flips]] = flips
-    return ((np.arange(1 << 23, dtype=np.int32) ^ error[syndrome]) >> 11).astype(np.int16)
+    flips = np.r_[0, one, (one[:, None] | one)[np.triu_indices(23, 1)], [a | b | c for i, a in enumerate(one) for j, b in enumerate(one[:i]) for c in one[:j]]]
+    error = np.zeros(1 << 11, np.int32)
+    error[_syndrome(flips)] = flips
+    out = np.empty(1 << 23, np.int16)
+    for at in range(0, 1 << 23, 1 << 17):
+        words = np.arange(at, at + (1 << 17), dtype=np.int32)
+        out[at : at + (1 << 17)] = (words ^ error[_syndrome(words)]) >> 11
+    return out
+
+
+def _syndrome(words: np.ndarray) -> np.ndarray:
+    """The remainder of each word by the generator."""
+    for bit in range(22, 10, -1):
+        words = np.where(words >> bit & 1, words ^ (GENERATOR << (bit - 11)), words)
+    return words
 
 
 def golay_keys(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +105,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
 
     rows = docs.select("doc_id", "text", *keep)
     extra = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}{extra}, fp long")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}{extra}, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:

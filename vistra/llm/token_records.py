@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, Pool, WordTable, last_keys, new_path, ranges, segment_sums, slices, text_bytes
+from .common import Ids, Pool, WordTable, last_keys, map_batches, new_path, ranges, segment_sums, slices, text_bytes
 
 #: Fixed values of CRC-32C (reflected polynomial) and of the mask that record files use.
 CASTAGNOLI = 0x82F63B78
@@ -271,7 +271,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> Da
             index.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    return dealt.mapInArrow(run, "part int, path string, n_docs long, n_ids long")
+    return map_batches(dealt, run, "part int, path string, n_docs long, n_ids long")
 
 
 def read(manifest: DataFrame) -> DataFrame:
