@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_bytes
+from .common import cut, map_batches, slices, text_bytes
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -34,7 +34,7 @@ def sizes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n)], ["doc_id", "source", "size"])
 
     rows = docs.select("doc_id", "text", "source")
-    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source {rows.schema['source'].dataType.simpleString()}, size long")
+    out = map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source {rows.schema['source'].dataType.simpleString()}, size long")
     return out.withColumn("h", hash36(F.col("doc_id")))
 
 
@@ -66,8 +66,8 @@ def targets(source_sizes: list[tuple[str | None, int]], weights: tuple[int, ...]
     return [(s, n, t) for (s, n), t in zip(order, target, strict=True)]
 
 
-def mix(rows: DataFrame) -> DataFrame:
-    """``rows`` (source, size, h and others; a written table) with source_size, target and times.
+def thresholds(rows: DataFrame) -> DataFrame:
+    """One row per source of ``rows`` (source, size, h; a written table): source_size, target, whole, rest, edge, all_rest.
 
     Each document of a source is taken floor(target / source size) times, and once more if its hash is under the
     source's threshold; the threshold is the bucket edge whose sum comes nearest to the rest of the budget
@@ -106,26 +106,31 @@ def mix(rows: DataFrame) -> DataFrame:
         state = spark.createDataFrame(state.collect(), state.schema)
     # the last bucket holds rows of one hash: take it if that comes nearer
     nearer = F.col("below") + F.col("last") - F.col("rest") < F.col("rest") - F.col("below")
-    state = state.select(F.col("source").alias("s"), "source_size", "target", "whole", F.when(F.col("open") < 0, F.lit(0)).otherwise(F.col("open") + nearer.cast("int")).alias("edge"), (F.col("open") < 0).alias("nothing_open"), "rest")
-    out = rows.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("s")))
-    once_more = F.when(F.col("nothing_open"), F.col("rest") > 0).otherwise(F.greatest("h", F.lit(0)) < F.col("edge"))
-    return out.withColumn("times", F.least(F.col("whole") + once_more.cast("int"), F.lit(MOST))).drop("s", "whole", "edge", "nothing_open", "rest")
+    edge = F.when(F.col("open") < 0, F.lit(0)).otherwise(F.col("open") + nearer.cast("int"))
+    state = state.select("source", "source_size", "target", "whole", "rest", edge.alias("edge"), (F.col("open") < 0).alias("all_rest"))
+    return spark.createDataFrame(state.collect(), state.schema)
+
+
+def with_times(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` with mix_size, mix_target and mix_times of their source and hash.  ``limits`` has one small row for each source."""
+    s = limits.select(*[F.col(c).alias(f"mix_{c}") for c in limits.columns])
+    out = rows.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("mix_source")))
+    place = F.greatest(hash36(F.col("doc_id")), F.lit(0))
+    once_more = F.when(F.col("mix_all_rest"), F.col("mix_rest") > 0).otherwise(place < F.col("mix_edge"))
+    return out.select(*[rows[c] for c in rows.columns], F.col("mix_source_size"), F.col("mix_target"), F.least(F.col("mix_whole") + once_more.cast("int"), F.lit(MOST)).alias("mix_times"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row; taken is the words that the mix takes, repeats counted."""
     rows = cut(sizes(docs), "mix-sizes")
-    return mix(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    out = with_times(rows, thresholds(rows))
+    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_times")).alias("taken"))
 
 
 def apply_mixture(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns), each as often as the mix takes it."""
-    rows = cut(sizes(docs), "mix-sizes")
-    edges = cut(mix(rows).groupBy("doc_id", "source").agg(F.max("times").alias("times")), "mix-times")
-    e = edges.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("times").alias("mix_times"))
-    joined = docs.join(e, docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")))
-    joined = joined.where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` (all columns), each as often as the mix takes it; texts are filtered where they lie."""
+    out = with_times(docs, thresholds(cut(sizes(docs), "mix-sizes")))
+    return out.where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
 
 
 #: The same mix in SQL: the running sums are taken over single hashes.
