@@ -19,8 +19,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links, the one with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of documents linked by SimHash or by sharing at least 0.8 of their five-word shingles, the one with the smallest doc_id stays."""
+    return simhash.keep_one(docs, near=0.8)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,37 @@ def test_one_document_of_a_group_stays(spark, docs):
     assert sorted(str(r.doc_id) for r in out.collect()) == want
 
 
+def test_dedup_stage_removes_near_copies(spark):
+    import corpus_pipeline
+
+    def shingled(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rng = random.Random(11)
+    texts = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((30, 120, 400)))]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 5):
+            near = list(words)
+            for _ in range(changes):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(near))
+    page = [f"p{k}" for k in range(200)]
+    texts += [" ".join([*page[:190], f"n{k}", *page[190:]]) for k in range(150)]  # more near copies than a key's pairs would allow
+    texts += [None, "", "one two"]
+    sets = [shingled(t) if t and t.split() else None for t in texts]
+    fps = [plain_fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) > 100
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    root = closure(len(texts), near + close)
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, frame, "").collect())
+    assert got == sorted({c: i for i, c in reversed(list(enumerate(root)))}.values())
+
+
 # --- 7: embeddings ------------------------------------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import cut, map_batches, slices, text_bytes
 from .components import components
 
@@ -160,15 +161,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, near: float | None = None) -> DataFrame:
     """The rows of ``docs`` (all columns) less those of a component that has a smaller doc_id.
 
+    With ``near``, texts whose sets of five-word shingles have at least that Jaccard similarity are linked too.
     Of equal ids in a component one row stays, the first by its text; rows with a null id stay only where their component has no other.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     rows = cut(fingerprints(rows, "tie"), "simhash")
     heads = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("head")), "simhash-heads")
-    member = cut(components(links(heads)), "simhash-members")
+    linked = links(heads)
+    if near is not None:
+        pairs = cut(near_copies.pairs(docs, least=near), "simhash-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("tie")).distinct()
+        marked = cut(rows.join(ends, "tie", "left_semi").select("tie", "fp").distinct(), "simhash-copies")
+        side = lambda x: marked.select(F.col("tie").alias(x), F.col("fp").alias(f"fp_{x}"))
+        linked = linked.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    member = cut(components(linked), "simhash-members")
     whole = heads.join(member, heads["fp"] == member["node"], "left").select("head", F.coalesce("component", "fp").alias("root"))
     kept = cut(whole.groupBy("root").agg(F.min("head").alias("head")).select("head.doc_id", "head.tie").distinct(), "simhash-kept")
     tie = F.xxhash64("text")
