@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vistra.llm import language_id, mixing, secrets, sentencepieces, simhash
 from vistra.llm.common import cut
-from vistra.llm.queries import piece_vocabulary
+from vistra.llm.queries import piece_vocabulary, word_vocabulary
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark, and n_chars follows."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, word_vocabulary(), secrets.corpus_words(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

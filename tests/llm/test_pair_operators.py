@@ -260,7 +260,7 @@ def test_damage_is_noticed(spark):
 def test_pipeline_equals_its_parts_done_plainly(spark, tmp_path):
     import corpus_pipeline
     from vistra.llm import language_id, mixing, secrets, sentencepieces
-    from vistra.llm.queries import piece_vocabulary
+    from vistra.llm.queries import piece_vocabulary, word_vocabulary
 
     from collections import Counter
 
@@ -270,13 +270,14 @@ def test_pipeline_equals_its_parts_done_plainly(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     frame = spark.createDataFrame(rows, SCHEMA)
     said = {r.doc_id: r for r in language_id.identify(frame, language_id.fit(frame, piece_vocabulary())).collect()}
-    kept = [r for r in rows if said[r[0]].lang_pred != "und" and said[r[0]].score >= 0.5]
+    kept = [r for r in rows if said[r[0]].lang_pred != "und" and said[r[0]].score >= 0.5 and said[r[0]].fit >= language_id.LEAST_FIT * said[r[0]].n_words]
     root = brute_components([plain_fingerprint(r[1]) for r in kept])
     first = {}
     for r, c in zip(kept, root, strict=True):
         first[c] = min(first.get(c, r[0]), r[0])
     kept = [r for r in kept if r[0] in set(first.values())]
-    texts = {r[0]: secrets.redacted(r[1], secrets.find(r[1])) for r in kept}
+    words = secrets.dictionary(word_vocabulary(), secrets.corpus_words(spark.createDataFrame(kept, SCHEMA)))
+    texts = {r[0]: secrets.redacted(r[1], secrets.find(r[1], words)) for r in kept}
     assert "[SECRET]" in texts[20]
     sized = {r[0]: (r[3], len(texts[r[0]].split())) for r in kept}
     hashed = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:9], 16)

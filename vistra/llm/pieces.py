@@ -120,20 +120,25 @@ class Lattice:
         """Slices of edges that end at the same place of their words."""
         yield from zip(self.steps, np.r_[self.steps[1:], len(self.start)][: len(self.steps)], strict=True)
 
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        """Sums over all segmentations up to each node; ``weight`` has a row of factors for each edge."""
-        alpha = np.zeros((self.nodes, weight.shape[1]))
-        alpha[self.first] = 1.0
+    def forward(self, weight: np.ndarray, logs: bool = False) -> np.ndarray:
+        """Sums over all segmentations up to each node; ``weight`` has a row of factors for each edge.
+
+        With ``logs`` weights and sums are logarithms, which hold for words of any length.
+        """
+        add, times = (np.logaddexp, np.add) if logs else (np.add, np.multiply)
+        alpha = np.full((self.nodes, weight.shape[1]), -np.inf if logs else 0.0)
+        alpha[self.first] = 0.0 if logs else 1.0
         for a, b in self.runs():
             end = self.end[a:b]
             heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
-            alpha[end[heads]] = np.add.reduceat(alpha[self.start[a:b]] * weight[a:b], heads, axis=0)
+            alpha[end[heads]] = add.reduceat(times(alpha[self.start[a:b]], weight[a:b]), heads, axis=0)
         return alpha
 
-    def backward(self, weight: np.ndarray) -> np.ndarray:
-        """Sums over all segmentations from each node to its word's end."""
-        beta = np.zeros((self.nodes, weight.shape[1]))
-        beta[self.last] = 1.0
+    def backward(self, weight: np.ndarray, logs: bool = False) -> np.ndarray:
+        """Sums over all segmentations from each node to its word's end, as ``forward`` does up to it."""
+        add, times = (np.logaddexp, np.add) if logs else (np.add, np.multiply)
+        beta = np.full((self.nodes, weight.shape[1]), -np.inf if logs else 0.0)
+        beta[self.last] = 0.0 if logs else 1.0
         tail = self.sizes[self.word] - (self.start - self.first[self.word])
         order = np.lexsort((self.start, tail))
         tail, start, end, weight = tail[order], self.start[order], self.end[order], weight[order]
@@ -141,7 +146,7 @@ class Lattice:
         for a, b in zip(cuts, np.r_[cuts[1:], len(tail)][: len(cuts)], strict=True):
             s = start[a:b]
             heads = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            beta[s[heads]] = np.add.reduceat(beta[end[a:b]] * weight[a:b], heads, axis=0)
+            beta[s[heads]] = add.reduceat(times(beta[end[a:b]], weight[a:b]), heads, axis=0)
         return beta
 
     def best(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

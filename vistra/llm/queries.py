@@ -60,7 +60,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, word_vocabulary(), secrets.corpus_words(docs))
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

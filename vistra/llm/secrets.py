@@ -1,8 +1,11 @@
 """Secret scans: credential patterns, and a guess-cost estimate of the values in credential contexts.
 
-A value's cost is the least sum, over all segmentations, of the log10 guesses of its parts: dictionary words
-(also reversed-letter substitutions), dates, repeats, keyboard walks, and brute-force spans.  A value that would
-take many guesses is reported as a secret of its own.
+A value's cost is the least sum, over all segmentations of the whole value, of the log10 guesses of its parts: dictionary
+words (also reversed or with substitutions), dates, repeats, keyboard walks, and brute-force spans.  A value that would
+take many guesses is reported as a secret of its own, whatever characters it is made of.
+
+The dictionary has a few fixed passwords, the words of a public vocabulary by rank, and the most frequent words of the
+corpus itself (counted over all texts, values in credential contexts left out, so that a secret does not become a word by being copied).
 """
 
 from __future__ import annotations
@@ -10,11 +13,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches, slices
 
@@ -27,59 +32,154 @@ CONTEXT = re.compile(r"(?:\b|_)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|
 ORDER = ("assign", "access", "hex", "guess")
 #: A value is reported from so many guesses (log10) on.
 LEAST_GUESSES = 8.0
-#: The dynamic program looks at so many characters of a value; longer ones have enough guesses already.
-LONGEST = 64
+#: Words of the corpus that the dictionary takes, by count.
+CORPUS_WORDS = 50_000
+#: Letters of a dictionary word, and of the unit of a repeat: what a guesser tries as one part.
+SHORTEST, LONGEST_WORD, LONGEST_UNIT = 3, 24, 32
+#: Distinct words that a worker counts before it hands them on.
+FLUSH = 300_000
 
 #: Common words of passwords, by rank, and the rows of a keyboard.
 COMMON = "password 123456 12345678 qwerty abc123 letmein monkey dragon master admin login welcome secret token key test example changeme default root user pass hello love summer winter spring autumn sun moon star shadow football baseball soccer hockey michael jordan thomas daniel jessica princess flower secure access private public server database system company office money freedom computer internet".split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 _LEET = str.maketrans("4301$5@7", "aeoissat")
-_DATE = re.compile(r"(?:19|20)\d\d[-./_]?(?:0?[1-9]|1[0-2])[-./_]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-./_](?:0?[1-9]|1[0-2])[-./_](?:19|20)?\d\d|(?:19|20)\d\d")
 _WALK = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+_DATE = re.compile(rf"{_YEAR}|{_YEAR}[-./_]?{_MONTH}[-./_]?{_DAY}|{_DAY}[-./_]{_MONTH}[-./_](?:19|20)?\d\d")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=4)
+def public_words(vocabulary: str | None) -> dict[str, int]:
+    """Rank of every word: the fixed ones, then the whole words of a public ``tokenizers`` file in the order of its ids."""
+    out = {w: i + 1 for i, w in enumerate(COMMON)}
+    if vocabulary:
+        from tokenizers import Tokenizer
+
+        known = sorted(Tokenizer.from_file(vocabulary).get_vocab().items(), key=lambda x: x[1])
+        whole = (t.removesuffix("</w>") for t, _ in known if t.endswith("</w>"))
+        for word in whole:
+            if SHORTEST <= len(word) <= LONGEST_WORD and word.isalpha():
+                out.setdefault(word, len(out) + 1)
+    return out
+
+
+def corpus_words(docs: DataFrame, size: int = CORPUS_WORDS) -> list[str]:
+    """The ``size`` most frequent words of all texts, most frequent first (ties by code point), in lower case.
+
+    Words are runs of SHORTEST to LONGEST_WORD letters outside the values of credential contexts.  Counts are summed in the
+    workers before they are shuffled; the driver gets ``size`` words.  Null and empty texts have none.
+    """
+
+    def run(batches):
+        found: dict[str, int] = {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                for i in np.flatnonzero(_suspects(part.column("text"))).tolist():
+                    texts[i] = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], texts[i])
+                for text in texts:
+                    for token in (text or "").lower().split():
+                        found[token] = found.get(token, 0) + 1
+                if len(found) > FLUSH:
+                    yield from _letter_counts(found)
+                    found = {}
+        yield from _letter_counts(found)
+
+    counts = map_batches(docs.select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return [r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(size).collect()]
+
+
+def _letter_counts(tokens: dict[str, int]):
+    words: dict[str, int] = {}
+    for token, n in tokens.items():
+        for word in (token,) if token.isalpha() else _WORDS.findall(token):
+            if SHORTEST <= len(word) <= LONGEST_WORD:
+                words[word] = words.get(word, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "c"])
+
+
+def dictionary(vocabulary: str | None = None, more: list[str] = ()) -> dict[str, int]:
+    """Word -> rank: the better of its ranks among the public words and in ``more``."""
+    out = dict(public_words(vocabulary))
+    for i, word in enumerate(more):
+        out[word] = min(out.get(word, i + 1), i + 1)
+    return out
 
 
 def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """log10 of the guesses of the cheapest segmentation, and its parts (kind, start, end).  Empty: 0 and none.
+def parts_ending(v: str, words: dict[str, int]):
+    """For each end 1 to n of the value: its parts but brute force, as (kind, cost, starts), in time linear in the value.
 
-    Each part after the first costs one more doubling, so few long parts beat many short ones.
+    A word costs its rank, with 0.3 more each for substitutions or reversal and for capitals; a date 120 years of days, a year alone 120; a
+    walk of three keys or more one of 40 keys and one of n lengths; a repeat of three characters or more its unit's brute force
+    and one of n counts.  ``starts`` is a range whose step is the unit of a repeat: every start of it gives such a part.
     """
-    v = value[:LONGEST]
     low, n = v.lower(), len(v)
-    parts: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]  # by end
-    plain = low.translate(_LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
-            for text, extra in ((low[i:j], 0.0), (plain[i:j], 0.3), (low[i:j][::-1], 0.3)):
-                if text in _RANK:
-                    upper = 0.3 if v[i:j] != low[i:j] else 0.0
-                    parts[j].append((i, "word", math.log10(_RANK[text]) + extra + upper))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _WALK:
-            j += 1
-            if j - i >= 3:
-                parts[j].append((i, "walk", math.log10(40.0 * (j - i))))
-        for unit in range(1, (n - i) // 2 + 1):
-            j = i + unit
-            while v[j : j + unit] == v[i : i + unit]:
-                j += unit
-                if j - i >= 3:
-                    parts[j].append((i, "repeat", sum(math.log10(_alphabet(c)) for c in v[i : i + unit]) + math.log10((j - i) // unit)))
-    for m in _DATE.finditer(v):
-        parts[m.end()].append((m.start(), "date", math.log10(365.0 * 120) if m.end() - m.start() > 4 else math.log10(120.0)))
+    plain, turned = low.translate(_LEET), low[::-1]
+    long = math.log10(max(n, 1))
+    walk, same = 0, [0] * (LONGEST_UNIT + 1)  # keys of the walk, characters equal to those one unit before, up to here
+    sums = np.r_[0.0, np.cumsum([math.log10(_alphabet(c)) for c in v])]
+    for j in range(1, n + 1):
+        out = []
+        for i in range(max(0, j - LONGEST_WORD), j - SHORTEST + 1):
+            rank = words.get(low[i:j])
+            best = math.log10(rank) if rank else math.inf
+            for text in (plain[i:j], turned[n - j : n - i]):
+                if (rank := words.get(text)) and math.log10(rank) + 0.3 < best:
+                    best = math.log10(rank) + 0.3
+            if best < math.inf:
+                out.append(("word", best + (0.3 if v[i:j] != low[i:j] else 0.0), range(i, i + 1)))
+        if v[j - 1].isdigit():
+            for i in range(max(0, j - 10), j - 3):
+                if v[i].isdigit() and _DATE.fullmatch(v, i, j):
+                    out.append(("date", math.log10(120.0) if j - i == 4 else math.log10(365.0 * 120), range(i, i + 1)))
+        walk = walk + 1 if low[j - 2 : j] in _WALK and j > 1 else 1
+        if walk >= 3:
+            out.append(("walk", math.log10(40.0) + long, range(j - walk, j - 2)))
+        for u in range(1, min(LONGEST_UNIT, j - 1) + 1):
+            same[u] = same[u] + 1 if v[j - 1] == v[j - 1 - u] else 0
+            if same[u] >= u and same[u] + u >= 3:
+                far = j - u * ((same[u] + u) // u)
+                out.append(("repeat", float(sums[j] - sums[j - u]) + long, range(far, j - max(2 * u, 3) + 1, u)))
+        yield out
+
+
+def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+    """log10 of the guesses of the cheapest segmentation, and its parts (kind, start, end).  Empty: 0 and none.
+
+    Each part after the first costs one more doubling, so few long parts beat many short ones.  The whole value is
+    looked at, in time linear in its length: the least cost among the starts of a growing walk or repeat is carried along.
+    """
+    v, n, join = value, len(value), math.log10(2.0)
+    words = public_words(None) if words is None else words
     # two states at each place: whether the part that ends there is a brute-force span
     cost, came = [[0.0, math.inf]] + [[math.inf, math.inf] for _ in range(n)], [[None, None] for _ in range(n + 1)]
-    join = math.log10(2.0)
-    for j in range(1, n + 1):
-        for i, kind, c in parts[j]:
-            for s in (0, 1):
-                total = cost[i][s] + c + (join if i else 0.0)
-                if total < cost[j][0]:
-                    cost[j][0], came[j][0] = total, (i, s, kind)
+    carried: dict[tuple, tuple] = {}  # (kind, unit, remainder) -> least start cost so far, where, first start, next start to look at
+
+    def begin(i: int) -> float:
+        return min(cost[i]) + (join if i else 0.0)
+
+    for j, found in enumerate(parts_ending(v, words), 1):
+        for kind, c, starts in found:
+            if kind in ("word", "date"):
+                i = starts.start
+                least = begin(i)
+            else:
+                key = (kind, starts.step if kind == "repeat" else 0, starts.start % starts.step)
+                least, i, first, at = carried.get(key, (math.inf, -1, -1, 0))
+                if first != starts.start:
+                    least, i, at = math.inf, -1, starts.start
+                for k in range(at, starts.stop, starts.step):
+                    if begin(k) < least:
+                        least, i = begin(k), k
+                    at = k + starts.step
+                carried[key] = (least, i, starts.start, at)
+            if least + c < cost[j][0]:
+                cost[j][0], came[j][0] = least + c, (i, 0 if cost[i][0] <= cost[i][1] else 1, kind)
         one = math.log10(_alphabet(v[j - 1]))
         for s in (0, 1):
             total = cost[j - 1][s] + one + (join if s == 0 and j > 1 else 0.0)
@@ -105,12 +205,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return _sorted(spans)
 
 
-def guessed_spans(text: str) -> list[tuple[str, int, int]]:
-    """Values in credential contexts that mix letters and digits and take many guesses."""
+def guessed_spans(text: str, words: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
+    """Values in credential contexts that take many guesses, less the punctuation that ends a sentence."""
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".,:;!?")
-        if len(value) >= 6 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and guess_cost(value)[0] >= LEAST_GUESSES:
+        value = m[1].rstrip(".,:;!?)]}")
+        if guess_cost(value, words)[0] >= LEAST_GUESSES:
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return out
 
@@ -119,8 +219,8 @@ def _sorted(spans):
     return sorted(spans, key=lambda s: (s[1], ORDER.index(s[0]), s[2]))
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
-    return _sorted(base_spans(text) + guessed_spans(text))
+def find(text: str, words: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
+    return _sorted(base_spans(text) + guessed_spans(text, words))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -152,15 +252,17 @@ def _suspects(col: pa.Array) -> np.ndarray:
     return hit.to_numpy(zero_copy_only=False)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str | None = None, more: list[str] = ()) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans.
 
-    A null text counts as empty.  Spans are code points, the end exclusive; of spans with the same start the kinds stand
+    ``vocabulary`` and ``more`` make the dictionary (see ``dictionary``).  A null text counts as empty; an empty table gives an empty
+    one; repeated rows and null ids are kept as they are; other columns are left out.  Spans are code points, the end exclusive; of spans with the same start the kinds stand
     as in ORDER.  Spans of different kinds may overlap; those of one kind do not.
     """
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        words = dictionary(vocabulary, more)
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows
@@ -169,7 +271,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for i in np.flatnonzero(_suspects(col)).tolist():
                     text = col[i].as_py()
                     base = base_spans(text)
-                    found = _sorted(base + guessed_spans(text))
+                    found = _sorted(base + guessed_spans(text, words))
                     for kind, _, _ in found:
                         counts[ORDER.index(kind), i] += 1
                     digest[i], spans[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)
@@ -179,16 +281,20 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns), each found span of the text replaced; n_chars, where there is one, follows the text."""
+def redact(docs: DataFrame, vocabulary: str | None = None, more: list[str] = ()) -> DataFrame:
+    """The rows of ``docs`` (all columns), each found span of the text replaced; n_chars, where there is one, follows the text.
+
+    Every row stays, repeated ones and those with a null id or text included.
+    """
 
     def run(batches):
+        words = dictionary(vocabulary, more)
         for batch in batches:
             for part in slices(batch, "text"):
                 col, new = part.column("text"), {}
                 for i in np.flatnonzero(_suspects(col)).tolist():
                     text = col[i].as_py()
-                    if spans := find(text):
+                    if spans := find(text, words):
                         new[i] = redacted(text, spans)
                 if new:
                     texts = col.to_pylist()
