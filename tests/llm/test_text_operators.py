@@ -342,7 +342,7 @@ def test_whole_values_of_any_characters_are_costed():
     assert [k for k, _, _ in secrets.find("pwd: XkQzWvPlMnRtGhJ")] == ["guess"]
     assert [k for k, _, _ in secrets.find("auth: " + "z" * 64 + "1Xk9QzW7vPlMnRt4GhJ2")] == ["guess"]
     assert [k for k, _, _ in secrets.find("pwd: 839204718264")] == ["guess"]
-    assert secrets.find("pwd: " + "ab" * 20_000) == []
+    assert secrets.find("pwd: " + "xy" * 20_000) == []
 
 
 def test_words_of_the_corpus_are_cheap(spark, docs):
