@@ -2,12 +2,13 @@
 
 A payload is cut where a rolling gear hash of its last bytes says so, so equal stretches give equal chunks wherever
 they stand.  A chunk is known by its digest.  Digests that occur once stay with their payload, in one compressed
-pack; digests that occur more often are stored once, in a table of shared chunks, and joined back.  A payload
-is its ordered list of digests; reading puts the chunks together again and verifies each digest.
+pack; digests that occur more often are stored once, in a table of shared chunks, and joined back.  The stored form of a
+payload is its manifest (the ordered list of its chunks), its pack, and the frames of its shared chunks, all of them bytes on
+disk; reading puts the chunks together again and verifies each digest.
 
-Which digests occur more often is counted over all payloads by Spark.  Workers are told through a Bloom filter of
-fixed size: a chunk it takes for shared goes to the shared table even if it is not (that costs a join, nothing else), so the
-result is the same however full the filter is.
+Which digests occur more often is counted over all payloads by Spark.  Workers are told through a Bloom filter, sized by
+their number up to a bound: a chunk it takes for shared goes to the shared table even if it is not (that costs a join, nothing
+else), so every payload is read back the same however full the filter is.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,12 @@ LEAST, MOST, MASK_BITS = 512, 8192, 11
 #: Bytes that the rolling hash looks back on.
 WINDOW = 32
 DIGEST = 16
-#: Bits of the filter of shared digests, and places for each digest.
-FILTER_BITS, FILTER_PLACES = 1 << 24, 3
+#: Least and greatest bits of the filter of shared digests, bits for each of them, and places of each: at most 32 MB go to a worker.
+FILTER_LEAST, FILTER_MOST, FILTER_SHARE, FILTER_PLACES = 1 << 16, 1 << 28, 16, 3
+#: Shared chunks that a worker remembers to have handed on.
+REMEMBERED = 200_000
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint32)
-MAGIC = b"CDC1"
+MAGIC = b"CDC2"
 
 
 def payload(text: bytes) -> bytes:
@@ -73,21 +77,19 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
-def manifest(n_bytes: int, sizes: list[int], digests: list[bytes]) -> bytes:
-    """The header of the stored form: magic, bytes of the text, number of chunks, then size and digest of each."""
-    return b"".join([MAGIC, struct.pack("<QI", n_bytes, len(sizes)), *(struct.pack("<I", s) + d for s, d in zip(sizes, digests, strict=True))])
+def manifest(n_bytes: int, sizes: list[int], digests: list[bytes], shared: list[bool]) -> bytes:
+    """The head of the stored form: magic, bytes of the text, number of chunks, then size, digest and whereabouts of each."""
+    return b"".join([MAGIC, struct.pack("<QI", n_bytes, len(sizes)), *(struct.pack("<I?", n, s) + d for n, d, s in zip(sizes, digests, shared, strict=True))])
 
 
-def features(head: bytes, parts: list[bytes], n_bytes: int) -> tuple:
-    """What is told of a payload that was read back: bytes, digests and a feature of its 8-bit samples."""
-    data = b"".join(parts)
-    samples = np.frombuffer(data, np.uint8)
-    media = hashlib.sha256(head)
-    media.update(data)
-    mean = float(samples.mean())
-    changes = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
-    feature = f"chunks={len(parts)};mean={mean:.4f};peak={int(samples.max())};zero_crossings={changes}"
-    return n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(head) + len(data), media.hexdigest(), feature
+def parse(head: bytes) -> tuple[int, list[int], list[bytes], list[bool]]:
+    if head[:4] != MAGIC:
+        raise ValueError("not a manifest")
+    n_bytes, count = struct.unpack_from("<QI", head, 4)
+    rows = list(struct.iter_unpack(f"<I?{DIGEST}s", head[16:]))
+    if len(rows) != count:
+        raise ValueError("a stored manifest is damaged")
+    return n_bytes, [r[0] for r in rows], [r[2] for r in rows], [r[1] for r in rows]
 
 
 _OUT = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -95,12 +97,18 @@ _OUT_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc
 _OUT_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
 
-def _filter_words(shared: DataFrame) -> np.ndarray:
-    """The filter's bits in 64-bit words: at most FILTER_BITS / 64 rows reach the driver."""
-    place = [F.pmod(F.conv(F.hex(F.substring("digest", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(FILTER_BITS)) for k in range(FILTER_PLACES)]
-    bits = shared.select(F.explode(F.array(*place)).alias("bit"))
+def filter_bits(n: int) -> int:
+    """A power of two with FILTER_SHARE bits for each of ``n`` digests, within the bounds."""
+    return min(max(FILTER_LEAST, 1 << (FILTER_SHARE * max(n, 1) - 1).bit_length()), FILTER_MOST)
+
+
+def _filter_words(often: DataFrame) -> np.ndarray:
+    """The filter's bits in 64-bit words: at most FILTER_MOST / 64 rows reach the driver."""
+    size = filter_bits(often.count())
+    place = [F.pmod(F.conv(F.hex(F.substring("digest", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(size)) for k in range(FILTER_PLACES)]
+    bits = often.select(F.explode(F.array(*place)).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     return out
 
@@ -113,48 +121,64 @@ def _maybe_shared(digests: list[bytes], words: np.ndarray) -> np.ndarray:
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packs (one row per document) and shared chunks, both written in the shared folder.
 
-    Packs: doc_id, n_bytes, sizes, digests, shared (which chunks are in the other table), pack (the other chunks, compressed)
-    and payload_key, the same for equal payloads.  Shared: digest, chunk, each digest once.
+    Packs: doc_id, manifest, pack (the chunks that are not shared, compressed; empty if all are), payload_key (the same for
+    equal payloads) and joins (whether any chunk is shared).  Shared: digest, chunk (compressed), each digest once.
     """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def listed(batches):
+    def payloads(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [digest(c) for t in text_bytes(part.column("text")).to_pylist() for c in chunks(payload(t))]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
+                yield part, text_bytes(part.column("text")).to_pylist()
 
-    often = map_batches(rows, listed, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = _filter_words(often)
+    def listed(batches):
+        for _, found in payloads(batches):
+            n = Counter(digest(c) for t in found for c in chunks(payload(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["digest", "n"])
+
+    counted = map_batches(rows, listed, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    words = _filter_words(cut(counted.where("n > 1").select("digest"), "media-often"))
+
+    def away(batches):
+        """Shared chunks, each once as far as the worker remembers."""
+        press, handed = zstandard.ZstdCompressor(level=6), set()
+        for _, found in payloads(batches):
+            out: dict[bytes, bytes] = {}
+            for text in found:
+                parts = chunks(payload(text))
+                digests = [digest(c) for c in parts]
+                for i in np.flatnonzero(_maybe_shared(digests, words)).tolist():
+                    if digests[i] not in handed and digests[i] not in out:
+                        out[digests[i]] = press.compress(parts[i])
+            handed.update(out)
+            if len(handed) > REMEMBERED:
+                handed.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "chunk"])
 
     def packed(batches):
         press = zstandard.ZstdCompressor(level=6)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                out: list[list] = [[] for _ in range(8)]
-                for text in text_bytes(part.column("text")).to_pylist():
-                    parts = chunks(payload(text))
-                    digests = [digest(c) for c in parts]
-                    away = _maybe_shared(digests, words)
-                    here = b"".join(c for c, s in zip(parts, away, strict=True) if not s)
-                    key = hashlib.sha256(manifest(len(text), [len(c) for c in parts], digests)).digest()
-                    gone = [{"digest": d, "chunk": press.compress(c)} for c, d, s in zip(parts, digests, away, strict=True) if s]
-                    for column, value in zip(out, (len(text), [len(c) for c in parts], digests, away.tolist(), press.compress(here) if here else b"", key, bool(gone), gone), strict=True):
-                        column.append(value)
-                types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())])))
-                cols = [pa.array(v, t) for v, t in zip(out, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_bytes", "sizes", "digests", "shared", "pack", "payload_key", "joins", "gone"])
-
-    schema = f"doc_id {kind}, n_bytes long, sizes array<int>, digests array<binary>, shared array<boolean>, pack binary, payload_key binary, joins boolean, gone array<struct<digest: binary, chunk: binary>>"
-    packs = cut(map_batches(rows, packed, schema), "media-packs")
-    once = packs.where("joins").select(F.explode("gone").alias("g")).select("g.digest", "g.chunk")
-    shared = cut(once.groupBy("digest").agg(F.first("chunk").alias("chunk")), "media-shared")
-    return packs.drop("gone"), shared
-
-
-def _rebuilt(n_bytes, sizes, digests, shared, pack, fetched, unpress) -> tuple[bytes, list[bytes]]:
-    """Head and chunks of a payload, each chunk's size and digest verified."""
+        for part, found in payloads(batches):
+            out: list[list] = [[] for _ in range(4)]
+            for text in found:
+                parts = chunks(payload(text))
+                digests = [digest(c) for c in parts]
+                shared = _maybe_shared(digests, words).tolist()
+                here = b"".join(c for c, s in zip(parts, shared, strict=True) if not s)
+                head = manifest(len(text), [len(c) for c in parts], digests, shared)
+                for column, value in zip(out, (head, press.compress(here) if here else b"", hashlib.sha256(head).digest(), any(shared)), strict=True):
+                    column.append(value)
+            cols = [pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "manifest", "pack", "payload_key", "joins"])
+
+    shared = cut(map_batches(rows, away, "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk")), "media-shared")
+    return cut(map_batches(rows, packed, f"doc_id {kind}, manifest binary, pack binary, payload_key binary, joins boolean"), "media-packs"), shared
+
+
+def rebuilt(head: bytes, pack: bytes, fetched: dict[int, bytes]) -> tuple[int, bytes]:
+    """Bytes of the text, and the payload, from a stored form; each chunk's size and digest are verified."""
+    n_bytes, sizes, digests, shared = parse(head)
+    unpress = zstandard.ZstdDecompressor()
     here, at, parts = unpress.decompress(pack) if pack else b"", 0, []
     for i, (size, d, away) in enumerate(zip(sizes, digests, shared, strict=True)):
         if away:
@@ -164,17 +188,48 @@ def _rebuilt(n_bytes, sizes, digests, shared, pack, fetched, unpress) -> tuple[b
         if len(chunk) != size or digest(chunk) != d:
             raise ValueError("a stored chunk is damaged")
         parts.append(chunk)
-    return manifest(n_bytes, sizes, digests), parts
+    return n_bytes, b"".join(parts)
 
 
-def _read_rows(batch: pa.RecordBatch, fetched) -> list[pa.Array]:
-    unpress = zstandard.ZstdDecompressor()
-    columns = [batch.column(c).to_pylist() for c in ("n_bytes", "sizes", "digests", "shared", "pack")]
-    rows = []
-    for i, (n, sizes, digests, shared, pack) in enumerate(zip(*columns, strict=True)):
-        head, parts = _rebuilt(n, sizes, digests, shared, pack, fetched(i), unpress)
-        rows.append(features(head, parts, n))
-    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(_OUT_TYPES)]
+def features(head: bytes, pack: bytes, fetched: dict[int, bytes]) -> tuple:
+    """What is told of a stored payload: bytes, digests of the payload and of the stored form, and a feature of its 8-bit samples."""
+    n_bytes, data = rebuilt(head, pack, fetched)
+    stored = [head, pack, *(fetched[i] for i in sorted(fetched))]
+    media = hashlib.sha256()
+    for x in stored:
+        media.update(x)
+    samples = np.frombuffer(data, np.uint8)
+    changes = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
+    feature = f"chunks={len(parse(head)[1])};mean={float(samples.mean()):.4f};peak={int(samples.max())};zero_crossings={changes}"
+    return n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), sum(map(len, stored)), media.hexdigest(), feature
+
+
+def _stored(batch: pa.RecordBatch):
+    """Manifest, pack and fetched frames by place, a row at a time."""
+    head, pack = batch.column("manifest"), batch.column("pack")
+    got = batch.column("fetched") if "fetched" in batch.schema.names else None
+    for i in range(batch.num_rows):
+        frames = got[i].as_py() if got is not None else None
+        yield head[i].as_py(), pack[i].as_py(), {x["at"]: x["chunk"] for x in frames or ()}
+
+
+def _fetched(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """payload_key and the frames (at, chunk) of its shared chunks, for distinct payloads."""
+
+    def places(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for key, head in zip(batch.column("payload_key").to_pylist(), batch.column("manifest").to_pylist(), strict=True):
+                _, _, digests, away = parse(head)
+                out += [(key, i, d) for i, (d, s) in enumerate(zip(digests, away, strict=True)) if s]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["payload_key", "at", "digest"])
+
+    wanted = map_batches(rows.select("payload_key", "manifest"), places, "payload_key binary, at int, digest binary")
+    return wanted.join(shared, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("at", "chunk")).alias("fetched"))
+
+
+def _distinct(packs: DataFrame) -> DataFrame:
+    return cut(packs.where("joins").groupBy("payload_key").agg(F.first("manifest").alias("manifest"), F.first("pack").alias("pack")), "media-distinct")
 
 
 def read(packs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -184,49 +239,38 @@ def read(packs: DataFrame, shared: DataFrame) -> DataFrame:
     large group of copies moves small rows only.
     """
 
-    def whole(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_read_rows(batch, lambda i: None)], ["doc_id", *_OUT])
+    def told(key):
+        def run(batches):
+            for batch in batches:
+                rows = [features(*x) for x in _stored(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(_OUT_TYPES))], [key, *_OUT])
 
-    def joined(batches):
-        for batch in batches:
-            got = batch.column("fetched").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("payload_key"), *_read_rows(batch, lambda i: {x["at"]: x["chunk"] for x in got[i]})], ["payload_key", *_OUT])
+        return run
 
     kind = packs.schema["doc_id"].dataType.simpleString()
-    alone = packs.where("not joins").mapInArrow(whole, f"doc_id {kind}, {_OUT_SCHEMA}")
-    theirs = packs.where("joins")
-    first = [F.first(c).alias(c) for c in ("n_bytes", "sizes", "digests", "shared", "pack")]
-    distinct = cut(theirs.groupBy("payload_key").agg(*first), "media-distinct")
-    wanted = distinct.select("payload_key", F.posexplode(F.arrays_zip("digests", "shared")).alias("at", "c")).where("c.shared").select("payload_key", "at", F.col("c.digests").alias("digest"))
-    fetched = wanted.join(shared, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("at", "chunk")).alias("fetched"))
-    rebuilt = distinct.join(fetched, "payload_key").mapInArrow(joined, f"payload_key binary, {_OUT_SCHEMA}")
-    return alone.unionByName(theirs.select("doc_id", "payload_key").join(rebuilt, "payload_key").drop("payload_key"))
+    alone = map_batches(packs.where("not joins").select("doc_id", "manifest", "pack"), told("doc_id"), f"doc_id {kind}, {_OUT_SCHEMA}")
+    theirs, distinct = packs.where("joins").select("doc_id", "payload_key"), _distinct(packs)
+    again = map_batches(distinct.join(_fetched(distinct, shared), "payload_key"), told("payload_key"), f"payload_key binary, {_OUT_SCHEMA}")
+    return alone.unionByName(theirs.join(again, "payload_key").drop("payload_key"))
 
 
 def texts(packs: DataFrame, shared: DataFrame) -> DataFrame:
     """doc_id and text of every stored payload (an empty text for a null one)."""
 
     def run(batches):
-        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                got = {x["at"]: x["chunk"] for x in row["fetched"] or ()}
-                _, parts = _rebuilt(row["n_bytes"], row["sizes"], row["digests"], row["shared"], row["pack"], got, unpress)
-                out.append(b"".join(parts)[: row["n_bytes"]].decode("utf-8", "replace"))
+            out = [data[:n].decode("utf-8", "replace") for n, data in (rebuilt(*x) for x in _stored(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    wanted = packs.select("payload_key", F.posexplode(F.arrays_zip("digests", "shared")).alias("at", "c")).where("c.shared").select("payload_key", "at", F.col("c.digests").alias("digest")).distinct()
-    fetched = wanted.join(shared, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("at", "chunk")).alias("fetched"))
-    rows = packs.join(fetched, "payload_key", "left")
+    rows = packs.join(_fetched(_distinct(packs), shared), "payload_key", "left").select("doc_id", "manifest", "pack", "fetched")
     return map_batches(rows, run, f"doc_id {packs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def media(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id and the features of its payload, stored and read back.
 
-    The stored form of a payload is its manifest followed by its chunks, 8-bit samples; media_bytes and media_sha256 are
-    those of that form.  A null text counts as empty, whose payload is 64 zero bytes.  Equal texts give equal values.
+    The stored form of a payload is its manifest, its pack and the frames of its shared chunks in order, as they lie on disk; media_bytes
+    and media_sha256 are those of the bytes that were read.  A null text counts as empty, whose payload is 64 zero bytes.  Equal
+    texts give equal values.  Repeated rows and null ids are kept as they are; an empty table gives an empty one; other columns are left out.
     """
     return read(*store(docs))
