@@ -21,6 +21,8 @@ MOST = 3
 #: Bits of the hash that each level of the histogram tells apart.
 LEVEL_BITS = 12
 LEVELS = 3
+#: Up to so many sources go to every worker (some MB at most); more are joined by a shuffle, each in SALT parts.
+BROADCAST_SOURCES, SALT = 20_000, 32
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,58 +45,71 @@ def hash36(doc_id):
     return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def targets(source_sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS) -> list[tuple[str | None, int, float]]:
-    """source, size, target: shares by weight of 100% of all sizes, capped at MOST times the size, the excess shared again.
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """source, source_size, target of ``sources`` (source, n; one row each): shares by weight of 100% of all sizes, capped at MOST times the size.
 
-    Sources stand by code point, null last.  The input is one row for each source.
+    Sources stand by code point, null last, and weigh ``weights``, repeating.  The excess of capped sources is shared again by weight: each turn
+    gives the open ones one share a weight, until none is above its cap.  The driver sees two sums a turn and one row a partition.
     """
-    order = sorted(source_sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    total = sum(n for _, n in order)
-    open_, target, left = list(range(len(order))), [0.0] * len(order), float(total)
-    while open_:
-        weight = sum(weights[i % len(weights)] for i in open_)
-        share = {i: left * weights[i % len(weights)] / weight for i in open_}
-        full = [i for i in open_ if share[i] > MOST * order[i][1]]
-        if not full:
-            for i in open_:
-                target[i] = share[i]
+    spark = sources.sparkSession
+    dealt = sources.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
+    dealt = cut(dealt, "mix-order")
+    before, counts = 0, []
+    for r in sorted(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        counts.append((r["part"], before))
+        before += r["n"]
+    if not counts:
+        return spark.createDataFrame([], f"source {sources.schema['source'].dataType.simpleString()}, source_size long, target double")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("before")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
+    ranked = cut(dealt.join(F.broadcast(spark.createDataFrame(counts, "part int, before long")), "part").select("source", F.col("n").alias("source_size"), weight.alias("weight")), "mix-weights")
+    cap, share, capped = MOST * F.col("source_size"), 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(share) > cap if capped >= 0 else F.lit(False)
+        at = ranked.agg(F.sum("source_size"), F.sum(F.when(full, cap).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight"))), F.count(F.when(full, 1))).collect()[0]
+        if at[3] == capped or not at[2]:
             break
-        for i in full:
-            target[i] = float(MOST * order[i][1])
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return [(s, n, t) for (s, n), t in zip(order, target, strict=True)]
+        share, capped = float(at[0] - at[1]) / at[2], at[3]
+    return ranked.select("source", "source_size", F.least(cap.cast("double"), F.col("weight") * F.lit(share)).alias("target"))
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
-    """One row per source of ``rows`` (source, size, h; a written table): source_size, target, whole, rest, edge, all_rest.
+def by_source(rows: DataFrame, small: DataFrame, many: bool) -> DataFrame:
+    """``rows`` joined with the columns of ``small`` (source as ``mix_source``, one row each, whose names no column of ``rows`` has).
+
+    Up to BROADCAST_SOURCES sources go to every worker.  ``many`` are joined by a shuffle, each in SALT parts, so that a hot source is split.
+    """
+    same = F.col("source").eqNullSafe(F.col("mix_source"))
+    if not many:
+        return rows.join(F.broadcast(small), same)
+    salted = small.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    mine = rows.withColumn("mix_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    return mine.join(salted, same & (F.col("mix_part") == F.col("mix_salt"))).drop("mix_salt", "mix_part")
+
+
+def thresholds(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """One row per source of ``rows`` (doc_id, source, size, h; a written table): source, source_size, target, whole, rest, edge, all_rest; and whether they are many.
 
     Each document of a source is taken floor(target / source size) times, and once more if its hash is under the
     source's threshold; the threshold is the bucket edge whose sum comes nearest to the rest of the budget
     (the lower of two equally near).  Rows of equal hash share one decision.  An empty source takes nothing.
     """
-    spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    plan = targets([(r["source"], r["n"]) for r in found])
-    kind = rows.schema["source"].dataType.simpleString()
-    base = []
-    for source, n, target in plan:
-        whole = min(int(target // n), MOST) if n else 0
-        base.append((source, n, float(target), whole, float(target - whole * n) if n and whole < MOST else 0.0))
-    state = spark.createDataFrame(base, f"source {kind}, source_size long, target double, whole int, rest double")
+    plan = cut(targets(cut(rows.groupBy("source").agg(F.sum("size").alias("n")), "mix-sources")), "mix-targets")
+    many = plan.count() > BROADCAST_SOURCES
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0).cast("int")
+    rest = F.when((F.col("source_size") > 0) & (F.col("whole") < MOST), F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
     # edge: all hashes under it are taken; open: the bucket that holds the threshold, as the hash's leading bits
-    state = state.withColumns({"below": F.lit(0).cast("long"), "open": F.lit(0).cast("long")})
+    state = plan.withColumn("whole", whole).withColumn("rest", rest).withColumns({"below": F.lit(0).cast("long"), "open": F.lit(0).cast("long")})
     bits = LEVEL_BITS * LEVELS
     for level in range(1, LEVELS + 1):
         shift = bits - LEVEL_BITS * level
-        here = rows.join(F.broadcast(state.select(F.col("source").alias("s"), "open")), F.col("source").eqNullSafe(F.col("s")))
+        here = by_source(rows, state.select(F.col("source").alias("mix_source"), F.col("open").alias("mix_open")), many)
         # a null id has hash -1 and lies in the first bucket at every level
         place = F.greatest("h", F.lit(0))
-        inside = here.where(F.shiftright(place, shift + LEVEL_BITS) == F.col("open"))
+        inside = here.where(F.shiftright(place, shift + LEVEL_BITS) == F.col("mix_open"))
         sums = inside.groupBy("source", F.shiftright(place, shift).alias("bucket")).agg(F.sum("size").alias("n"))
         by = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("n").over(by)).withColumnRenamed("source", "s")
-        sums = sums.join(F.broadcast(state.select("source", "below", "rest")), F.col("s").eqNullSafe(F.col("source")))
+        sums = sums.join(state.select("source", "below", "rest"), F.col("s").eqNullSafe(F.col("source")))
         over = sums.where(F.col("below") + F.col("upto") > F.col("rest"))
         first = over.groupBy("s").agg(F.min(F.struct("bucket", "upto", "n")).alias("at"))
         first = first.select("s", F.col("at.bucket").alias("bucket"), (F.col("at.upto") - F.col("at.n")).alias("before"), F.col("at.n").alias("n"))
@@ -102,35 +117,37 @@ def thresholds(rows: DataFrame) -> DataFrame:
             "source", "source_size", "target", "whole", "rest", (F.col("below") + F.coalesce("before", F.lit(0))).alias("below"),
             F.coalesce("bucket", F.lit(-1).cast("long")).alias("open"), F.coalesce("n", F.lit(0)).alias("last"),
         )
-        # one row for each source
-        state = spark.createDataFrame(state.collect(), state.schema)
+        state = cut(state, "mix-level")
     # the last bucket holds rows of one hash: take it if that comes nearer
     nearer = F.col("below") + F.col("last") - F.col("rest") < F.col("rest") - F.col("below")
     edge = F.when(F.col("open") < 0, F.lit(0)).otherwise(F.col("open") + nearer.cast("int"))
-    state = state.select("source", "source_size", "target", "whole", "rest", edge.alias("edge"), (F.col("open") < 0).alias("all_rest"))
-    return spark.createDataFrame(state.collect(), state.schema)
+    return state.select("source", "source_size", "target", "whole", "rest", edge.alias("edge"), (F.col("open") < 0).alias("all_rest")), many
 
 
-def with_times(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """``rows`` with mix_size, mix_target and mix_times of their source and hash.  ``limits`` has one small row for each source."""
-    s = limits.select(*[F.col(c).alias(f"mix_{c}") for c in limits.columns])
-    out = rows.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("mix_source")))
+def with_times(rows: DataFrame, limits: DataFrame, many: bool) -> DataFrame:
+    """``rows`` with one more column, ``mix`` (a struct: source_size, target, times); a column of that name must not be there."""
+    out = by_source(rows, limits.select(F.col("source").alias("mix_source"), F.struct("source_size", "target", "whole", "rest", "edge", "all_rest").alias("mix")), many)
     place = F.greatest(hash36(F.col("doc_id")), F.lit(0))
-    once_more = F.when(F.col("mix_all_rest"), F.col("mix_rest") > 0).otherwise(place < F.col("mix_edge"))
-    return out.select(*[rows[c] for c in rows.columns], F.col("mix_source_size"), F.col("mix_target"), F.least(F.col("mix_whole") + once_more.cast("int"), F.lit(MOST)).alias("mix_times"))
+    once_more = F.when(F.col("mix.all_rest"), F.col("mix.rest") > 0).otherwise(place < F.col("mix.edge"))
+    times = F.least(F.col("mix.whole") + once_more.cast("int"), F.lit(MOST))
+    return out.withColumn("mix", F.struct("mix.source_size", "mix.target", times.alias("times"))).drop("mix_source")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row; taken is the words that the mix takes, repeats counted."""
+    """doc_id, size, source_size, target, taken for every row; taken is the words that the mix takes, repeats counted.
+
+    Null texts have size 0, a null source is one of its own, rows of equal doc_id share a decision; an empty table gives an empty one.
+    """
     rows = cut(sizes(docs), "mix-sizes")
-    out = with_times(rows, thresholds(rows))
-    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_times")).alias("taken"))
+    out = with_times(rows, *thresholds(rows))
+    return out.select("doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.times")).alias("taken"))
 
 
 def apply_mixture(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns), each as often as the mix takes it; texts are filtered where they lie."""
-    out = with_times(docs, thresholds(cut(sizes(docs), "mix-sizes")))
-    return out.where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    """The rows of ``docs`` (all columns, whatever their names), each as often as the mix takes it; texts are filtered where they lie."""
+    inner = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = with_times(inner, *thresholds(cut(sizes(docs), "mix-sizes")))
+    return out.where("mix.times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix.times"))).alias("copy")).select("row.*")
 
 
 #: The same mix in SQL: the running sums are taken over single hashes.
