@@ -1,14 +1,17 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 
 from vistra.llm import media_chunks, simhash, url_filters, vector_dedup
 from vistra.llm.components import components
 
 from .conftest import SCHEMA, rows_of
+from .test_text_operators import plain_targets
 
 
 def closure(n, links):
@@ -189,23 +192,37 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_repeated_ids_keep_the_links_of_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (3, [-1.0, 0.0])]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 1, 2), (2, 2, 1), (3, 0, 3), (3, 1, 2)]
+
+
 def test_embedding_recall_at_the_threshold():
+    """The count is calibrated on one half of the vectors; pairs at exactly the least cosine of the other half reach it."""
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((2000, 64))
+    x = rng.standard_normal((4000, 64)) * rng.uniform(0.2, 2, 64)  # not the same in all directions
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal(x.shape)
-    z -= (z * x).sum(1, keepdims=True) * x
-    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    tau, m = vector_dedup.plan(10_000)
-    tables = []
-    for v in (x, y):
-        row, lists, p = vector_dedup.tails(v.astype(np.float32), tau, m)
-        tables.append({(int(r), int(k)): float(q) for r, k, q in zip(row, lists, p, strict=True)})
-    hits = np.zeros(len(x))
-    for (r, k), p in tables[0].items():
-        q = tables[1].get((r, k))
-        hits[r] += q is not None and abs(p - q) <= vector_dedup.WINDOW
-    assert (hits >= vector_dedup.NEEDED).mean() > 0.99
+    tau, m, needed = vector_dedup.calibrate([x[:2000]], 20_000)
+    counts = vector_dedup.collisions_of(x[2000:], vector_dedup.partners(x[2000:], 9), tau, m)
+    assert needed >= 2 and (counts >= needed).mean() > 0.99
+
+
+def test_collisions_are_those_of_query_windows():
+    rng = np.random.default_rng(0)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((30, 8)), rng.standard_normal((30, 8))))
+    y[:15] = vector_dedup.partners(x[:15])
+    tau, m = 1.2, 6
+    got = vector_dedup.collisions_of(x, y, tau, m)
+    want = np.zeros(30, int)
+    for number in range(vector_dedup.SETS):
+        u, v = vector_dedup.directions(8, m, number)
+        d = ((u[:, :, None] + v[:, None, :]) / np.sqrt(2)).reshape(8, -1)
+        p, q = x @ d, y @ d
+        for s in (1, -1):
+            near = np.abs(p - q) <= vector_dedup.WINDOW
+            want += (near & (s * p >= tau)).sum(1) + (near & (s * q >= tau)).sum(1)
+    assert np.abs(got - want).max() <= 1 and want.sum() > 100  # single precision may move a projection over an edge
 
 
 # --- 8: media -----------------------------------------------------------------------------------------
@@ -221,8 +238,9 @@ def test_chunks_follow_the_content():
 
 def test_media_round_trip(spark, docs, no_docs, monkeypatch):
     rows = rows_of()
-    for bits in (1 << 24, 64):  # a full filter sends every chunk through the shared table
-        monkeypatch.setattr(media_chunks, "FILTER_BITS", bits)
+    for most in (1 << 28, 64):  # a full filter sends every chunk through the shared table
+        monkeypatch.setattr(media_chunks, "FILTER_LEAST", min(most, 1 << 16))
+        monkeypatch.setattr(media_chunks, "FILTER_MOST", most)
         packs, shared = media_chunks.store(docs)
         got = media_chunks.read(packs, shared).collect()
         want = []
@@ -237,21 +255,45 @@ def test_media_round_trip(spark, docs, no_docs, monkeypatch):
         assert all(len(v) == 1 for v in by.values())
         assert shared.count() == shared.select("digest").distinct().count()
         assert sorted((str(r.doc_id), r.text) for r in media_chunks.texts(packs, shared).collect()) == sorted((str(r[0]), r[1] or "") for r in rows)
+        # the digest and size are those of the bytes that lie in the tables; the feature is that of the payload
+        frames = {bytes(r.digest): bytes(r.chunk) for r in shared.collect()}
+        for r in packs.collect():
+            _, sizes, digests, away = media_chunks.parse(bytes(r.manifest))
+            stored = bytes(r.manifest) + bytes(r.pack) + b"".join(frames[d] for d, s in zip(digests, away, strict=True) if s)
+            text = next(x[1] for x in rows if x[0] == r.doc_id) or ""
+            payload = media_chunks.payload(text.encode())
+            wide = [b >= 128 for b in payload]
+            feature = f"chunks={len(sizes)};mean={sum(payload) / len(payload):.4f};peak={max(payload)};zero_crossings={sum(a != b for a, b in zip(wide, wide[1:]))}"
+            if r.doc_id is not None:
+                assert by[hashlib.sha256(payload).hexdigest()] == {(len(stored), hashlib.sha256(stored).hexdigest(), feature, len(text.encode()))}
     assert media_chunks.media(no_docs).count() == 0
 
 
-def test_damage_is_noticed(spark):
+def test_repeated_chunks_lie_on_disk_once(spark):
+    rng = random.Random(4)
+    page = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60_000))
+    frame = spark.createDataFrame([(i, f"{i} {page}") for i in range(8)], "doc_id long, text string").repartition(4)
+    packs, shared = media_chunks.store(frame)
+    assert sum(len(r.pack) for r in packs.collect()) < 8 * 10_000
+    assert 30_000 < sum(len(r.chunk) for r in shared.collect()) < 60_000
+
+
+def test_filter_grows_with_its_digests():
+    assert media_chunks.filter_bits(0) == media_chunks.FILTER_LEAST and media_chunks.filter_bits(1 << 40) == media_chunks.FILTER_MOST
+    assert all(media_chunks.FILTER_SHARE * n <= media_chunks.filter_bits(n) < 2 * media_chunks.FILTER_SHARE * n for n in (5_000, 70_000, 1 << 20))
+
+
+def test_damage_is_noticed():
     import zstandard
 
     text = b"some words of a text " * 40
     parts = media_chunks.chunks(media_chunks.payload(text))
-    digests = [media_chunks.digest(c) for c in parts]
-    pack = zstandard.ZstdCompressor().compress(b"?" + b"".join(parts)[1:])
-    try:
-        media_chunks._rebuilt(len(text), [len(c) for c in parts], digests, [False] * len(parts), pack, None, zstandard.ZstdDecompressor())
-    except ValueError:
-        return
-    raise AssertionError("damage went unnoticed")
+    head = media_chunks.manifest(len(text), [len(c) for c in parts], [media_chunks.digest(c) for c in parts], [False] * len(parts))
+    press = zstandard.ZstdCompressor()
+    assert media_chunks.rebuilt(head, press.compress(b"".join(parts)), {}) == (len(text), media_chunks.payload(text))
+    for bad in ((head, press.compress(b"?" + b"".join(parts)[1:])), (head[:-1], press.compress(b"".join(parts))), (b"?" + head[1:], b"")):
+        with pytest.raises((ValueError, struct.error)):
+            media_chunks.rebuilt(*bad, {})
 
 
 # --- pipeline -----------------------------------------------------------------------------------------
@@ -259,7 +301,7 @@ def test_damage_is_noticed(spark):
 
 def test_pipeline_equals_its_parts_done_plainly(spark, tmp_path):
     import corpus_pipeline
-    from vistra.llm import language_id, mixing, secrets, sentencepieces
+    from vistra.llm import language_id, secrets, sentencepieces
     from vistra.llm.queries import piece_vocabulary, word_vocabulary
 
     from collections import Counter
@@ -285,7 +327,7 @@ def test_pipeline_equals_its_parts_done_plainly(spark, tmp_path):
     for source, n in sized.values():
         total[source] += n
     want = Counter()
-    for source, n, target in mixing.targets(list(total.items())):
+    for source, n, target in plain_targets(list(total.items())):
         mine = sorted((i for i, (s, _) in sized.items() if s == source), key=hashed)
         whole = min(int(target // n), 3) if n else 0
         rest, upto, edge = target - whole * n if whole < 3 else 0, 0, 0

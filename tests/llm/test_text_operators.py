@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from vistra.llm import language_id, maxent, mixing, pieces, secrets, sentencepieces, token_records
+from vistra.llm.common import count_floor
 from vistra.llm.queries import word_vocabulary
 
 from .conftest import SCHEMA, rows_of
@@ -194,9 +195,9 @@ def test_lm_is_a_distribution_and_beats_the_base(spark):
 def test_lm_floor_bounds_the_frequent_words(spark):
     counts = spark.createDataFrame([(str(i).encode(), c) for i, c in enumerate([1] * 50 + [2] * 20 + [40, 41, 900])], "word binary, c long")
     for most in (1, 3, 25, 1000):
-        floor = maxent._floor(counts, most)
+        floor = count_floor(counts, most)
         assert counts.where(f"c >= {floor}").count() <= most
-    assert maxent._floor(counts, 1000) == 1
+    assert count_floor(counts, 1000) == 1
 
 
 def test_lm_on_nothing(no_docs):
@@ -240,13 +241,41 @@ def test_sentencepiece_finds_the_best_score(vocab):
 # --- 6: mixing ----------------------------------------------------------------------------------------
 
 
-def test_mixture_targets_are_water_filled():
-    got = mixing.targets([("b", 100), (None, 1000), ("a", 10), ("c", 0)])
-    assert [s for s, _, _ in got] == ["a", "b", "c", None]
-    t = {s: x for s, _, x in got}
-    assert t["a"] == 30 and t["c"] == 0 and sum(t.values()) == pytest.approx(1110)
-    assert t["b"] == 300 and t[None] == pytest.approx(780)
-    assert mixing.targets([]) == []
+def plain_targets(sizes, weights=(1, 2, 3)):
+    """Water filling one source at a time."""
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    left, open_, target = float(sum(n for _, n in order)), list(range(len(order))), [0.0] * len(order)
+    while open_:
+        weight = sum(weights[i % 3] for i in open_)
+        share = {i: left * weights[i % 3] / weight for i in open_}
+        full = [i for i in open_ if share[i] > 3 * order[i][1]]
+        for i in full or open_:
+            target[i] = 3.0 * order[i][1] if full else share[i]
+        left -= sum(target[i] for i in full)
+        open_ = [i for i in open_ if i not in full] if full else []
+    return [(s, n, t) for (s, n), t in zip(order, target, strict=True)]
+
+
+def test_mixture_targets_are_water_filled(spark):
+    import random
+
+    rng = random.Random(2)
+    cases = [[("b", 100), (None, 1000), ("a", 10), ("c", 0)], [], [("x", 0)], [(f"s{i}é" if i % 2 else f"S{i}", int(10 ** rng.uniform(0, 5))) for i in range(200)]]
+    for case in cases:
+        got = {r.source: (r.source_size, r.target) for r in mixing.targets(spark.createDataFrame(case, "source string, n long")).collect()}
+        want = {s: (n, t) for s, n, t in plain_targets(case)}
+        assert got.keys() == want.keys() and all(got[s][0] == want[s][0] and got[s][1] == pytest.approx(want[s][1]) for s in want)
+    assert {s: t for s, _, t in plain_targets(cases[0])} == {"a": 30, "b": 300, "c": 0, None: pytest.approx(780)}
+
+
+def test_many_sources_and_clashing_columns(spark, docs, monkeypatch):
+    few = sorted(map(str, mixing.mixture(docs).collect()))
+    clash = docs.withColumnsRenamed({"held_out": "mix_times", "part": "mix", "size": "row"})
+    applied = sorted(map(str, mixing.apply_mixture(clash).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mixture(docs).collect())) == few
+    out = mixing.apply_mixture(clash)
+    assert out.columns == clash.columns and sorted(map(str, out.collect())) == applied
 
 
 def test_mixture_comes_near_its_targets(docs, no_docs):
@@ -350,7 +379,7 @@ def test_words_of_the_corpus_are_cheap(spark, docs):
     frame = spark.createDataFrame(rows, "doc_id long, text string, word string")
     words = secrets.corpus_words(frame)
     assert words == ["pwd", "quixotryzal", "the"]  # values of contexts do not count
-    assert secrets.corpus_words(frame, 1) == ["pwd"] and secrets.corpus_words(frame.limit(0)) == []
+    assert secrets.corpus_words(frame, 2) == [] and secrets.corpus_words(frame.limit(0)) == []
     text = "secret: quixotryzal1999"
     assert secrets.guessed_spans(text) and not secrets.guessed_spans(text, secrets.dictionary(None, words))
     known = secrets.dictionary(word_vocabulary())
