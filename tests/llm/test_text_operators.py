@@ -184,12 +184,71 @@ def test_lm_rare_words_are_joined(docs, monkeypatch):
 
 
 def test_lm_is_a_distribution_and_beats_the_base(spark):
-    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model, counts = maxent.fit(table)
-    p = np.exp(maxent.log_softmax(model.weights, np.arange(0, 60_000, 997)))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    w = model.width
+    contexts = np.arange(0, 1 << 40, 37_999_999_999)
+    key = np.sort((contexts[:, None] << maxent.SYMBOL_BITS | np.arange(w * w)).ravel())
+    assert np.allclose(np.exp(maxent.token_logs(model, key)).reshape(len(contexts), -1).sum(1), 1, atol=1e-3)
     got = maxent.score(table, model, counts).where("held_out").toPandas()
-    assert got["score"].sum() > got["base_score"].sum()
+    assert got["score"].sum() / got["n_tokens"].sum() > got["base_score"].sum() / got["n_tokens"].sum() + 0.1
+    assert len(model.symbols) == w * w - 2 > 4_000
+
+
+def test_lm_scores_equal_a_plain_model(docs):
+    """Every text scored a token at a time from the same weights, with numbers of its own for the rows."""
+    model, counts = maxent.fit(docs, 8)
+    got = {(r.doc_id, r.n_tokens): r.score for r in maxent.score(docs, model, counts).collect()}
+    reader, w = maxent.Reader(model), model.width
+    train = [t for r in rows_of() for t in [(r[1] or "").encode().lower().split()] if r[0] is None or crc(r[0], 7) != 2]
+    c = Counter(x for t in train for x in t)
+    rest = {x: n for x, n in c.items() if x not in model.symbols}
+    norm = sum(rest.values()) + len(rest) + 1
+    soft = lambda x: x - math.log(sum(math.exp(v) for v in x))
+    for r in rows_of():
+        words = (r[1] or "").encode().lower().split()
+        flat, _ = reader.table.batch([b" ".join(words)])
+        numbers = reader.number[flat].tolist()
+        one = two = w * w
+        want = 0.0
+        for word, number in [*zip(words, numbers, strict=True), (None, 0)]:
+            symbol = number if number < w * w else maxent.OTHER
+            context = np.array([one << maxent.CONTEXT_BITS | two])
+            cls = np.array([symbol // w])
+            first = sum(model.weights[0][x[0]].astype(float) for x in maxent.class_rows(context))
+            second = sum(model.weights[1][x[0]].astype(float) for x in maxent.member_rows(context, cls, model.places()))
+            want += (soft(first)[symbol // w] + soft(second)[symbol % w]) / math.log(10)
+            if symbol == maxent.OTHER:
+                want += math.log10((c[word] + 1) / norm)
+            one, two = number, one
+        assert got[r[0], len(words) + 1] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_rows_that_repeat_are_added():
+    rng = np.random.default_rng(1)
+    for most in (1, 3, 40, 1000):
+        rows, values = rng.integers(0, most, 700), rng.standard_normal((700, 6)).astype(np.float32)
+        got, want = np.ones((1000, 6), np.float32), np.ones((1000, 6))
+        maxent.add_rows(got, rows, values)
+        np.add.at(want, rows, values)
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_lm_gradient_is_counts_less_expectations():
+    w = 8
+    key, n = np.unique(np.array([5, 5, 9, 60]) | (3 << maxent.CONTEXT_BITS | 7) << maxent.SYMBOL_BITS, return_counts=True)
+    model = maxent.Model(4, 4, 0, 1, {}, {}, 0, 0, w, np.full((w, w), 1 / 64))
+    model.weights = model.start()
+    sums, visits = [np.zeros((len(x), w), np.float32) for x in model.weights], [np.zeros(len(x), np.float32) for x in model.weights]
+    maxent.add_gradient(sums, visits, model, key, n)
+    context = key[:1] >> maxent.SYMBOL_BITS
+    for row in maxent.class_rows(context)[1:]:
+        assert np.allclose(sums[0][row[0]], np.array([2, 1, 0, 0, 0, 0, 0, 1]) - 0.5) and visits[0][row[0]] == 4
+    for cls, member, tokens in ((0, 5, 2), (1, 1, 1), (7, 4, 1)):
+        for row in maxent.member_rows(context, np.array([cls]), model.places())[1:]:
+            assert np.allclose(sums[1][row[0]], tokens * (np.arange(w) == member) - tokens / 8) and visits[1][row[0]] == tokens
+    assert not sums[0][0].any() and not sums[1][:w].any()  # the bias is counted, not trained
+    assert model.places()[-1] <= maxent.MEMBER_ROWS and model.typical().shape == (maxent.CLASS_ROWS + maxent.MEMBER_ROWS, w)
 
 
 def test_lm_floor_bounds_the_frequent_words(spark):

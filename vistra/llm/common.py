@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -126,6 +127,18 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def count_floor(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows of ``counts(c)`` reach, from a histogram of bounded size."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = sorted(((r["k"], r["n"], r["hi"]) for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("hi")).collect()), reverse=True)
+    taken = 0
+    for _, n, hi in steps:
+        if taken + n > most:
+            return hi + 1
+        taken += n
+    return 1
+
+
 class Ids(dict):
     """Numbers its keys in the order in which they are first asked for."""
 

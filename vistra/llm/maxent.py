@@ -1,31 +1,43 @@
 """LM scoring with a hashed maximum-entropy model and class-factored softmax.
 
-The corpus is counted first, all of it: words, then triples of model words.  The model predicts the class of the
-next word, then the word in its class, from the bias, the word before, the two before, and the one
-before last (a skip); each context is hashed to a row of weights.  Gradients are summed over the counted
-triples by Spark, a round at a time.  Words outside the model's own list share one symbol, whose
-probability is spread over them by their counts.
+The corpus's words are counted first, all of them.  The most frequent ones, the end of a text and a symbol for all others are what
+the model predicts: first the class of the next symbol, then the symbol in its class, each by a softmax over sums of weight rows.  The
+features are the bias, the word before, the word before that (a skip) and, for classes, both; every word, rare ones too, is a context of its own
+hash.  A feature's row of class weights is found by a hash of the feature, its row of member weights by one among the rows of the class.
+
+The bias is the logarithms of the counted shares.  Then every training text is used in one round: the rounds' texts are dealt by a hash,
+Spark sums a round's gradient over them, and the driver makes a step.  The probability of the symbol for all others is spread
+over the words that it stands for by their counts, so the score is a proper log probability.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, cut, map_batches, segment_sums, slices, text_bytes
-
-#: Words whose counts are sent to every worker, at most; all others are joined.
-FREQUENT = 200_000
-#: Symbols of the softmax: the most frequent words, the end and the symbol for all others.
-SYMBOLS, CLASSES = 256, 16
-MEMBERS = SYMBOLS // CLASSES
-END, OTHER, START = 0, 1, SYMBOLS
-ROWS, ROUNDS, RATE, RIDGE = 2048, 5, 0.6, 5.0
+from .common import WordTable, count_floor, cut, map_batches, segment_sums, slices, text_bytes
+
+#: Words whose counts are sent to every worker, at most, and the bytes of the longest of them; all others are joined.
+FREQUENT, FREQUENT_BYTES = 200_000, 64
+#: Classes, and members of each: the softmax has WIDTH * WIDTH symbols.
+WIDTH = 64
+END, OTHER = 0, 1
+#: Bits of a context word's number, and of a symbol's.
+CONTEXT_BITS, SYMBOL_BITS = 20, 13
+#: Rows of class weights and of member weights.
+CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 15
+ROUNDS, RATE, RIDGE = 5, 0.7, 5.0
+#: Rows of a gradient that travel together, tokens whose gradient is computed together, and rows of weights that are looked up together.
+BLOCK, TOKENS, PART = 32, 400_000, 4_096
+#: Bytes of encoded text for each task of a round, so that gradients stay small beside what they are taken from.
+TASK_BYTES = 128 << 20
 #: Distinct words that a worker counts before it hands them on.
 FLUSH = 500_000
 
@@ -39,17 +51,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (bytes), c over all training texts, and the end once for each text under the null word."""
 
     def run(batches):
-        found: dict[bytes, int] = {}
+        found: Counter = Counter()
         texts = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 texts += part.num_rows
                 for text in text_bytes(part.column("text")).to_pylist():
-                    for word in text.lower().split():
-                        found[word] = found.get(word, 0) + 1
+                    found.update(text.lower().split())
                 if len(found) > FLUSH:
                     yield _counts(found)
-                    found = {}
+                    found = Counter()
         yield _counts(found)
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
@@ -67,12 +78,14 @@ class Model:
     total: int  # N
     distinct: int  # V
     end: int  # count of the end
-    floor: int  # words counted at least so often are in ``frequent``
+    floor: int  # words counted at least so often, and not too long, are in ``frequent``
     frequent: dict[bytes, int]
     symbols: dict[bytes, int]
     rest_total: int  # counts outside the model's list
     rest_distinct: int
-    weights: np.ndarray | None = None
+    width: int = WIDTH
+    shares: np.ndarray | None = None  # counted share of each symbol, a row for each class
+    weights: tuple[np.ndarray, np.ndarray] | None = None
 
     def log_base(self, c) -> np.ndarray:
         return np.log10(np.asarray(c, float) + 1.0)
@@ -85,33 +98,43 @@ class Model:
     def rest_norm(self) -> float:
         return math.log10(self.rest_total + self.rest_distinct + 1.0)
 
+    def places(self) -> np.ndarray:
+        """Where each class's hashed rows of member weights start, and where the last ends; a class has rows by the root of its share."""
+        root = np.sqrt(self.shares.sum(1))
+        return self.width + np.r_[0, np.floor(np.cumsum(root) / root.sum() * (MEMBER_ROWS - self.width) + 1e-6)].astype(np.int64)
+
+    def typical(self) -> np.ndarray:
+        """The counted shares that belong to each row of class weights, then of member weights."""
+        by_class, members = self.shares.sum(1), self.shares / self.shares.sum(1, keepdims=True)
+        whose = np.r_[np.arange(self.width), np.repeat(np.arange(self.width), np.diff(self.places()))]
+        return np.concatenate([np.broadcast_to(by_class, (CLASS_ROWS, self.width)), members[whose]]).astype(np.float32)
 
-def _floor(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` words reach, from a histogram of bounded size."""
-    step = F.floor(F.log2("c") * 16).cast("int")
-    steps = sorted(((r["k"], r["n"], r["hi"]) for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("hi")).collect()), reverse=True)
-    taken = 0
-    for _, n, hi in steps:
-        if taken + n > most:
-            return hi + 1
-        taken += n
-    return 1
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights before training: the bias rows hold the logarithms of the counted shares, all others are 0."""
+        cls, member = np.zeros((CLASS_ROWS, self.width), np.float32), np.zeros((MEMBER_ROWS, self.width), np.float32)
+        cls[0] = np.log(self.shares.sum(1))
+        member[: self.width] = np.log(self.shares / self.shares.sum(1, keepdims=True))
+        return cls, member
 
 
-def vocabulary(counts: DataFrame) -> Model:
-    words = counts.where("word is not null")
+def vocabulary(counts: DataFrame, width: int = WIDTH) -> Model:
+    """The model's symbols: END, OTHER, then the most frequent words (ties by their bytes), as many as the softmax has room for."""
+    words = counts.where("word is not null").where(F.length("word") <= FREQUENT_BYTES)
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("end")).collect()[0]
-    floor = _floor(words, FREQUENT)
+    floor = count_floor(words, FREQUENT)
     table = words.where(F.col("c") >= floor).toArrow()
     frequent = dict(zip(table.column("word").to_pylist(), table.column("c").to_pylist(), strict=True))
-    top = sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]
+    top = sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[: width * width - 2]
     inside = sum(c for _, c in top) + (sums["end"] or 0)
     total, distinct = sums["n"] or 0, sums["v"]
-    return Model(total, distinct, sums["end"] or 0, floor, frequent, {w: i + 2 for i, (w, _) in enumerate(top)}, total - inside, distinct - len(top) - (1 if sums["end"] else 0))
+    shares = np.full(width * width, 0.1)
+    shares[: 2 + len(top)] += [sums["end"] or 0, total - inside, *(c for _, c in top)]
+    symbols = {w: i + 2 for i, (w, _) in enumerate(top)}
+    return Model(total, distinct, sums["end"] or 0, floor, frequent, symbols, total - inside, distinct - len(top) - (1 if sums["end"] else 0), width, (shares / shares.sum()).reshape(width, width))
 
 
 class Reader:
-    """Texts as symbols, with the counts of their words; ``rare`` are words that are not in the frequent list."""
+    """Texts as numbers: a word of the model's list has its symbol, any other word one that is made from its hash."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -119,161 +142,219 @@ class Reader:
         self._reset()
 
     def _reset(self) -> None:
-        self.symbol, self.count, self.words = np.zeros(0, np.int16), np.zeros(0, np.int64), []
+        self.number, self.count, self.words = np.zeros(0, np.int32), np.zeros(0, np.int64), []
 
     def _new(self, words: list[bytes]) -> None:
-        m = self.model
-        self.symbol = np.concatenate([self.symbol, np.fromiter((m.symbols.get(w, OTHER) for w in words), np.int16, len(words))])
+        m, first = self.model, self.model.width**2 + 1
+        room = (1 << CONTEXT_BITS) - first
+        numbers = (s if (s := m.symbols.get(w)) is not None else first + xxhash.xxh32_intdigest(w) % room for w in words)
+        self.number = np.concatenate([self.number, np.fromiter(numbers, np.int32, len(words))])
         self.count = np.concatenate([self.count, np.fromiter((m.frequent.get(w, -1) for w in words), np.int64, len(words))])
         self.words += words
 
-    def read(self, texts: list[bytes]):
-        """Word numbers, words of each text, and the keys (before last, last, next) of all tokens, the end included."""
-        flat, lengths = self.table.batch(texts)
-        n = lengths + 1
-        stops = np.cumsum(n)
-        nxt = np.full(int(n.sum()), END, np.int64)
-        inner = np.ones(len(nxt), bool)
-        inner[stops - 1] = False
-        nxt[inner] = self.symbol[flat]
-        one, two = np.r_[START, nxt[:-1]], np.r_[START, START, nxt[:-2]][: len(nxt)]
-        starts = stops - n
-        one[starts] = START
-        two[starts] = START
-        two[starts[n > 1] + 1] = START
-        return flat, lengths, (two * (SYMBOLS + 1) + one) * SYMBOLS + nxt
-
-
-def triples(docs: DataFrame, model: Model) -> DataFrame:
-    """key, c: how often each triple of symbols occurs in the training texts."""
+
+def token_keys(numbers: np.ndarray, lengths: np.ndarray, symbols: int) -> np.ndarray:
+    """One number for each token, the end of each text included: the word before, the word before that, and the symbol that follows."""
+    start, n = symbols, lengths + 1
+    stops = np.cumsum(n)
+    here = np.full(int(n.sum()), END, np.int64)
+    inner = np.ones(len(here), bool)
+    inner[stops - 1] = False
+    here[inner] = numbers
+    one, two = np.r_[start, here[:-1]], np.r_[start, start, here[:-2]][: len(here)]
+    first = stops - n
+    one[first] = two[first] = start
+    two[first[n > 1] + 1] = start
+    return ((one << CONTEXT_BITS | two) << SYMBOL_BITS) | np.where(here < symbols, here, OTHER)
+
+
+def _hashed(x: np.ndarray, rows) -> np.ndarray:
+    mixed = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)).astype(np.int64)) % rows
+
+
+def class_rows(context: np.ndarray) -> list[np.ndarray]:
+    """Rows of class weights of each context: the bias, the word before, the word before that, and both."""
+    one, two = context >> CONTEXT_BITS, context & ((1 << CONTEXT_BITS) - 1)
+    return [np.zeros(len(context), np.int64), *(1 + _hashed(f, CLASS_ROWS - 1) for f in (one << 2 | 1, two << 2 | 2, context << 2 | 3))]
+
+
+def member_rows(context: np.ndarray, cls: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Rows of member weights of each context in a class: the bias, the word before, and the word before that."""
+    one, two = context >> CONTEXT_BITS, context & ((1 << CONTEXT_BITS) - 1)
+    first = places[cls]
+    room = np.maximum(places[cls + 1] - first, 1)
+    return [cls, *(np.minimum(first + _hashed(f, room), MEMBER_ROWS - 1) for f in (one << 2 | 1, two << 2 | 2))]
+
+
+def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    total = weights[rows[0]]
+    for r in rows[1:]:
+        total += weights[r]
+    total -= total.max(1, keepdims=True)
+    return total - np.log(np.exp(total).sum(1, keepdims=True))
+
+
+def _parts(model: Model, key: np.ndarray):
+    """For both tables, in parts: the number of the table, the rows of each distinct context (or context and class), which of them each
+    key belongs to, its target, and the keys' slice.  Keys are sorted and distinct, so a context is looked up once for all its symbols."""
+    w, places = model.width, model.places()
+    context, symbol = key >> SYMBOL_BITS, key & ((1 << SYMBOL_BITS) - 1)
+    for level, unit, target in ((0, context, symbol // w), (1, key // w, symbol % w)):
+        heads = np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+        for a in range(0, len(heads) - 1, PART):
+            ends = heads[a : a + PART + 1]
+            at = ends[:-1]
+            rows = member_rows(context[at], symbol[at] // w, places) if level else class_rows(context[at])
+            yield level, rows, np.repeat(np.arange(len(at)), np.diff(ends)), target[ends[0] : ends[-1]], slice(ends[0], ends[-1])
+
+
+def token_logs(model: Model, key: np.ndarray) -> np.ndarray:
+    """Natural log probability of each of the sorted, distinct keys."""
+    out = np.zeros(len(key))
+    for level, rows, group, target, part in _parts(model, key):
+        out[part] += log_softmax(model.weights[level], rows)[group, target]
+    return out
+
+
+def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] += values`` where rows may repeat: neighbours of the same row are added in pairs, round after round."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    while len(rows):
+        same = np.r_[False, rows[1:] == rows[:-1], False]
+        alone = ~(same[1:] | same[:-1])
+        table[rows[alone]] += values[order[alone]]
+        left = np.flatnonzero(~alone)
+        rows, same, order = rows[left], same[left], order[left]
+        heads = np.flatnonzero(~same)
+        odd = (np.arange(len(rows)) - np.repeat(heads, np.diff(np.r_[heads, len(rows)]))) % 2 == 1
+        sums = values[order[~odd]]
+        second = np.flatnonzero(odd)
+        sums[np.cumsum(~odd)[second - 1] - 1] += values[order[second]]
+        rows, values, order = rows[~odd], sums, np.arange(len(sums))
+
+
+def add_gradient(sums, visits, model: Model, key: np.ndarray, n: np.ndarray) -> None:
+    """Adds what the sorted, distinct keys, each found ``n`` times, give to the hashed rows of both tables: counts less the model's expectation, and tokens."""
+    w = model.width
+    for level, rows, group, target, part in _parts(model, key):
+        units = len(rows[0])
+        tokens = np.bincount(group, n[part], units).astype(np.float32)
+        more = np.bincount(group * w + target, n[part], units * w).astype(np.float32).reshape(-1, w)
+        more -= np.exp(log_softmax(model.weights[level], rows)) * tokens[:, None]
+        for r in rows[1:]:
+            add_rows(sums[level], r, more)
+            visits[level] += np.bincount(r, tokens, len(visits[level])).astype(np.float32)
+
+
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """turn, ids (the numbers of its words) of every training text; a null text counts as empty, a null id as any other."""
 
     def run(batches):
         reader = Reader(model)
         for batch in batches:
-            keys = [reader.read(text_bytes(p.column("text")).to_pylist())[2] for p in slices(batch, "text")]
-            if keys:
-                key, c = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
-
-    rows = docs.where(is_training(F.col("doc_id"))).select("text")
-    return map_batches(rows, run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def context_rows(context: np.ndarray) -> np.ndarray:
-    """Hashed weight rows of the four features of each context (before last, last)."""
-    two, one = context // (SYMBOLS + 1), context % (SYMBOLS + 1)
-    mixed = np.stack([np.zeros_like(one), 1 + one, 1_000 + two, 10_000 + context], 1).astype(np.uint64)
-    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFFFFFFFFFF)
-    rows = ((mixed >> np.uint64(33)) % np.uint64(ROWS - 1)).astype(np.int64) + 1
-    rows[:, 0] = 0  # the bias has a row of its own
-    return rows
+            for part in slices(batch, "text"):
+                flat, lengths = reader.table.batch(text_bytes(part.column("text")).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(reader.number[flat], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("turn"), ids], ["turn", "ids"])
 
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)).cast("int")
+    return map_batches(docs.where(is_training(F.col("doc_id"))).select("text", turn.alias("turn")), run, "turn int, ids array<int>")
 
-def log_softmax(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Natural log probability of every symbol after each context, by class and then by member."""
-    rows = context_rows(context)
-    total = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[rows[:, 3]]
-    cls, member = total[:, :CLASSES], total[:, CLASSES:].reshape(-1, CLASSES, MEMBERS)
-    cls = cls - _lse(cls)
-    member = member - _lse(member)
-    return (cls[:, :, None] + member).reshape(-1, SYMBOLS)
 
+def train(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after one step for each round's texts (turn, ids; a written table).
 
-def _lse(x: np.ndarray) -> np.ndarray:
-    top = x.max(-1, keepdims=True)
-    return top + np.log(np.exp(x - top).sum(-1, keepdims=True))
+    The driver holds the weights, some MB whatever the corpus, and gets their gradient, of that size, each round.
+    """
+    width, typical = model.width, model.typical()
+    spark = texts.sparkSession
+    schema = "block int, sums binary"
+    size = texts.agg(F.sum(F.size("ids"))).collect()[0][0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(4 * size / ROUNDS / TASK_BYTES))
 
+    def gradient(model):
+        def run(batches):
+            sums = [np.zeros((rows, width), np.float32) for rows in (CLASS_ROWS, MEMBER_ROWS)]
+            visits = [np.zeros(rows, np.float32) for rows in (CLASS_ROWS, MEMBER_ROWS)]
+            held, n = [], 0
 
-def train(counted: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` rounds of summed gradients, each scaled by the expected counts.
+            def add():
+                key, c = np.unique(np.concatenate(held), return_counts=True)
+                add_gradient(sums, visits, model, key, c)
 
-    A row of ``counted`` is a triple and its count.  The driver holds the weights (ROWS x (CLASSES + SYMBOLS), a
-    fixed size) and gets their gradient, of that size, each round.
-    """
-    width = CLASSES + SYMBOLS
-    weights = np.zeros((ROWS, width), np.float32)
-    schema = "row int, seen array<float>, expected array<float>"
-
-    def add(seen, expected, weights, key, c):
-        context, inverse = np.unique(key // SYMBOLS, return_inverse=True)
-        target = key % SYMBOLS
-        for a in range(0, len(context), 2048):
-            part = context[a : a + 2048]
-            here = (inverse >= a) & (inverse < a + 2048)
-            have = np.zeros((len(part), SYMBOLS), np.float32)
-            np.add.at(have, (inverse[here] - a, target[here]), c[here])
-            by_class = have.reshape(-1, CLASSES, MEMBERS).sum(2)
-            p = np.exp(log_softmax(weights, part)).astype(np.float32)
-            p_class = p.reshape(-1, CLASSES, MEMBERS).sum(2)
-            inner = p / np.repeat(np.maximum(p_class, 1e-30), MEMBERS, 1)
-            n = have.sum(1, keepdims=True)
-            s, e = np.concatenate([by_class, have], 1), np.concatenate([p_class * n, inner * np.repeat(by_class, MEMBERS, 1)], 1)
-            for f, rows in enumerate(context_rows(part).T):
-                np.add.at(seen, rows, s)
-                np.add.at(expected, rows, e)
-
-    def gradient(weights):
-        def run(batches):
-            seen, expected = np.zeros((ROWS, width), np.float32), np.zeros((ROWS, width), np.float32)
             for batch in batches:
-                add(seen, expected, weights, batch.column("key").to_numpy(), batch.column("c").to_numpy().astype(np.float32))
-            used = np.flatnonzero(expected.any(1) | seen.any(1))
+                ids = batch.column("ids")
+                held.append(token_keys(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), width * width))
+                n += len(held[-1])
+                if n > TOKENS:
+                    add()
+                    held, n = [], 0
+            if held:
+                add()
+            blocks = np.concatenate([np.concatenate(sums), np.concatenate(visits)[:, None]], axis=1).reshape(-1, BLOCK * (width + 1))
+            used = np.flatnonzero(blocks.any(1))
             for a in range(0, len(used), 256):
-                r = used[a : a + 256]
-                off = pa.array(np.arange(len(r) + 1) * width, pa.int32())
-                cols = [pa.ListArray.from_arrays(off, pa.array(x[r].ravel())) for x in (seen, expected)]
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), *cols], ["row", "seen", "expected"])
+                yield sent(used[a : a + 256].tolist(), blocks)
 
         return run
 
-    def total(table: pa.Table) -> pa.Table:
-        sums = [np.asarray(table.column(k).combine_chunks().flatten()).reshape(-1, width).sum(0, dtype=np.float64).astype(np.float32) for k in ("seen", "expected")]
-        return pa.table({"row": table.column("row")[:1].cast(pa.int32()), "seen": pa.array([sums[0]], pa.list_(pa.float32())), "expected": pa.array([sums[1]], pa.list_(pa.float32()))})
+    def sent(numbers, blocks):
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([blocks[b].astype(np.float32).tobytes() for b in numbers], pa.binary())], ["block", "sums"])
 
-    for _ in range(rounds):
-        sums = counted.mapInArrow(gradient(weights), schema).groupBy("row").applyInArrow(total, schema).toArrow()
-        if not sums.num_rows:
-            break
-        rows = sums.column("row").to_numpy()
-        seen, expected = (np.asarray(sums.column(k).combine_chunks().flatten()).reshape(-1, width) for k in ("seen", "expected"))
-        weights = weights.copy()
-        # a step of the log ratio's size, shared by the four features that are on at once
-        weights[rows] += RATE * (seen - expected) / (np.maximum(seen, expected) + RIDGE)
-    return weights
-
-
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table of all counted words."""
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, x in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                x = np.frombuffer(x, np.float32).astype(np.float64)
+                sums[block] = sums[block] + x if block in sums else x
+        yield sent(list(sums), sums)
+
+    model = replace(model, frequent={}, symbols={}, weights=model.start())  # what a round's tasks need
+    for turn in range(ROUNDS):
+        mine = texts.where(F.col("turn") == turn).select("ids").coalesce(tasks)
+        sums = map_batches(map_batches(mine, gradient(model), schema).repartition("block"), total, schema).toArrow()
+        joint = np.concatenate(model.weights)
+        for block, x in zip(sums.column("block").to_pylist(), sums.column("sums").to_pylist(), strict=True):
+            at, x = slice(block * BLOCK, (block + 1) * BLOCK), np.frombuffer(x, np.float32).reshape(BLOCK, width + 1)
+            more, usual = x[:, :width], x[:, width:] * typical[at]
+            # a step of the size of the counts' log ratio to the usual ones, shared by the features that are on at once
+            joint[at] += RATE * more / (np.maximum(usual + more, usual) + RIDGE)
+        model = replace(model, weights=(joint[:CLASS_ROWS], joint[CLASS_ROWS:]))
+    return model.weights
+
+
+def fit(docs: DataFrame, width: int = WIDTH) -> tuple[Model, DataFrame]:
+    """The model, with ``width`` classes of as many members, and the table of all counted words."""
     counts = cut(word_counts(docs), "lm-words")
-    model = vocabulary(counts)
-    model.weights = train(cut(triples(docs, model), "lm-triples"))
+    model = vocabulary(counts, width)
+    model.weights = train(cut(encoded(docs, model), "lm-texts"), model)
     return model, counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    A null text counts as empty: its only token is the end.  Null ids count as training rows.  Words of the frequent list are
+    A null text counts as empty: its only token is the end.  Null ids count as training rows.  Repeated rows are scored alike, and learned
+    from as often as they stand; an empty table gives an empty one; other columns are left out.  Words of the frequent list are
     scored in the worker; the rest are joined with the counts of all words.
     """
 
     def run(batches):
         reader = Reader(model)
-        table = np.zeros(((SYMBOLS + 1) ** 2, SYMBOLS), np.float32)
-        ready = np.zeros(len(table), bool)
+        symbols = model.width**2
         number = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, lengths, key = reader.read(text_bytes(part.column("text")).to_pylist())
-                context = key // SYMBOLS
-                fresh = np.unique(context)
-                fresh = fresh[~ready[fresh]]
-                for a in range(0, len(fresh), 1024):
-                    table[fresh[a : a + 1024]] = log_softmax(model.weights, fresh[a : a + 1024]) / math.log(10)
-                ready[fresh] = True
+                flat, lengths = reader.table.batch(text_bytes(part.column("text")).to_pylist())
+                key, place = np.unique(token_keys(reader.number[flat], lengths, symbols), return_inverse=True)
+                logs_p = (token_logs(model, key) / math.log(10))[place]
                 n = lengths + 1
-                scores = segment_sums(table[context, key % SYMBOLS].astype(float), n)
-                count, other = reader.count[flat], reader.symbol[flat] == OTHER
+                scores = segment_sums(logs_p, n)
+                count, other = reader.count[flat], reader.number[flat] >= symbols
                 logs = np.where(count >= 0, model.log_base(np.maximum(count, 0)), 0.0)
                 scores += segment_sums(np.where(other, logs - model.rest_norm, 0.0), lengths)  # a rare word's own log is joined below
                 base = segment_sums(logs, lengths) + float(model.log_base(model.end)) - n * model.base_norm
@@ -293,7 +374,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = cut(map_batches(rows, run, f"doc_id {kind}, held_out boolean, part int, nr long, n_tokens long, known long, base double, log_p double, rare array<binary>"), "lm-scored")
     rare = scored.select("part", "nr", F.explode("rare").alias("word"))
-    found = counts.where((F.col("c") < model.floor) & F.col("word").isNotNull())
+    found = counts.where((F.col("c") < model.floor) | (F.length("word") > FREQUENT_BYTES)).where(F.col("word").isNotNull())
     hits = rare.join(found, "word").groupBy("part", "nr").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return scored.drop("rare").join(hits, ["part", "nr"], "left").select(
