@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import count_floor, cut, map_batches, slices
 
 #: The three base patterns, which ignore case only where marked.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -65,29 +66,30 @@ def public_words(vocabulary: str | None) -> dict[str, int]:
 
 
 def corpus_words(docs: DataFrame, size: int = CORPUS_WORDS) -> list[str]:
-    """The ``size`` most frequent words of all texts, most frequent first (ties by code point), in lower case.
+    """The most frequent words of all texts, ``size`` of them at most, most frequent first (ties by code point), in lower case.
 
+    All words of some count or more are taken, with the least count that keeps them within ``size``.
     Words are runs of SHORTEST to LONGEST_WORD letters outside the values of credential contexts.  Counts are summed in the
-    workers before they are shuffled; the driver gets ``size`` words.  Null and empty texts have none.
+    workers before they are shuffled; the driver gets no more than ``size`` words.  Null and empty texts have none.
     """
 
     def run(batches):
-        found: dict[str, int] = {}
+        found: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 for i in np.flatnonzero(_suspects(part.column("text"))).tolist():
                     texts[i] = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], texts[i])
                 for text in texts:
-                    for token in (text or "").lower().split():
-                        found[token] = found.get(token, 0) + 1
+                    found.update((text or "").lower().split())
                 if len(found) > FLUSH:
                     yield from _letter_counts(found)
-                    found = {}
+                    found = Counter()
         yield from _letter_counts(found)
 
-    counts = map_batches(docs.select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    return [r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(size).collect()]
+    counts = cut(map_batches(docs.select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "secret-words")
+    top = counts.where(F.col("c") >= count_floor(counts, size)).toArrow()
+    return [w for _, w in sorted(zip((-c for c in top.column("c").to_pylist()), top.column("word").to_pylist(), strict=True))]
 
 
 def _letter_counts(tokens: dict[str, int]):
