@@ -70,11 +70,25 @@ def test_queries_equal_their_oracles(spark, small, name):
 
 
 def test_the_rest_works_without_the_llm_parts(tmp_path):
+    """Exactly the two llm folders are taken out; corpus_pipeline.py stays and cannot be imported then."""
     import shutil
 
-    copy = shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not [k for k in q if k.startswith('op1_')]; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}, timeout=120)
+    copy = shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    assert not list(copy.rglob("llm"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not [k for k in q if k.startswith('op1_')]; assert set(e.oracle_sql()) <= set(q)"
+    path = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=path, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests", "-k", "registered or config or assignment"], cwd=copy, check=True, env=path, timeout=240)
+
+
+def test_identity_of_sources(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mp4").write_bytes(b"abc")
+    (tmp_path / "in" / "b.mp4").write_bytes(b"")
+    got = {r.name: r for r in files.source_identity(spark, spark.createDataFrame([("a.mp4",), ("c.mp4",)], "name string"), str(tmp_path / "in")).collect()}
+    assert (got["a.mp4"].exists, got["a.mp4"].size, got["a.mp4"].sha256[:8]) == (True, 3, "ba7816bf") and (got["c.mp4"].exists, got["c.mp4"].sha256) == (False, None)
+    kept = files.materialize(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted((r.name, r.size) for r in kept.collect()) == [("a.mp4", 3), ("b.mp4", 0)]
 
 
 def test_files(spark, tmp_path):

@@ -82,7 +82,30 @@ def test_windows_and_their_assignment(spark, n, size, stride, want):
     assert want is None or spans == want
     assert spans[-1][1] == n - 1
     got = tracks.assign_windows(spark.range(n).select(F.col("id").cast("int").alias("frame")), n, size, stride).collect()
-    assert sorted((r.window_id, r.frame) for r in got) == sorted((i, f) for i, (a, b) in enumerate(spans) for f in range(a, b + 1))
+    assert sorted((r.window_id, r.frame) for r in got) == sorted((i, f) for i, (a, b) in enumerate(spans, 1) for f in range(a, b + 1))
+    assert [r.window_id for r in w] == list(range(1, len(w) + 1))
+
+
+def test_each_video_has_windows_of_its_own_length(spark):
+    videos = spark.createDataFrame([(0, 4, 2), (1, 100, 25), (2, 0, 25)], "video_id long, total_frames int, fps int")
+    w = tracks.windows(videos, 30, 15).orderBy("video_id", "window_id").collect()
+    assert [(r.video_id, r.start_frame, r.end_frame, r.frame_count) for r in w][0] == (0, 0, 3, 4) and (w[0].start_time, w[0].end_time) == (0.0, 1.5)
+    rows = videos.where("total_frames > 0").select("video_id", F.explode(F.sequence(F.lit(0), F.lit(120))).alias("frame"))
+    got = tracks.assign_windows(rows, videos, 30, 15).collect()
+    assert sorted((r.video_id, r.window_id, r.frame) for r in got) == sorted((r.video_id, r.window_id, f) for r in w for f in range(r.start_frame, r.end_frame + 1))
+    assert {(r.video_id, r.window_id, r.start_frame, r.end_frame) for r in got} == {(r.video_id, r.window_id, r.start_frame, r.end_frame) for r in w}
+    assert {r.window_id for r in tracks.first_windows(tracks.windows(videos), 2).collect()} == {1, 2}
+
+
+def test_interpolation_overwrites_predicted_rows(spark):
+    rows = [(0, 1, f, float(x), 0.0, x + 10.0, 10.0, s, s != "observed") for f, x, s in [(0, 0, "observed"), (1, 99, "predicted"), (3, 30, "observed"), (4, 70, "predicted"), (9, 0, "observed")]]
+    frame = spark.createDataFrame(rows, f"video_id long, track_id long, frame int, {BOX}, box_source string, is_predicted boolean")
+    out = {r.frame: (r.x1, r.box_source, r.is_predicted) for r in tracks.interpolate_gaps(frame, 2).collect()}
+    assert out == {0: (0.0, "observed", False), 1: (10.0, "interpolated", True), 2: (20.0, "interpolated", True), 3: (30.0, "observed", False), 4: (70.0, "predicted", True), 9: (0.0, "observed", False)}
+    jumps = tracks.large_jumps(frame).collect()
+    assert {r.frame for r in jumps} == {3, 9}  # predicted rows are passed over
+    kinds = sorted((r.type, r.frame) for r in tracks.risk_items(frame, min_frames=9).collect() if r.type == "large_jump")
+    assert kinds == [("large_jump", 3), ("large_jump", 9)]
 
 
 def test_continuity_and_quality(spark):

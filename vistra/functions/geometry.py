@@ -77,3 +77,9 @@ def clip(b, width: float, height: float) -> tuple[Column, ...]:
     inside = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(top)))
     x1, y1 = inside(x_lo, width - 1), inside(y_lo, height - 1)
     return x1, y1, F.greatest(inside(x_hi, width - 1), x1 + 1), F.greatest(inside(y_hi, height - 1), y1 + 1)
+
+
+def effective(box: str, seen: str) -> Column:
+    """The observed box where there is one, else the other; null unless it has four numbers."""
+    chosen = F.when(F.coalesce(F.size(seen), F.lit(-1)) > 0, F.col(seen)).otherwise(F.col(box))
+    return F.when(F.size(chosen) == 4, F.transform(chosen, lambda v: v.cast("double")))

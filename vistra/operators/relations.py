@@ -41,13 +41,13 @@ def geometry_votes(pairs: DataFrame, *, near_ratio: float = 0.35, axis_margin: f
     return rows.select("video_id", "frame", "a", "b", "weight", "observed", said("left", "right", "above", "beneath").alias("forward"), said("right", "left", "beneath", "above").alias("backward"))
 
 
-def rule_relations(rows: DataFrame, total_frames: int, *, max_gap: int = 0, min_votes: float = 0.6, min_evidence: int = 2, min_observed: int = 1, size: int = 30, stride: int = 15, **margins) -> DataFrame:
-    """Runs of frames in which geometry supports a predicate, window by window.
+def rule_relations(rows: DataFrame, videos: DataFrame | int, *, max_gap: int = 0, min_votes: float = 0.6, min_evidence: int = 2, min_observed: int = 1, size: int = 30, stride: int = 15, **margins) -> DataFrame:
+    """Runs of frames in which geometry supports a predicate, window by window; ``videos`` gives each video's total_frames, or a number holds for all.
 
     rule_support is the weight of the supporting frames over that of all frames of the pair within the run.  Votes are computed once
     for each frame, before windows repeat it; the run's total is a difference of running sums, so nothing is joined back.
     """
-    votes = T.assign_windows(geometry_votes(pair_frames(rows), **margins), total_frames, size, stride)
+    votes = T.assign_windows(geometry_votes(pair_frames(rows), **margins), videos, size, stride)
     pair = Window.partitionBy("video_id", "window_id", "a", "b")
     upto = pair.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     votes = votes.withColumns({"upto": F.sum("weight").over(upto), "both": F.sum("observed").over(pair)}).where(F.col("both") >= min_observed)
@@ -61,7 +61,7 @@ def rule_relations(rows: DataFrame, total_frames: int, *, max_gap: int = 0, min_
     )
     ratio = F.col("support") / F.greatest(F.lit(1e-9), F.col("total"))
     out = runs.where((F.col("n") >= min_evidence) & (ratio >= min_votes))
-    return out.select("video_id", (F.col("window_id") + 1).alias("segment_id"), "subject_id", "predicate", "object_id", "start_frame", "end_frame", "evidence_frames", F.round(ratio, 4).alias("rule_support"))
+    return out.select("video_id", F.col("window_id").alias("segment_id"), "subject_id", "predicate", "object_id", "start_frame", "end_frame", "evidence_frames", F.bround(ratio, 4).alias("rule_support"))
 
 
 def ranking_score(clamp: bool = True, *more: str) -> Column:
@@ -125,7 +125,7 @@ def clusters(rows: DataFrame, *, max_gap: int = 1, max_evidence_gap: int = 4) ->
     flat = folded.select(*group, F.explode(F.arrays_zip("items", "ids")).alias("z")).select(*group, F.col("z.ids").alias("cluster"), "z.items.*")
     out = flat.groupBy(*group, "cluster").agg(
         F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_frames")))).alias("evidence_frames"),
-        F.round(F.max("rule_support"), 4).alias("rule_support"), F.round(F.max("agent_score"), 4).alias("agent_score"), F.round(F.max("ranking_score"), 4).alias("ranking_score"),
+        F.bround(F.max("rule_support"), 4).alias("rule_support"), F.bround(F.max("agent_score"), 4).alias("agent_score"), F.bround(F.max("ranking_score"), 4).alias("ranking_score"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "ord", "sources"))), lambda x: x["sources"]))).alias("sources"),
         F.count(F.lit(1)).alias("segment_count"), F.transform(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "ord", "segment_id"))), lambda x: x["segment_id"]).alias("segment_ids"),
     )

@@ -92,10 +92,15 @@ def class_drift(rows: DataFrame, max_changes: int = 1) -> DataFrame:
     return rows.withColumn("c", changed).groupBy(*KEYS).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("changes")).where(F.col("changes") > max_changes)
 
 
+def observed(rows: DataFrame) -> DataFrame:
+    """The rows whose box was seen; without ``box_source`` all were."""
+    return rows.where(F.coalesce("box_source", F.lit("observed")) == "observed") if "box_source" in rows.columns else rows
+
+
 def large_jumps(rows: DataFrame, max_ratio: float = 0.45) -> DataFrame:
-    """Rows whose centre moved more than ``max_ratio`` diagonals of the box since the observed row before."""
+    """Observed rows whose centre moved more than ``max_ratio`` diagonals of the box since the observed row before."""
     cx, cy = g.center(g.box())
-    moved = rows.withColumns({"cx": cx, "cy": cy})
+    moved = observed(rows).withColumns({"cx": cx, "cy": cy})
     far = F.hypot(F.col("cx") - F.lag("cx").over(by_frame()), F.col("cy") - F.lag("cy").over(by_frame()))
     b = g.box()
     diagonal = F.hypot(F.greatest(F.lit(1.0), b[2] - b[0]), F.greatest(F.lit(1.0), b[3] - b[1]))
@@ -127,12 +132,17 @@ def quality(rows: DataFrame, *, min_frames: int = 2, max_changes: int = 1, max_r
     return out.withColumn("passed", F.col("risk_tracks") == 0)
 
 
+def risk_items(rows: DataFrame, *, min_frames: int = 2, max_changes: int = 1, max_ratio: float = 0.45) -> DataFrame:
+    """video_id, track_id, type, amount (frames, or class changes), frame, jump_ratio: every reason for which a track is at risk."""
+    none = {"amount": F.lit(None).cast("long"), "frame": F.lit(None).cast("int"), "jump_ratio": F.lit(None).cast("double")}
+    kind = lambda df, name, **own: df.select(*KEYS, F.lit(name).alias("type"), *[own.get(c, v).alias(c) for c, v in none.items()])
+    out = kind(short_tracks(rows, min_frames), "short_track", amount=F.col("frames"))
+    out = out.unionByName(kind(class_drift(rows, max_changes), "class_drift", amount=F.col("changes")))
+    return out.unionByName(kind(large_jumps(rows, max_ratio), "large_jump", frame=F.col("frame"), jump_ratio=F.col("jump_ratio")))
+
+
 def risk_tracks(rows: DataFrame, **limits) -> DataFrame:
-    parts = [short_tracks(rows), class_drift(rows), large_jumps(rows)]
-    out = parts[0].select(*KEYS)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*KEYS))
-    return out.distinct()
+    return risk_items(rows, **limits).select(*KEYS).distinct()
 
 
 def scene_ids(frames: DataFrame) -> DataFrame:
@@ -142,19 +152,28 @@ def scene_ids(frames: DataFrame) -> DataFrame:
 
 
 def interpolate_gaps(rows: DataFrame, max_gap: int = 6) -> DataFrame:
-    """Rows of observed boxes with straight lines between those at most ``max_gap`` missing frames apart.
+    """``rows`` with straight lines between observed boxes that are at most ``max_gap`` frames apart.
 
-    New rows carry the attributes of the observed row before them, ``box_source`` interpolated and is_predicted true.
+    ``box_source`` tells observed rows from predicted ones; without it all are observed.  Predicted rows on such a line take its box and are
+    ``interpolated`` then; frames without a row get one with the attributes of the observed row before the gap.
     """
-    nxt = {f"n_{c}": F.lead(c).over(by_frame()) for c in ("frame", *g.SIDES)}
-    wide = rows.withColumns(nxt)
-    gap = F.col("n_frame") - F.col("frame") - 1
-    filled = wide.where((gap > 0) & (gap <= max_gap)).withColumn("f", F.explode(F.sequence(F.col("frame") + 1, F.col("n_frame") - 1)))
-    share = (F.col("f") - F.col("frame")) / (F.col("n_frame") - F.col("frame"))
-    between = {s: F.col(s) + (F.col(f"n_{s}") - F.col(s)) * share for s in g.SIDES}
-    filled = filled.withColumns(between).withColumn("frame", F.col("f")).select(*rows.columns)
-    mark = lambda df, kind: df.withColumns({"box_source": F.lit(kind), "is_predicted": F.lit(kind != "observed")})
-    return mark(rows, "observed").unionByName(mark(filled, "interpolated"))
+    if "box_source" not in rows.columns:
+        rows = rows.withColumns({"box_source": F.lit("observed"), "is_predicted": F.lit(False)})
+    seen, marks = F.col("box_source") == "observed", ("box_source", "is_predicted")
+    others = [c for c in rows.columns if c not in (*KEYS, "frame", *g.SIDES, *marks)]
+    upto = by_frame().rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*KEYS).orderBy(F.col("frame").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wide = rows.withColumns(
+        {"l": F.last(F.when(seen, F.struct("frame", *g.SIDES, *others)), True).over(upto), "r": F.last(F.when(seen, F.struct("frame", *g.SIDES)), True).over(after), "n": F.lead("frame").over(by_frame())}
+    )
+    gap = F.col("r.frame") - F.col("l.frame") - 1
+    inside = F.coalesce((gap > 0) & (gap <= max_gap), F.lit(False))
+    at = lambda f: {s: F.col(f"l.{s}") + (F.col(f"r.{s}") - F.col(f"l.{s}")) * ((f - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))) for s in g.SIDES}
+    mine = inside & ~seen
+    own = wide.select(*KEYS, "frame", *others, *[F.when(mine, v).otherwise(F.col(s)).alias(s) for s, v in at(F.col("frame")).items()], F.when(mine, "interpolated").otherwise(F.col("box_source")).alias("box_source"), (mine | F.coalesce("is_predicted", F.lit(False))).alias("is_predicted"))
+    fresh = wide.where(inside & (F.col("n") > F.col("frame") + 1)).withColumn("f", F.explode(F.sequence(F.col("frame") + 1, F.col("n") - 1)))
+    fresh = fresh.select(*KEYS, F.col("f").alias("frame"), *[F.col(f"l.{c}").alias(c) for c in others], *[v.alias(s) for s, v in at(F.col("f")).items()], F.lit("interpolated").alias("box_source"), F.lit(True).alias("is_predicted"))
+    return own.unionByName(fresh).select(*[c for c in rows.columns if c not in marks], *marks)
 
 
 def trajectory_pivot(rows: DataFrame) -> DataFrame:
@@ -164,27 +183,44 @@ def trajectory_pivot(rows: DataFrame) -> DataFrame:
 
 
 def windows(videos: DataFrame, size: int = 30, stride: int = 15) -> DataFrame:
-    """Sliding windows of ``videos(video_id, total_frames)``: window_id from 0, start_frame, end_frame (inclusive).
+    """Sliding windows of ``videos(video_id, total_frames[, fps])``: window_id from 1, first and last frame and their times, frame_count.
 
-    If the last window leaves frames over, one shorter window follows it.
+    If the last window leaves frames over, one shorter window follows it.  Without fps a frame is a second.
     """
     n = F.col("total_frames")
+    fps = F.greatest(F.lit(1), F.col("fps")) if "fps" in videos.columns else F.lit(1)
     regular = F.sequence(F.lit(0), F.greatest(F.lit(0), n - size), F.lit(stride))
     last = F.element_at(regular, -1)
     starts = F.when((last + size < n) & (last + stride < n), F.concat(regular, F.array(last + stride))).otherwise(regular)
-    rows = videos.where("total_frames > 0").select("video_id", "total_frames", F.posexplode(starts).alias("window_id", "start_frame"))
-    return rows.select("video_id", "window_id", "start_frame", F.least(n - 1, F.col("start_frame") + size - 1).alias("end_frame"))
+    rows = videos.where("total_frames > 0").select("video_id", "total_frames", fps.alias("fps"), F.posexplode(starts).alias("at", "start_frame"))
+    end = F.least(n - 1, F.col("start_frame") + size - 1)
+    return rows.select("video_id", (F.col("at") + 1).alias("window_id"), "start_frame", end.alias("end_frame"), (F.col("start_frame") / F.col("fps")).alias("start_time"), (end / F.col("fps")).alias("end_time"), (end - F.col("start_frame") + 1).alias("frame_count"))
+
+
+def first_windows(rows: DataFrame, most: int = 0) -> DataFrame:
+    """The rows of the first ``most`` windows of each video; 0 takes all."""
+    return rows.where(F.col("window_id") <= most) if most > 0 else rows
 
 
-def assign_windows(rows: DataFrame, total_frames: int, size: int = 30, stride: int = 15) -> DataFrame:
-    """Each row once for every window that holds its frame.  Windows are arithmetic, so no range join is needed."""
-    regular = max(0, total_frames - size) // stride
-    last = regular + (1 if regular * stride + size < total_frames and (regular + 1) * stride < total_frames else 0)
+def assign_windows(rows: DataFrame, videos: DataFrame | int, size: int = 30, stride: int = 15) -> DataFrame:
+    """Each row once for every window that holds its frame; window_id, start_frame and end_frame are those of ``windows``.
+
+    ``videos`` gives each video's total_frames, or one number holds for all.  Frames outside a video are in no window.  Windows are
+    arithmetic, so no range join is needed.
+    """
+    kept = rows.columns
+    if isinstance(videos, DataFrame):
+        rows, n = rows.join(videos.select("video_id", F.col("total_frames").alias("_total")), "video_id"), F.col("_total")
+    else:
+        n = F.lit(videos)
+    regular = F.floor(F.greatest(F.lit(0), n - size) / stride)
+    last = regular + F.when((regular * stride + size < n) & ((regular + 1) * stride < n), 1).otherwise(0)
     lo = F.greatest(F.lit(0), F.ceil((F.col("frame") - size + 1) / stride))
-    hi = F.least(F.lit(last), F.floor(F.col("frame") / stride))
-    return rows.withColumn("window_id", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))).withColumns(
-        {"start_frame": F.col("window_id") * stride, "end_frame": F.least(F.lit(total_frames - 1), F.col("window_id") * stride + size - 1)}
-    )
+    hi = F.least(last, F.floor(F.col("frame") / stride))
+    at = F.explode(F.sequence(lo.cast("int"), hi.cast("int")))
+    out = rows.where((F.col("frame") >= 0) & (F.col("frame") < n)).withColumn("_at", at)
+    start = F.col("_at") * stride
+    return out.select(*kept, (F.col("_at") + 1).alias("window_id"), start.alias("start_frame"), F.least(n - 1, start + size - 1).alias("end_frame"))
 
 
 def frame_runs(rows: DataFrame, keys: tuple[str, ...], max_gap: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ DEFAULTS = {
     "tracking": {"min_iou": 0.3, "max_age": 10, "min_hits": 2, "delta": 3, "inertia": 0.2, "vote_window": 12, "interpolate": 6, "window": 30, "stride": 15},
     "quality": {"min_frames": 2, "max_changes": 1, "max_ratio": 0.45},
     "rules": {"min_votes": 0.6, "axis_margin": 0.08, "near_ratio": 0.35, "overlap": 0.05, "min_observed": 1, "min_evidence": 2, "max_gap": 0},
-    "semantic": {"frames": 8, "burst": 5, "candidates": 14, "expanded": 24, "windows_per_call": 6, "more_frames": 4, "min_pair_frames": 2},
+    "semantic": {"frames": 8, "burst": 5, "candidates": 14, "expanded": 24, "windows_per_call": 6, "more_frames": 4, "min_pair_frames": 2, "max_windows": 0},
     "clustering": {"max_gap": 1, "max_evidence_gap": 4},
     "verify": {"low_score": 0.45, "min_export": 0.0, "coupling": False},
     "evaluation": {"viou": 0.5, "track_iou": 0.3, "tiou": 0.5},

@@ -26,15 +26,15 @@ def track(detections: DataFrame, config: Config) -> DataFrame:
     return T.interpolate_gaps(T.recent_class_vote(rows, c.vote_window).withColumn("class_name", F.col("voted_class")).drop("voted_class", "weight"), c.interpolate)
 
 
-def rules(tracks: DataFrame, total_frames: int, config: Config) -> DataFrame:
+def rules(tracks: DataFrame, videos: DataFrame | int, config: Config) -> DataFrame:
     c, t = config.rules, config.tracking
-    return R.rule_relations(tracks, total_frames, max_gap=c.max_gap, min_votes=c.min_votes, min_evidence=c.min_evidence, min_observed=c.min_observed, size=t.window, stride=t.stride, near_ratio=c.near_ratio, axis_margin=c.axis_margin, overlap=c.overlap)
+    return R.rule_relations(tracks, videos, max_gap=c.max_gap, min_votes=c.min_votes, min_evidence=c.min_evidence, min_observed=c.min_observed, size=t.window, stride=t.stride, near_ratio=c.near_ratio, axis_margin=c.axis_margin, overlap=c.overlap)
 
 
-def packets(tracks: DataFrame, total_frames: int, config: Config) -> DataFrame:
+def packets(tracks: DataFrame, videos: DataFrame | int, config: Config) -> DataFrame:
     """What a model is asked: evidence, candidates and frames of each direction of each pair and window."""
     spark = tracks.sparkSession
-    pairs = T.assign_windows(R.pair_frames(tracks), total_frames, config.tracking.window, config.tracking.stride)
+    pairs = T.first_windows(T.assign_windows(R.pair_frames(tracks), videos, config.tracking.window, config.tracking.stride), config.semantic.max_windows)
     features = E.features(E.samples(pairs)).where(F.col("frame_count") >= config.semantic.min_pair_frames)
     ranked = routing.ranked_predicates(features, O.predicates(spark), O.family_members(spark), O.GEOMETRIC)
     return E.packets(features, routing.route(ranked, O.siblings(spark), config.semantic.candidates))
@@ -65,11 +65,11 @@ def verify(relations: DataFrame, reviews: DataFrame | None, classes: DataFrame,
     return R.add_coupling(out, O.inverses(spark)) if config.verify.coupling else out.withColumn("coupled", F.lit(False))
 
 
-def run(detections: DataFrame, total_frames: int, config: Config, *, semantic: DataFrame | None = None, reviews: DataFrame | None = None, constraints: DataFrame | None = None) -> DataFrame:
-    """Detections to relations.  ``semantic``: relations that a model proposed; ``reviews``: its review actions."""
+def run(detections: DataFrame, videos: DataFrame | int, config: Config, *, semantic: DataFrame | None = None, reviews: DataFrame | None = None, constraints: DataFrame | None = None) -> DataFrame:
+    """Detections to relations.  ``videos``: video_id, total_frames, or one length of all; ``semantic``: relations that a model proposed; ``reviews``: its review actions."""
     spark = detections.sparkSession
     tracks = track(detections, config).cache()
-    sources = [rules(tracks, total_frames, config).withColumns({"score_kind": F.lit("rule_support"), "source": F.lit("window_geometry")})]
+    sources = [rules(tracks, videos, config).withColumns({"score_kind": F.lit("rule_support"), "source": F.lit("window_geometry")})]
     sources += [semantic] if semantic is not None else []
     c = config.clustering
     found = R.clusters(merge(sources), max_gap=c.max_gap, max_evidence_gap=c.max_evidence_gap)

@@ -31,7 +31,7 @@ _VARIANTS = [
     (13, " REJECT_relation", "x", 0, "touch", 0, 6, 0, 6, 0.8, ""), (14, "accept_relation", "seen", 1, "Right ", 9, 15, 9, 15, 0.25, ""),
 ]
 _VCOLS = "ord, action, reason, swap, predicate, st, en, e1, e2, score, family"
-_ACTIONS_SQL = f"""{INTERP_SQL}, {PAIRS_SQL}, {O.values_sql('va', _VCOLS, _VARIANTS)}, pk AS (SELECT video_id, window_id, a, b, window_id * 15 AS w0, least(119, window_id * 15 + 29) AS w1 FROM pw GROUP BY ALL HAVING count(*) >= 20),
+_ACTIONS_SQL = f"""{INTERP_SQL}, {PAIRS_SQL}, {O.values_sql('va', _VCOLS, _VARIANTS)}, pk AS (SELECT video_id, window_id, a, b, (window_id - 1) * 15 AS w0, least(119, (window_id - 1) * 15 + 29) AS w1 FROM pw GROUP BY ALL HAVING count(*) >= 2),
 ac AS (SELECT pk.*, concat(video_id, ':w', window_id, ':', a, ':', b) AS packet_id, va.*, CASE swap WHEN 0 THEN a ELSE b END AS s, CASE swap WHEN 0 THEN b ELSE a END AS o, lower(trim(action)) AS name FROM pk CROSS JOIN va),
 ad AS (SELECT *, list_sort(list_distinct([e1, e2])) AS ev, name IN ({', '.join(f"'{a}'" for a in A.ACTION_TYPES)}) AS known, (name = 'request_candidate_expansion' AND trim(reason) <> '' AND family IN ('contact', 'manipulation')) AS expands FROM ac),
 ae AS (SELECT *, min(CASE WHEN expands THEN ord END) OVER (PARTITION BY packet_id) AS at FROM ad),
@@ -43,7 +43,7 @@ vl AS (SELECT *, CASE WHEN NOT known THEN 'unsupported_action' WHEN trim(reason)
 
 
 def validated(s, d):
-    p = visible_pairs(s, d, 20).withColumn("w0", F.col("window_id") * 15)
+    p = visible_pairs(s, d).withColumn("w0", (F.col("window_id") - 1) * 15)
     pid = F.concat(F.col("video_id").cast("string"), F.lit(":w"), F.col("window_id").cast("string"), F.lit(":"), F.col("a").cast("string"), F.lit(":"), F.col("b").cast("string"))
     p = p.withColumn("packet_id", pid).withColumn("w1", F.least(F.lit(119), F.col("w0") + 29))
     strings = lambda *v: F.array(*map(F.lit, v))
@@ -99,11 +99,11 @@ def apply_actions(s, d):
     return A.apply_reviews(r, v.where("accepted")).select("relation_id", "predicate", "start_frame", "end_frame", "source")
 
 
-@query(with_obs(f""", {INTERP_SQL}, {PAIRS_SQL}, pk AS (SELECT concat(video_id, ':w', window_id, ':', a, ':', b) AS packet_id, a, b FROM pw GROUP BY video_id, window_id, a, b HAVING count(*) >= 20)
+@query(with_obs(f""", {INTERP_SQL}, {PAIRS_SQL}, pk AS (SELECT concat(video_id, ':w', window_id, ':', a, ':', b) AS packet_id, a, b FROM pw GROUP BY video_id, window_id, a, b HAVING count(*) >= 2)
 SELECT packet_id, CASE WHEN (a + b) % 4 = 0 THEN NULL WHEN (a + b) % 3 = 0 THEN 'second' ELSE 'first' END AS actions, CASE WHEN (a + b) % 4 = 0 THEN 'missing' ELSE 'answered' END AS state FROM pk"""))
 def packet_audit(s, d):
     pid = F.concat(F.col("video_id").cast("string"), F.lit(":w"), F.col("window_id").cast("string"), F.lit(":"), F.col("a").cast("string"), F.lit(":"), F.col("b").cast("string"))
-    p = visible_pairs(s, d, 20).select(pid.alias("packet_id"), "a", "b")
+    p = visible_pairs(s, d).select(pid.alias("packet_id"), "a", "b")
     keep = p.where("(a + b) % 4 <> 0")
     first = keep.select("packet_id", F.lit(1).alias("ord"), F.lit("first").alias("actions"))
     later = keep.where("(a + b) % 3 = 0").select("packet_id", F.lit(2).alias("ord"), F.lit("second").alias("actions"))

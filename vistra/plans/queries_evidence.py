@@ -33,7 +33,7 @@ def pair_coverage(s, d):
 
 
 @query(with_obs(f""", {INTERP_SQL}, k AS (SELECT a.video_id, w.window_id, a.track_id AS a, b.track_id AS b, a.box_source || '/' || b.box_source AS kind, count(*) AS n FROM it a JOIN it b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id
-  JOIN range(0, 7) w(window_id) ON a.frame BETWEEN w.window_id * 15 AND w.window_id * 15 + 29 GROUP BY ALL)
+  JOIN range(1, 8) w(window_id) ON a.frame BETWEEN (w.window_id - 1) * 15 AND (w.window_id - 1) * 15 + 29 GROUP BY ALL)
 SELECT video_id, window_id, a, b, sum(n)::BIGINT AS joint_frames, coalesce(sum(n) FILTER (kind = 'observed/observed'), 0)::BIGINT AS observed_frames, string_agg(kind || '=' || n, ',' ORDER BY kind) AS source_pairs FROM k GROUP BY video_id, window_id, a, b"""))
 def track_evidence(s, d):
     e = E.joint_sources(T.assign_windows(R.pair_frames(filled(s, d)), fixture.FRAMES))
@@ -46,7 +46,7 @@ _I = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(
 FEATURES_SQL = f"""{INTERP_SQL}, sm0 AS (SELECT a.video_id, w.window_id, a.frame, a.track_id AS s, b.track_id AS o, (a.x1 + a.x2) / 2 AS sx, (a.y1 + a.y2) / 2 AS sy, (b.x1 + b.x2) / 2 AS ox, (b.y1 + b.y2) / 2 AS oy,
   sqrt(greatest({_AREA('a')}, {_AREA('b')})) AS scale, {_AREA('a')} / ({_AREA('b')}) AS size_ratio, {_I} / greatest(1e-6, {_AREA('a')} + {_AREA('b')} - {_I}) AS iou,
   sqrt(greatest(a.x1 - b.x2, b.x1 - a.x2, 0) * greatest(a.x1 - b.x2, b.x1 - a.x2, 0) + greatest(a.y1 - b.y2, b.y1 - a.y2, 0) * greatest(a.y1 - b.y2, b.y1 - a.y2, 0)) AS gap, (a.box_source = 'observed' AND b.box_source = 'observed')::INT AS seen
-  FROM it a JOIN it b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id <> b.track_id JOIN range(0, 7) w(window_id) ON a.frame BETWEEN w.window_id * 15 AND w.window_id * 15 + 29),
+  FROM it a JOIN it b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id <> b.track_id JOIN range(1, 8) w(window_id) ON a.frame BETWEEN (w.window_id - 1) * 15 AND (w.window_id - 1) * 15 + 29),
 sm AS (SELECT *, (sx - ox) / scale AS dx, (sy - oy) / scale AS dy, sqrt((sx - ox) * (sx - ox) + (sy - oy) * (sy - oy)) / scale AS distance, gap / scale AS edge_gap FROM sm0),
 sl AS (SELECT *, frame - lag(frame) OVER w AS df, (scale + lag(scale) OVER w) / 2 AS sc, lag(sx) OVER w AS px, lag(sy) OVER w AS py, lag(ox) OVER w AS qx, lag(oy) OVER w AS qy, lag(distance) OVER w AS pd FROM sm WINDOW w AS (PARTITION BY video_id, window_id, s, o ORDER BY frame)),
 sv AS (SELECT *, (sx - px) / sc / df AS vsx, (sy - py) / sc / df AS vsy, (ox - qx) / sc / df AS vox, (oy - qy) / sc / df AS voy, (pd - distance) / df AS rate FROM sl),
@@ -116,19 +116,11 @@ ra AS (SELECT video_id, window_id, subject_id, object_id, name, k AS o FROM r1 U
 ro AS (SELECT video_id, window_id, subject_id, object_id, name, row_number() OVER (PARTITION BY video_id, window_id, subject_id, object_id ORDER BY o) AS ord FROM (SELECT video_id, window_id, subject_id, object_id, name, min(o) AS o FROM ra GROUP BY ALL))"""
 
 
-def _some(f):
-    """Routes weigh 132 predicates against each direction; the query takes those directions that span a window."""
-    return f.where("frame_count >= 12")
-
-
-_SOME_SQL = FEATURES_SQL.replace("HAVING count(*) >= 2)", "HAVING count(*) >= 12)")
-
-
 def ranked(s, d):
-    return routing.ranked_predicates(_some(features(s, d)), O.predicates(s), O.family_members(s), O.GEOMETRIC)
+    return routing.ranked_predicates(features(s, d), O.predicates(s), O.family_members(s), O.GEOMETRIC)
 
 
-@query(with_obs(f", {_SOME_SQL}, {SCORES_SQL}, {ROUTE_SQL} SELECT {', '.join(PACKET)}, name, ord FROM ro WHERE ord <= 14"))
+@query(with_obs(f", {FEATURES_SQL}, {SCORES_SQL}, {ROUTE_SQL} SELECT {', '.join(PACKET)}, name, ord FROM ro WHERE ord <= 14"))
 def route_predicates(s, d):
     return routing.listed(routing.route(ranked(s, d), O.siblings(s)))
 
@@ -140,16 +132,16 @@ ea AS (SELECT video_id, window_id, subject_id, object_id, name, ord AS o FROM ro
 eo AS (SELECT video_id, window_id, subject_id, object_id, name, row_number() OVER (PARTITION BY video_id, window_id, subject_id, object_id ORDER BY o) AS ord FROM (SELECT video_id, window_id, subject_id, object_id, name, min(o) AS o FROM ea GROUP BY ALL))"""
 
 
-@query(with_obs(f", {_SOME_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {_EXPAND_SQL} SELECT {', '.join(PACKET)}, name, ord FROM eo WHERE ord <= 24"))
+@query(with_obs(f", {FEATURES_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {_EXPAND_SQL} SELECT {', '.join(PACKET)}, name, ord FROM eo WHERE ord <= 24"))
 def expand_route(s, d):
     asked = F.array(F.lit("contact"), F.lit("locomotion_state"), F.lit("no_such_family"))
     routed = routing.route(ranked(s, d), O.siblings(s)).withColumn("requested", asked)
     return routing.listed(routing.expand(routed, O.neighbors(s)))
 
 
-@query(with_obs(f", {_SOME_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {SAMPLE_SQL}, rt AS (SELECT video_id, window_id, subject_id, object_id, string_agg(name, ',' ORDER BY ord) AS candidates FROM ro WHERE ord <= 14 GROUP BY ALL) SELECT {', '.join(PACKET)}, frame_count, round(median_dx, 6)+0.0 AS median_dx, round(approach_rate, 6)+0.0 AS approach_rate, candidates, sample FROM fe JOIN rt USING (video_id, window_id, subject_id, object_id) JOIN sa USING (video_id, window_id, subject_id, object_id)"))
+@query(with_obs(f", {FEATURES_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {SAMPLE_SQL}, rt AS (SELECT video_id, window_id, subject_id, object_id, string_agg(name, ',' ORDER BY ord) AS candidates FROM ro WHERE ord <= 14 GROUP BY ALL) SELECT {', '.join(PACKET)}, frame_count, round(median_dx, 6)+0.0 AS median_dx, round(approach_rate, 6)+0.0 AS approach_rate, candidates, sample FROM fe JOIN rt USING (video_id, window_id, subject_id, object_id) JOIN sa USING (video_id, window_id, subject_id, object_id)"))
 def evidence_packets(s, d):
-    f = _some(features(s, d))
+    f = features(s, d)
     r = routing.route(routing.ranked_predicates(f, O.predicates(s), O.family_members(s), O.GEOMETRIC), O.siblings(s))
     p = E.packets(f, r)
     return p.select(*PACKET, "frame_count", r6(F.col("median_dx")).alias("median_dx"), r6(F.col("approach_rate")).alias("approach_rate"), F.concat_ws(",", "candidates").alias("candidates"), F.concat_ws(",", F.col("sample").cast("array<string>")).alias("sample"))

@@ -9,7 +9,7 @@ from vistra.functions import ontology as O
 from vistra.operators import labels
 from vistra.operators import relations as R
 from vistra.operators import tracks as T
-from vistra.plans.queries_tracks import INTERP_SQL
+from vistra.plans.queries_tracks import INTERP_SQL, LENGTHS_SQL, MIXED_SQL, lengths, mixed
 from vistra.plans.registry import query, r6, with_obs
 from vistra.sources import fixture
 
@@ -25,11 +25,11 @@ def rules(s, d, gap=0):
 INTER = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 PAIRS_SQL = f"""pf AS (SELECT video_id, frame, a, b, least(wa, wb) AS weight, observed, dx, dy, scale, greatest(8, 0.08 * scale) AS margin,
   (sqrt(dx * dx + dy * dy) <= 0.35 * scale OR inter / un >= 0.05) AS near FROM (
-  SELECT a.video_id, a.frame, a.track_id AS a, b.track_id AS b, CASE a.box_source WHEN 'observed' THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS wa, CASE b.box_source WHEN 'observed' THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS wb,
+  SELECT a.video_id, a.frame, a.track_id AS a, b.track_id AS b, CASE a.box_source WHEN 'observed' THEN 1.0::DOUBLE WHEN 'interpolated' THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS wa, CASE b.box_source WHEN 'observed' THEN 1.0::DOUBLE WHEN 'interpolated' THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS wb,
     (a.box_source = 'observed' AND b.box_source = 'observed')::INT AS observed, (a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2 AS dx, (a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2 AS dy,
     greatest(1.0, sqrt(greatest((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)))) AS scale, {INTER} AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {INTER} AS un
   FROM it a JOIN it b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id)),
-pw AS (SELECT pf.*, w.window_id FROM pf JOIN range(0, 7) w(window_id) ON pf.frame BETWEEN w.window_id * 15 AND w.window_id * 15 + 29)"""
+pw AS (SELECT pf.*, w.window_id FROM pf JOIN range(1, 8) w(window_id) ON pf.frame BETWEEN (w.window_id - 1) * 15 AND (w.window_id - 1) * 15 + 29)"""
 
 
 def rules_sql(gap: int = 0, name: str = "rr") -> str:
@@ -41,7 +41,7 @@ def rules_sql(gap: int = 0, name: str = "rr") -> str:
 {p}_g AS (SELECT video_id, window_id, s, p, o, run, min(frame) AS st, max(frame) AS en, count(*) AS n, sum(weight) AS support, list(frame ORDER BY frame) AS ev FROM {p}_r GROUP BY ALL),
 {p}_ok AS (SELECT video_id, window_id, s, o FROM {p}_d GROUP BY ALL HAVING sum(observed) >= 1),
 {p}_t AS (SELECT g.video_id, g.window_id, g.s, g.p, g.o, g.run, sum(d.weight) AS total FROM {p}_g g JOIN {p}_d d ON d.video_id = g.video_id AND d.window_id = g.window_id AND d.s = g.s AND d.o = g.o AND d.frame BETWEEN g.st AND g.en GROUP BY ALL),
-{p} AS (SELECT g.video_id, (g.window_id + 1)::INT AS segment_id, g.s, g.p, g.o, g.st, g.en, g.ev, round(support / greatest(1e-9, total), 4) AS rule_support
+{p} AS (SELECT g.video_id, g.window_id::INT AS segment_id, g.s, g.p, g.o, g.st, g.en, g.ev, round_even(support / greatest(1e-9, total), 4) AS rule_support
   FROM {p}_g g JOIN {p}_t t USING (video_id, window_id, s, p, o, run) JOIN {p}_ok USING (video_id, window_id, s, o) WHERE g.n >= 2 AND support / greatest(1e-9, total) >= 0.6)"""
 
 
@@ -49,6 +49,10 @@ CHAIN = f", {INTERP_SQL}, {PAIRS_SQL}, {rules_sql()}"
 _RULE_OUT = "video_id, segment_id, s AS subject_id, p AS predicate, o AS object_id, st AS start_frame, en AS end_frame, array_to_string(ev, ',') AS evidence_frames, rule_support"
 
 
+def _over_lengths(pairs: str) -> str:
+    return pairs[: pairs.index("pw AS (")] + f"{LENGTHS_SQL}, pw AS (SELECT pf.*, vw.window_id FROM pf JOIN vw ON vw.video_id = pf.video_id AND frame BETWEEN st AND least(n - 1, st + 29))"
+
+
 def _text(c):
     return F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
 
@@ -82,9 +86,9 @@ def pair_iou(s, d):
 
 
 @query(with_obs(f""", {INTERP_SQL}, {PAIRS_SQL}, c AS (SELECT video_id, window_id, a, b, count(*) AS n FROM pw GROUP BY ALL)
-SELECT * FROM c WHERE n >= 10"""))
+SELECT * FROM c WHERE n >= 2"""))
 def pair_visibility(s, d):
-    return visible_pairs(s, d, 10)
+    return visible_pairs(s, d)
 
 
 def visible_pairs(s, d, least=2):
@@ -289,3 +293,13 @@ def neighbor_families(s, d):
 
     chosen = s.createDataFrame([(1, "contact", 0), (1, "geometry", 1)], "key int, family string, k int")
     return routing.neighbor_families(chosen, O.neighbors(s), "key").select("neighbor", "ord")
+
+
+@query(with_obs(f", {INTERP_SQL}, {_over_lengths(PAIRS_SQL)}, {rules_sql()} SELECT {_RULE_OUT} FROM rr"))
+def rule_relations_lengths(s, d):
+    return R.rule_relations(filled(s, d), lengths(s, d)).withColumn("evidence_frames", _text("evidence_frames"))
+
+
+@query(with_obs(f", {MIXED_SQL}, {PAIRS_SQL}, {rules_sql()} SELECT {_RULE_OUT} FROM rr"))
+def rule_relations_predicted(s, d):
+    return R.rule_relations(T.interpolate_gaps(mixed(s, d)), fixture.FRAMES).withColumn("evidence_frames", _text("evidence_frames"))

@@ -29,7 +29,7 @@ def scan_jsonl(s, d):
 
 @query()
 def file_fingerprint(s, d):
-    return files.fingerprints(s, f"{d}/nation.parquet", f"{d}/region.parquet")
+    return files.fingerprints(s, d, "*.parquet")
 
 
 @query()
@@ -239,11 +239,11 @@ def interpolate_gaps(s, d):
 
 @query(with_obs(f""", {INTERP_SQL}, n AS (SELECT *, greatest(coalesce(frame - lag(frame) OVER (PARTITION BY video_id, track_id ORDER BY frame) - 1, 0), 0) AS gap FROM it)
 SELECT video_id, track_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS output_frames, count(*) FILTER (box_source = 'observed') AS observed_frames, count(*) FILTER (box_source = 'interpolated') AS interpolated_frames,
-  count(*) FILTER (gap > 0) + 1 AS segments, max(gap) AS max_gap, max(frame) - min(frame) + 1 AS span_frames, round(count(*) / (max(frame) - min(frame) + 1), 3)+0.0 AS coverage_ratio FROM n GROUP BY video_id, track_id"""))
+  count(*) FILTER (gap > 0) + 1 AS segments, max(gap) AS max_gap, max(frame) - min(frame) + 1 AS span_frames, round_even(count(*) / (max(frame) - min(frame) + 1), 4)+0.0 AS coverage_ratio,
+  round_even(count(*) FILTER (box_source = 'observed') / (max(frame) - min(frame) + 1), 4)+0.0 AS observed_ratio, round_even(count(*) FILTER (box_source = 'interpolated') / count(*), 4)+0.0 AS interpolation_ratio FROM n GROUP BY video_id, track_id"""))
 def track_continuity(s, d):
     c = T.continuity(T.interpolate_gaps(fixture.obs(s, d)))
-    ratio = F.round(F.col("output_frames") / F.col("span_frames"), 3) + F.lit(0.0)
-    return c.select("video_id", "track_id", "start_frame", "end_frame", "output_frames", "observed_frames", "interpolated_frames", "segments", "max_gap", "span_frames", ratio.alias("coverage_ratio"))
+    return c.select("video_id", "track_id", "start_frame", "end_frame", "output_frames", "observed_frames", "interpolated_frames", "segments", "max_gap", "span_frames", *[(F.col(x) + F.lit(0.0)).alias(x) for x in ("coverage_ratio", "observed_ratio", "interpolation_ratio")])
 
 
 @query(f"""WITH {DET_SQL}, f AS (SELECT DISTINCT video_id, frame FROM det) SELECT video_id, frame, (count(*) FILTER (frame IN (60, 90)) OVER (PARTITION BY video_id ORDER BY frame))::BIGINT AS scene_id FROM f""")
@@ -260,22 +260,77 @@ def trajectory_pivot(s, d):
     return p.select("video_id", "track_id", "category", F.concat_ws(",", text).alias("trajectory"))
 
 
-@query(with_obs(""", w AS (SELECT video_id, unnest(range(0, 7)) AS window_id FROM (SELECT DISTINCT video_id FROM obs))
-SELECT w.video_id, w.window_id::INT AS window_id, (w.window_id * 15)::INT AS start_frame, least(119, w.window_id * 15 + 29)::INT AS end_frame,
-  (SELECT string_agg(t::VARCHAR, ',' ORDER BY t) FROM (SELECT DISTINCT o.track_id AS t FROM obs o WHERE o.video_id = w.video_id AND o.frame BETWEEN w.window_id * 15 AND w.window_id * 15 + 29)) AS track_ids FROM w"""))
+@query(with_obs(""", w AS (SELECT video_id, unnest(range(1, 8)) AS window_id FROM (SELECT DISTINCT video_id FROM obs))
+SELECT w.video_id, w.window_id::INT AS window_id, ((w.window_id - 1) * 15)::INT AS start_frame, least(119, (w.window_id - 1) * 15 + 29)::INT AS end_frame, round((w.window_id - 1) * 15 / 25, 6)+0.0 AS start_time, round(least(119, (w.window_id - 1) * 15 + 29) / 25, 6)+0.0 AS end_time, least(120 - (w.window_id - 1) * 15, 30)::INT AS frame_count,
+  (SELECT string_agg(t::VARCHAR, ',' ORDER BY t) FROM (SELECT DISTINCT o.track_id AS t FROM obs o WHERE o.video_id = w.video_id AND o.frame BETWEEN (w.window_id - 1) * 15 AND (w.window_id - 1) * 15 + 29)) AS track_ids FROM w"""))
 def sliding_windows(s, d):
-    w = T.windows(_videos(s, d))
+    w = T.windows(_videos(s, d).withColumn("fps", F.lit(25)))
     inside = T.assign_windows(fixture.obs(s, d).select("video_id", "track_id", "frame"), fixture.FRAMES).groupBy("video_id", "window_id").agg(F.array_sort(F.collect_set("track_id")).alias("ids"))
-    return w.join(inside, ["video_id", "window_id"], "left").select("video_id", "window_id", "start_frame", "end_frame", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("track_ids"))
+    return w.join(inside, ["video_id", "window_id"], "left").select("video_id", "window_id", "start_frame", "end_frame", r6(F.col("start_time")).alias("start_time"), r6(F.col("end_time")).alias("end_time"), "frame_count", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("track_ids"))
 
 
 @query(with_obs("""
-SELECT o.video_id, o.track_id, o.frame, w.window_id::INT AS window_id, (w.window_id * 15)::INT AS start_frame, least(119, w.window_id * 15 + 29)::INT AS end_frame
-FROM obs o JOIN range(0, 7) w(window_id) ON o.frame BETWEEN w.window_id * 15 AND w.window_id * 15 + 29"""))
+SELECT o.video_id, o.track_id, o.frame, w.window_id::INT AS window_id, ((w.window_id - 1) * 15)::INT AS start_frame, least(119, (w.window_id - 1) * 15 + 29)::INT AS end_frame
+FROM obs o JOIN range(1, 8) w(window_id) ON o.frame BETWEEN (w.window_id - 1) * 15 AND (w.window_id - 1) * 15 + 29"""))
 def window_assign(s, d):
     return T.assign_windows(fixture.obs(s, d).select("video_id", "track_id", "frame"), fixture.FRAMES)
 
 
+#: Videos of unequal length, and their windows: regular ones, and one more where frames are left over.
+LENGTHS_SQL = """vl AS (SELECT DISTINCT video_id, (40 + (video_id * 37) % 81)::INT AS n FROM obs),
+vw AS (SELECT video_id, n, w.window_id, (w.window_id - 1) * 15 AS st FROM vl, range(1, 9) w(window_id) WHERE w.window_id - 1 <= greatest(0, n - 30) // 15 OR (w.window_id - 2 = greatest(0, n - 30) // 15 AND (w.window_id - 2) * 15 + 30 < n AND (w.window_id - 1) * 15 < n))"""
+
+
+def lengths(s, d):
+    return fixture.det(s, d).select("video_id").distinct().withColumn("total_frames", (40 + (F.col("video_id") * 37) % 81).cast("int"))
+
+
+@query(with_obs(f""", {LENGTHS_SQL} SELECT video_id, window_id::INT AS window_id, st::INT AS start_frame, least(n - 1, st + 29)::INT AS end_frame, (least(n - 1, st + 29) - st + 1)::INT AS frame_count FROM vw"""))
+def sliding_windows_lengths(s, d):
+    return T.windows(lengths(s, d)).select("video_id", "window_id", "start_frame", "end_frame", "frame_count")
+
+
+@query(with_obs(f""", {LENGTHS_SQL} SELECT o.video_id, track_id, frame, window_id::INT AS window_id, st::INT AS start_frame, least(n - 1, st + 29)::INT AS end_frame FROM obs o JOIN vw ON vw.video_id = o.video_id AND frame BETWEEN st AND least(n - 1, st + 29)"""))
+def window_assign_lengths(s, d):
+    return T.assign_windows(fixture.obs(s, d).select("video_id", "track_id", "frame"), lengths(s, d))
+
+
+#: Tracks some of whose rows are predicted, not observed; gaps between observed rows are filled over them.
+MIXED_SQL = """mx AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN 'predicted' ELSE 'observed' END AS src FROM obs),
+mo AS (SELECT *, lead(frame) OVER w AS nf, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2 FROM mx WHERE src = 'observed' WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame)),
+mf AS (SELECT video_id, track_id, f::INT AS frame, class_name, score, x1 + (nx1 - x1) * ((f - frame) / (nf - frame)) AS x1, y1 + (ny1 - y1) * ((f - frame) / (nf - frame)) AS y1, x2 + (nx2 - x2) * ((f - frame) / (nf - frame)) AS x2, y2 + (ny2 - y2) * ((f - frame) / (nf - frame)) AS y2 FROM (SELECT *, unnest(range(frame + 1, nf)) AS f FROM mo WHERE nf - frame - 1 BETWEEN 1 AND 6)),
+it AS (SELECT video_id, track_id, frame, class_name, score, x1, y1, x2, y2, 'observed' AS box_source, false AS is_predicted FROM mx WHERE src = 'observed'
+  UNION ALL SELECT mf.video_id, mf.track_id, mf.frame, coalesce(mx.class_name, mf.class_name), CASE WHEN mx.frame IS NULL THEN mf.score ELSE mx.score END, mf.x1, mf.y1, mf.x2, mf.y2, 'interpolated', true FROM mf LEFT JOIN mx ON mx.video_id = mf.video_id AND mx.track_id = mf.track_id AND mx.frame = mf.frame
+  UNION ALL SELECT video_id, track_id, frame, class_name, score, x1, y1, x2, y2, 'predicted', true FROM mx WHERE src = 'predicted' AND (video_id, track_id, frame) NOT IN (SELECT (video_id, track_id, frame) FROM mf))"""
+
+
+def mixed(s, d):
+    source = F.when(F.col("event_id") % 9 == 0, "predicted").otherwise("observed")
+    return fixture.obs(s, d).withColumns({"box_source": source, "is_predicted": source == "predicted"})
+
+
+@query(with_obs(f""", {MIXED_SQL} SELECT video_id, track_id, frame, class_name, round(score, 6)+0.0 AS score, box_source, is_predicted, round(x1,6)+0.0 AS x1, round(y2,6)+0.0 AS y2 FROM it"""))
+def interpolate_mixed(s, d):
+    return T.interpolate_gaps(mixed(s, d)).select("video_id", "track_id", "frame", "class_name", r6(F.col("score")).alias("score"), "box_source", "is_predicted", r6(F.col("x1")).alias("x1"), r6(F.col("y2")).alias("y2"))
+
+
+_MIXED_JUMP = _JUMP.replace("FROM obs WINDOW", "FROM mx WHERE src = 'observed' WINDOW")
+
+
+@query(with_obs(f""", {MIXED_SQL}, {_DRIFT}, {_MIXED_JUMP}, sh AS (SELECT video_id, track_id, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) < 45)
+SELECT video_id, track_id, 'short_track' AS type, n::BIGINT AS amount, NULL::INT AS frame, NULL::DOUBLE AS jump_ratio FROM sh UNION ALL SELECT video_id, track_id, 'class_drift', changes, NULL, NULL FROM dr UNION ALL SELECT video_id, track_id, 'large_jump', NULL, frame, round(jump_ratio, 6)+0.0 FROM ju"""))
+def risk_items(s, d):
+    return T.risk_items(mixed(s, d), min_frames=45).withColumn("jump_ratio", r6(F.col("jump_ratio")))
+
+
+@query(with_obs(""" SELECT video_id, track_id, frame, CASE WHEN event_id % 9 = 0 THEN CASE WHEN event_id % 2 = 0 THEN NULL ELSE x1 END WHEN event_id % 5 = 0 THEN x1 + 1 ELSE x1 END AS x1, CASE WHEN event_id % 9 = 0 THEN CASE WHEN event_id % 2 = 0 THEN NULL ELSE y2 END WHEN event_id % 5 = 0 THEN y2 + 1 ELSE y2 END AS y2 FROM obs"""))
+def effective_box(s, d):
+    box = F.array(*g.box())
+    seen = F.when(F.col("event_id") % 9 == 0, F.when(F.col("event_id") % 2 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))).when(F.col("event_id") % 5 == 0, F.transform(box, lambda v: v + 1))
+    rows = fixture.obs(s, d).withColumns({"bbox": box, "bbox_observed": seen}).withColumn("b", g.effective("bbox", "bbox_observed"))
+    return rows.select("video_id", "track_id", "frame", F.col("b")[0].alias("x1"), F.col("b")[3].alias("y2"))
+
+
 @query(with_obs(""", n AS (SELECT *, CASE WHEN frame > lag(frame) OVER w + 2 THEN 1 ELSE 0 END AS fresh FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame))
 SELECT video_id, track_id, frame, (sum(fresh) OVER (PARTITION BY video_id, track_id ORDER BY frame ROWS UNBOUNDED PRECEDING))::BIGINT AS run_id FROM n"""))
 def frame_runs(s, d):
