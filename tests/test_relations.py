@@ -104,7 +104,7 @@ def test_interpolation_overwrites_predicted_rows(spark):
     assert out == {0: (0.0, "observed", False), 1: (10.0, "interpolated", True), 2: (20.0, "interpolated", True), 3: (30.0, "observed", False), 4: (70.0, "predicted", True), 9: (0.0, "observed", False)}
     jumps = tracks.large_jumps(frame).collect()
     assert {r.frame for r in jumps} == {3, 9}  # predicted rows are passed over
-    kinds = sorted((r.type, r.frame) for r in tracks.risk_items(frame, min_frames=9).collect() if r.type == "large_jump")
+    kinds = sorted((r.type, r.frame) for r in tracks.risk_items(frame.withColumn("class_name", F.lit("dog")), min_frames=9).collect() if r.type == "large_jump")
     assert kinds == [("large_jump", 3), ("large_jump", 9)]
 
 
