@@ -11,20 +11,42 @@ from pyspark.sql import functions as F
 
 from vistra.functions import geometry as g
 from vistra.operators import tracks as T
+from vistra.sources.scratch import kept
 
 TRIPLET = ("video_id", "s_cat", "predicate", "o_cat")
 
 
+def spans(relations: DataFrame, tracks: DataFrame, classes: DataFrame) -> DataFrame:
+    """``relations`` with s_cat and o_cat, null where a track has no box at all, and ``known``: whether both tracks are there."""
+    there = tracks.select("video_id", "track_id").distinct().join(classes.select("video_id", "track_id", "class_name"), ["video_id", "track_id"])
+    cat = lambda i, name: there.select("video_id", F.col("track_id").alias(i), F.col("class_name").alias(name))
+    rows = relations.join(cat("subject_id", "s_cat"), ["video_id", "subject_id"], "left").join(cat("object_id", "o_cat"), ["video_id", "object_id"], "left")
+    return rows.withColumn("known", F.col("s_cat").isNotNull() & F.col("o_cat").isNotNull())
+
+
 def tube_frames(relations: DataFrame, tracks: DataFrame, classes: DataFrame) -> DataFrame:
-    """The frames of each relation's span in which both tracks have boxes, with both boxes, categories and the number of the contiguous run."""
+    """The frames of each relation's span in which both tracks have boxes, with both boxes, categories and the number of the contiguous run.
+
+    A span meets its tracks frame by frame, so a short relation of a long track costs its own length only.
+    """
     side = lambda p, i: tracks.select("video_id", "frame", F.col("track_id").alias(i), *[F.col(c).alias(p + c) for c in g.SIDES])
-    cat = lambda i, name: classes.select("video_id", F.col("track_id").alias(i), F.col("class_name").alias(name))
-    rows = relations.join(side("s_", "subject_id"), ["video_id", "subject_id"]).where("frame between start_frame and end_frame")
-    rows = rows.join(side("o_", "object_id"), ["video_id", "object_id", "frame"])
-    rows = rows.join(cat("subject_id", "s_cat"), ["video_id", "subject_id"]).join(cat("object_id", "o_cat"), ["video_id", "object_id"])
+    rows = spans(relations, tracks, classes).where("known and start_frame <= end_frame").drop("known")
+    rows = rows.withColumn("frame", F.explode(F.sequence("start_frame", "end_frame")))
+    rows = rows.join(side("s_", "subject_id"), ["video_id", "subject_id", "frame"]).join(side("o_", "object_id"), ["video_id", "object_id", "frame"])
     return T.frame_runs(rows, ("video_id", "rel_id"), 0)
 
 
+def projection_counts(relations: DataFrame, tracks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per video: relations without one of their tracks, those without a common frame, runs beyond the first, and tubes."""
+    runs = tube_frames(relations, tracks, classes).groupBy("video_id", "rel_id").agg((F.max("run_id") + 1).alias("runs"))
+    rows = spans(relations, tracks, classes).join(runs, ["video_id", "rel_id"], "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
+    total = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return rows.groupBy("video_id").agg(
+        total((~F.col("known")).cast("int"), "skipped_missing_tracks"), total((F.col("known") & (F.col("runs") == 0)).cast("int"), "skipped_empty_tubes"),
+        total(F.greatest(F.col("runs") - 1, F.lit(0)), "split_on_track_gaps"), total(F.col("runs"), "relation_count"),
+    )
+
+
 def tubes(frames: DataFrame) -> DataFrame:
     """One row for each contiguous run: its span (end exclusive) and both volumes, boxes counting their border pixels."""
     volume = lambda p: F.sum((F.col(p + "x2") - F.col(p + "x1") + 1) * (F.col(p + "y2") - F.col(p + "y1") + 1))
@@ -112,7 +134,11 @@ def tagging(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def official_metrics(predicted: DataFrame, gold: DataFrame, *, threshold: float = 0.5, recalls=(50, 100), tags=(1, 5, 10)) -> DataFrame:
-    """metric, value.  Videos without gold are left out; those without predictions count 0 everywhere."""
+    """metric, value.  Videos without gold are left out; those without predictions count 0 everywhere.
+
+    Both sides' frames are written once, since tubes, overlaps and tags all read them.
+    """
+    predicted, gold = kept(predicted, "predicted-frames"), kept(gold, "gold-frames")
     g_tubes = tubes(gold)
     counts = g_tubes.groupBy("video_id").agg(F.count(F.lit(1)).alias("gold_count"))
     matched = official_match(predicted, gold, threshold).join(counts.select("video_id"), "video_id", "left_semi")
@@ -170,11 +196,70 @@ def diagnostic_match(predicted: DataFrame, gold: DataFrame, mapping: DataFrame,
     return rows.join(hits, ["video_id", "pred"], "left")
 
 
+#: Predictions that are ranked in one task, about.
+SLICE_ROWS = 1_000_000
+
+
+def running_hits(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` (score, video_id, pred, hit) with ``n``, the place by falling score within ``by``, and ``c``, the hits up to it.
+
+    Ties stand by video_id and pred.  Rows are written once and cut into slices of scores, and of video ids within a score that fills a slice by itself; each
+    slice is ranked by its own task, and the slices before it are added from a table of one row a slice.
+    """
+    score = F.coalesce("score", F.lit(float("-inf")))
+    few = lambda c, k: F.percentile_approx(c, [(i + 1) / k for i in range(k - 1)], 10_000)
+    rows = kept(rows, "ranked-rows")
+    slices = min(1_000, rows.count() // SLICE_ROWS + 1)
+    edges, ids = [], []
+    if slices > 1:
+        edges = sorted(set(rows.agg(few("score", slices)).collect()[0][0] or []))
+        if dict(rows.dtypes)["video_id"] in ("int", "bigint"):
+            ids = sorted(set(rows.agg(few("video_id", slices)).collect()[0][0] or []))
+    above = lambda c, bounds: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > c)) if bounds else F.lit(0)
+    at_edge = score.isin(edges) if edges else F.lit(False)
+    rows = rows.withColumns({"_slice": 2 * above(score, edges) + at_edge.cast("int"), "_part": F.when(at_edge, len(ids) - above(F.col("video_id"), ids)).otherwise(0)})
+    keys = [*by, "_slice", "_part"]
+    own = Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "video_id", "pred").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("hit").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_slice", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_c")])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+    ranked = rows.withColumns({"n": F.count(F.lit(1)).over(own), "c": F.sum("hit").over(own)})
+    out = ranked.alias("r").join(sums.alias("s"), same)
+    return out.select(*[F.col(f"r.{c}") for c in rows.columns if c not in ("_slice", "_part")], (F.col("n") + F.col("s._n")).alias("n"), (F.col("c") + F.col("s._c")).alias("c"))
+
+
+def scoped(gold: DataFrame, *done: DataFrame) -> DataFrame:
+    """The gold rows of the videos of any of the tables ``done``: a partial run is scored on what it processed."""
+    ids = [x.select("video_id") for x in done]
+    for x in ids[1:]:
+        ids[0] = ids[0].unionByName(x)
+    return gold.join(ids[0].distinct(), "video_id", "left_semi")
+
+
+def with_split(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """``rows`` with the ``split`` of their predicate by ``splits(predicate, split)``; ``unknown`` where it has none."""
+    return rows.join(F.broadcast(splits.select("predicate", "split")), "predicate", "left").withColumn("split", F.coalesce("split", F.lit("unknown")))
+
+
+def macro_ap(per_predicate: DataFrame) -> DataFrame:
+    """The mean ap of the predicates of ``summary`` that gold has."""
+    return per_predicate.where("tp + fn > 0").agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("macro_ap"))
+
+
+def track_alignment(mapping: DataFrame, gold_tracks: DataFrame, predicted_tracks: DataFrame) -> DataFrame:
+    """One row: gold, predicted and matched tracks, recall of gold ones, and the mean IoU of the matched."""
+    n = lambda df: df.select("video_id", "track_id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    m = mapping.agg(F.count(F.lit(1)).alias("matched"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"))
+    row = n(gold_tracks).withColumnRenamed("n", "gold").crossJoin(n(predicted_tracks).withColumnRenamed("n", "predicted")).crossJoin(m)
+    return row.withColumn("recall", F.when(F.col("gold") > 0, F.col("matched") / F.col("gold")).otherwise(0.0))
+
+
 def summary(matched: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
     """tp, fp, fn, precision, recall, f1 and ap (precision at each hit over the gold count) by the columns ``by``."""
-    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "video_id", "pred") if by else Window.orderBy(F.col("score").desc(), "video_id", "pred")
-    rows = matched.withColumn("hit", F.col("gold").isNotNull().cast("int")).withColumn("n", F.row_number().over(order))
-    rows = rows.withColumn("p", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("n"))
+    rows = running_hits(matched.withColumn("hit", F.col("gold").isNotNull().cast("int")), *by).withColumn("p", F.col("c") / F.col("n"))
     got = rows.groupBy(*by).agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("n"), F.sum(F.col("hit") * F.col("p")).alias("s"))
     want = gold.groupBy(*by).agg(F.count(F.lit(1)).alias("gold_count"))
     both = got.join(want, list(by), "full") if by else got.crossJoin(want)

@@ -22,10 +22,22 @@ def top_pairs(visible: DataFrame, most: int = 0) -> DataFrame:
     return visible.withColumn("rank", rank).withColumn("deferred", F.col("rank") > most if most > 0 else F.lit(False))
 
 
-def rule_pair_cap(pairs: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` unordered pairs of each window in the order of their tracks."""
-    rank = F.row_number().over(Window.partitionBy("video_id", "window_id").orderBy("a", "b"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+def rule_pair_cap(pairs: DataFrame, window_tracks: DataFrame, most: int = 0, most_tracks: int = 0) -> DataFrame:
+    """The rows of ``pairs`` that are among the first ``most`` unordered pairs of their window, in the order of its tracks, with that ``rank``.
+
+    ``window_tracks(video_id, window_id, track_id)`` has every track of a window, once; pairs that are never visible together take a place
+    too.  Only its first ``most_tracks`` tracks count; 0 sets no bound.  The place follows from the two tracks' own, so no pairs are listed.
+    """
+    by = Window.partitionBy("video_id", "window_id")
+    at = F.row_number().over(by.orderBy("track_id")) - 1
+    places = window_tracks.select("video_id", "window_id", "track_id", at.alias("_at"), F.count(F.lit(1)).over(by).alias("_n"))
+    if most_tracks > 0:
+        places = places.where(F.col("_at") < most_tracks).withColumn("_n", F.least("_n", F.lit(most_tracks)))
+    side = lambda c: places.select("video_id", "window_id", F.col("track_id").alias(c), F.col("_at").alias(f"_{c}"), F.col("_n").alias(f"_n{c}"))
+    rows = pairs.join(side("a"), ["video_id", "window_id", "a"]).join(side("b"), ["video_id", "window_id", "b"])
+    rank = F.col("_a") * F.col("_na") - F.col("_a") * (F.col("_a") + 1) / 2 + F.col("_b") - F.col("_a")
+    rows = rows.withColumn("rank", rank.cast("long")).drop("_a", "_b", "_na", "_nb")
+    return rows.where(F.col("rank") <= most) if most > 0 else rows
 
 
 def coverage(ranked: DataFrame) -> DataFrame:

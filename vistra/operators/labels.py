@@ -30,3 +30,9 @@ def class_ids(rows: DataFrame, order: str) -> DataFrame:
     seen = rows.groupBy("video_id", "class_name").agg(F.min(order).alias("first"))
     rank = F.dense_rank().over(Window.partitionBy("video_id").orderBy("first")) - 1
     return seen.select("video_id", "class_name", rank.alias("class_id"))
+
+
+def first_name(rows: DataFrame, aliases: DataFrame, columns: tuple[str, ...] = ("class_name", "category", "label", "class"), out: str = "label") -> DataFrame:
+    """``rows`` with the canonical label of the first of ``columns`` that is there and not blank; ``unknown`` if none is."""
+    found = F.coalesce(*[F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string"))) for c in columns if c in rows.columns], F.lit(""))
+    return normalize(rows.withColumn("_raw", found), "_raw", aliases, out).drop("_raw")

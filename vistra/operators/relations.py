@@ -101,6 +101,27 @@ def add_coupling(rows: DataFrame, inverses: DataFrame) -> DataFrame:
     return rows.withColumn("coupled", F.lit(False)).unionByName(fresh.withColumn("coupled", F.lit(True)))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` of text fields (subject_track_id or subject_id, and so on) with a typed KEY; rows whose ids are no numbers or whose predicate is blank go.
+
+    A missing start is 0, a missing end the start.
+    """
+    number = lambda *names: F.coalesce(*[F.col(n) for n in names if n in rows.columns], F.lit(None).cast("string")).try_cast("long")
+    out = rows.withColumns({"_s": number("subject_track_id", "subject_id"), "_o": number("object_track_id", "object_id"), "_p": F.lower(F.trim(F.coalesce("predicate", F.lit(""))))})
+    out = out.withColumn("_st", F.coalesce(F.col("start_frame").try_cast("int"), F.lit(0))).withColumn("_en", F.coalesce(F.col("end_frame").try_cast("int"), F.col("_st")))
+    bad = (F.col("start_frame").isNotNull() & F.col("start_frame").try_cast("int").isNull()) | (F.col("end_frame").isNotNull() & F.col("end_frame").try_cast("int").isNull())
+    out = out.where(F.col("_s").isNotNull() & F.col("_o").isNotNull() & (F.col("_p") != "") & ~bad)
+    names = ("subject_track_id", "object_track_id", *KEY[1:])
+    return out.select(*[c for c in rows.columns if c not in names], F.col("_s").alias("subject_id"), F.col("_p").alias("predicate"), F.col("_o").alias("object_id"), F.col("_st").alias("start_frame"), F.col("_en").alias("end_frame"))
+
+
+def add_inverses(rows: DataFrame, inverses: DataFrame) -> DataFrame:
+    """The coupling of relations that have ids: an inverse is told from its origin by ``-inv`` at its id, its source and what it is the inverse of."""
+    out = add_coupling(rows.withColumn("inverse_of", F.lit(None).cast("string")), inverses)
+    made = F.col("coupled")
+    return out.withColumns({"inverse_of": F.when(made, F.col("relation_id")), "relation_id": F.when(made, F.concat("relation_id", F.lit("-inv"))).otherwise(F.col("relation_id")), "source": F.when(made, "coupling").otherwise(F.col("source"))})
+
+
 def clusters(rows: DataFrame, *, max_gap: int = 1, max_evidence_gap: int = 4) -> DataFrame:
     """Relations of the same pair and predicate put together over windows.
 
@@ -154,6 +175,37 @@ def resolve_conflicts(rows: DataFrame, mutex: DataFrame) -> DataFrame:
     return rows.join(lost, [*PAIR_SPAN, "predicate"], "left_anti")
 
 
+def deletions(rows: DataFrame, mutex: DataFrame) -> DataFrame:
+    """The rows that ``resolve_conflicts`` takes away, as actions: KEY, action, reason, ranking_score."""
+    scores = rows.groupBy(*PAIR_SPAN, "predicate").agg(F.max(ranking_score()).alias("score"))
+    named = lambda name: scores.withColumnsRenamed({"predicate": name, "score": f"score_{name}"})
+    both = conflicts(rows, mutex).join(named("p"), [*PAIR_SPAN, "p"]).join(named("q"), [*PAIR_SPAN, "q"])
+    first = F.col("score_p") >= F.col("score_q")
+    lost = both.select(*PAIR_SPAN, F.when(first, F.col("q")).otherwise(F.col("p")).alias("predicate"), F.when(first, F.col("p")).otherwise(F.col("q")).alias("_kept"))
+    reason = F.concat(F.lit("mutex conflict; keep "), F.col("_kept"))
+    return rows.join(lost, [*PAIR_SPAN, "predicate"]).select(*KEY, F.lit("delete").alias("action"), reason.alias("reason"), ranking_score().alias("ranking_score"))
+
+
+def verify_report(before: DataFrame, allowed: DataFrame, after: DataFrame, mutex: DataFrame, *, low: float = 0.45, examples: int = 20) -> DataFrame:
+    """One row per video of ``before``: counts by source, low scores with the first ``examples`` of them, conflicts, and what the filters took.
+
+    ``before``: relations as they came; ``allowed``: those that passed the category filter; ``after``: those that passed the score filter too.
+    """
+    name = F.concat_ws(" ", F.col("subject_id").cast("string"), F.col("predicate"), F.col("object_id").cast("string"), F.col("start_frame").cast("string"), F.col("end_frame").cast("string"))
+    rows = before.withColumns({"_source": F.concat_ws(",", "sources"), "_low": ranking_score() < low, "_name": name})
+    by = rows.groupBy("video_id", "_source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_low").cast("int")).alias("low"))
+    counts = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("_source", "n"))), lambda x: F.concat(x["_source"], F.lit("="), x["n"].cast("string"))))
+    out = by.groupBy("video_id").agg(F.sum("n").alias("relations"), counts.alias("source_counts"), F.sum("low").alias("low_scores"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("start_frame", "end_frame", "subject_id", "predicate", "object_id"))
+    shown = rows.where("_low").withColumn("_place", place).where(F.col("_place") <= examples)
+    shown = shown.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_name"))), lambda x: x["_name"]).alias("low_examples"))
+    n = lambda df, c: df.groupBy("video_id").agg(F.count(F.lit(1)).alias(c))
+    out = out.join(n(conflicts(before, mutex), "conflicts"), "video_id", "left").join(n(allowed, "_allowed"), "video_id", "left").join(n(after, "kept"), "video_id", "left").join(shown, "video_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = out.withColumns({"conflicts": zero("conflicts"), "filtered_by_category": F.col("relations") - zero("_allowed"), "filtered_by_score": zero("_allowed") - zero("kept"), "kept": zero("kept"), "low_examples": F.coalesce("low_examples", F.array().cast("array<string>"))})
+    return out.withColumn("passed", (F.col("conflicts") == 0) & (F.col("filtered_by_category") == 0)).drop("_allowed")
+
+
 def review_items(rows: DataFrame, mutex: DataFrame, risky: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Relations for review with their reasons: a low score, a risky track, or - where neither holds - a conflict."""
     c = conflicts(rows, mutex).select(*PAIR_SPAN, F.explode(F.array("p", "q")).alias("predicate")).distinct().withColumn("conflict", F.lit(True))

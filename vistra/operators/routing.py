@@ -69,8 +69,8 @@ def ranked_predicates(features: DataFrame, predicates: DataFrame, members: DataF
     """One row per direction: ``best``, its three best families, and ``ranked``, all predicates in order.
 
     A composite predicate counts the weakest of its families, so one cue alone does not carry it; it is eligible if all of
-    them are among the best.  Each row of features meets the fixed list of predicates in place; nothing is shuffled but
-    the features themselves.
+    them are among the best.  Each row of features meets the fixed list of predicates, and the
+    products of a row are gathered again by its key, which the features are already dealt by.
     """
     names = list(score_columns())
     rows = features.withColumns({f"_s_{n}": c for n, c in score_columns().items()})
@@ -100,10 +100,15 @@ def route(ranked: DataFrame, siblings: DataFrame, most: int = 14) -> DataFrame:
 
 
 def expand(routed: DataFrame, neighbors: DataFrame, most: int = 24) -> DataFrame:
-    """Routed rows with ``requested`` families: candidates get all ranked predicates of those that neighbour the best ones; at most ``most``."""
+    """Routed rows with ``requested`` families: candidates get all ranked predicates of those that neighbour the best ones; at most ``most``.
+
+    ``families`` are the best ones and those granted, ``expandable`` what neighbours any of them and is none of them.
+    """
     rows = routed.crossJoin(F.broadcast(_as_map(neighbors, "family", _in_order("ord", "neighbor"), "_near")))
-    open_ = F.array_except(F.array_distinct(F.flatten(F.transform("best", lambda f: F.col("_near")[f]))), F.col("best"))
-    rows = rows.withColumn("_granted", F.array_intersect(open_, F.col("requested")))
+    around = lambda c: F.array_except(F.array_distinct(F.flatten(F.transform(c, lambda f: F.col("_near")[f]))), F.col(c))
+    rows = rows.withColumn("_granted", F.array_intersect(F.col("requested"), around("best")))
+    rows = rows.withColumn("families", F.array_distinct(F.concat("best", "_granted")))
+    rows = rows.withColumn("expandable", around("families"))
     more = F.transform(F.filter("ranked", lambda x: F.arrays_overlap(x["families"], F.col("_granted"))), lambda x: x["name"])
     return rows.withColumn("candidates", F.slice(F.array_distinct(F.concat("candidates", more)), 1, most)).drop("_near", "_granted")
 

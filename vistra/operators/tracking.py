@@ -3,6 +3,8 @@ costs between tracks and detections, or between tracklets, are plain joins."""
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -143,11 +145,12 @@ def track_objects(detections: DataFrame, **options) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracker, out = Tracker(**options), []
-        steps = [x.sort_values("det_id") for _, x in pdf.sort_values("frame").groupby("frame")]
-        for n, rows in enumerate(steps):
-            for local, step, j in tracker.step(n, rows[list(g.SIDES)].to_numpy(float)):
-                out.append((local, steps[step].index[j]))
-        found = pdf.loc[[i for _, i in out]].copy()
+        pdf = pdf.sort_values(["frame", "det_id"], kind="stable").reset_index(drop=True)
+        frames, boxes = pdf["frame"].to_numpy(), pdf[list(g.SIDES)].to_numpy(float)
+        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]).tolist()
+        for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True)):
+            out += [(local, starts[step] + j) for local, step, j in tracker.step(n, boxes[a:b])]
+        found = pdf.iloc[[i for _, i in out]].copy()
         found["local_id"] = [i for i, _ in out]
         return found[[*kinds.names, "local_id"]]
 
@@ -181,32 +184,107 @@ def association_cost(pairs: DataFrame, *, weights=(0.3, 0.2, 0.45, 0.05), max_ce
     return out.withColumn("cost", F.when(~far, cost))
 
 
+def association_weight(rows: DataFrame) -> Column:
+    """What a detection counts as evidence: its own finite ``association_weight``, else its finite score, else 1."""
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double"))
+    return F.coalesce(*[finite(c) for c in ("association_weight", "score") if c in rows.columns], F.lit(1.0))
+
+
+def class_groups(classes: DataFrame, compatible: DataFrame) -> DataFrame:
+    """class_name, class_group: classes that ``compatible(canonical, other)`` names together are tracked together, others by themselves.
+
+    Names are compared trimmed and in lower case.
+    """
+    name = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "unknown").otherwise(F.lower(F.trim(c)))
+    own = compatible.select(name(F.col("canonical")).alias("_other"), name(F.col("canonical")).alias("_group"))
+    known = own.unionByName(compatible.select(name(F.col("other")).alias("_other"), name(F.col("canonical")).alias("_group"))).groupBy("_other").agg(F.min("_group").alias("_group"))
+    rows = classes.withColumn("_name", name(F.col("class_name")))
+    return rows.join(F.broadcast(known), F.col("_name") == F.col("_other"), "left").withColumn("class_group", F.coalesce("_group", "_name")).drop("_name", "_other", "_group")
+
+
+def clock(frames: DataFrame, dense: bool = False) -> DataFrame:
+    """The frames at which a tracker steps: all of ``frames(status, objects)``, or those that were observed or have detections."""
+    return frames if dense else frames.where((F.col("status") == "observed") | (F.col("objects") > 0))
+
+
 def tracklets(rows: DataFrame, max_gap: int = 15) -> DataFrame:
-    """Tracks cut where more than ``max_gap`` frames are missing or the scene changes: first and last box, last velocity, span, and class shares."""
+    """Tracks cut where more than ``max_gap`` frames are missing or the scene changes.
+
+    Each has its span, first and last box, last velocity, ``shares`` (class -> part of the weights), class_name (the heaviest class, the first by name
+    of equal ones) and mean_confidence (null without any score).
+    """
     runs = T.frame_runs(rows, ("video_id", "scene_id", "track_id"), max_gap)
-    order = Window.partitionBy("video_id", "scene_id", "track_id", "run_id").orderBy("frame")
+    key = ("video_id", "scene_id", "track_id", "run_id")
+    order = Window.partitionBy(*key).orderBy("frame")
     dt = F.col("frame") - F.lag("frame").over(order)
+    weighed = runs.groupBy(*key, "class_name").agg(F.sum(association_weight(runs)).alias("w"))
+    weighed = weighed.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "w")))).alias("votes"), F.sum("w").alias("total"))
+    best = F.element_at(F.array_sort(F.transform(F.map_entries("votes"), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("name")))), 1)["name"]
+    shares = F.when(F.col("total") > 0, F.transform_values("votes", lambda k, v: v / F.col("total"))).otherwise(F.create_map(F.lit("unknown"), F.lit(1.0)))
+    weighed = weighed.select(*key, shares.alias("shares"), best.alias("class_name"))
     runs = runs.withColumns({f"v_{s}": F.coalesce((F.col(s) - F.lag(s).over(order)) / dt, F.lit(0.0)) for s in g.SIDES})
     ends = [F.min_by(s, "frame").alias(f"first_{s}") for s in g.SIDES] + [F.max_by(s, "frame").alias(f"last_{s}") for s in g.SIDES] + [F.max_by(f"v_{s}", "frame").alias(f"v_{s}") for s in g.SIDES]
-    return runs.groupBy("video_id", "scene_id", "track_id", "run_id").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count(F.lit(1)).alias("n"), *ends, F.max_by("class_name", F.struct(-F.col("frame"))).alias("class_name"))
+    score = F.avg("score") if "score" in rows.columns else F.lit(None).cast("double")
+    out = runs.groupBy(*key).agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count(F.lit(1)).alias("n"), *ends, score.alias("mean_confidence"))
+    return out.join(weighed, list(key))
+
+
+def share_overlap(a: str, b: str) -> Column:
+    """The sum over classes of the lesser share of two maps."""
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + F.least(e["value"], F.coalesce(F.col(b)[e["key"]], F.lit(0.0))))
 
 
 def stitch_edges(pieces: DataFrame, *, max_gap=90, min_similarity=0.6, max_center=4.0, weights=(0.55, 0.25, 0.15, 0.05), max_cost=0.58) -> DataFrame:
-    """left_id, right_id, gap, cost: pairs of ``pieces`` (with piece_id and a unit ``embedding``) of a video and scene that one object may explain."""
-    kept = ["piece_id", "start_frame", "end_frame", "class_name", "embedding"]
-    left = pieces.select("video_id", "scene_id", *[F.col(c).alias(f"l_{c}") for c in kept], *[F.col(f"last_{s}").alias(f"b_{s}") for s in g.SIDES], *[F.col(f"v_{s}").alias(f"v_{s}") for s in g.SIDES])
-    right = pieces.select("video_id", "scene_id", *[F.col(c).alias(f"r_{c}") for c in kept], *[F.col(f"first_{s}").alias(f"d_{s}") for s in g.SIDES])
+    """left_id, right_id, gap, cost: pairs of ``pieces`` (with piece_id and a unit ``embedding``) of a video and scene that one object may explain.
+
+    A piece without an embedding is like no other (similarity 0).  Pairs meet by blocks of ``max_gap`` frames: a piece can only follow one that
+    ended in its own block or the one before, so long scenes are not squared.
+    """
+    kept = ["piece_id", "start_frame", "end_frame", "shares", "embedding"]
+    block = lambda c: F.floor(F.col(c) / max_gap)
+    left = pieces.select("video_id", "scene_id", F.explode(F.array(block("end_frame"), block("end_frame") + 1)).alias("block"), *[F.col(c).alias(f"l_{c}") for c in kept], *[F.col(f"last_{s}").alias(f"b_{s}") for s in g.SIDES], *[F.col(f"v_{s}").alias(f"v_{s}") for s in g.SIDES])
+    right = pieces.select("video_id", "scene_id", block("start_frame").alias("block"), *[F.col(c).alias(f"r_{c}") for c in kept], *[F.col(f"first_{s}").alias(f"d_{s}") for s in g.SIDES])
     gap = F.col("r_start_frame") - F.col("l_end_frame")
-    rows = left.join(right, ["video_id", "scene_id"]).where((gap > 0) & (gap <= max_gap)).withColumn("gap", gap)
+    rows = left.join(right, ["video_id", "scene_id", "block"]).where((gap > 0) & (gap <= max_gap)).withColumn("gap", gap)
     rows = rows.withColumns({f"t_{s}": F.col(f"b_{s}") + F.col(f"v_{s}") * F.col("gap") for s in g.SIDES})
     a, b = g.box("t_"), g.box("d_")
-    rows = rows.withColumns({"similarity": dot("l_embedding", "r_embedding"), "center": g.center_distance_scaled(a, b), "iou": g.iou_eps(a, b), "same": (F.col("l_class_name") == F.col("r_class_name")).cast("double")})
+    rows = rows.withColumns({"similarity": F.coalesce(dot("l_embedding", "r_embedding"), F.lit(0.0)), "center": g.center_distance_scaled(a, b), "iou": g.iou_eps(a, b), "same": share_overlap("l_shares", "r_shares")})
     parts = [1 - F.greatest(F.lit(0.0), F.col("similarity")), F.least(F.lit(1.0), F.col("center") / max_center), 1 - F.col("iou"), 1 - F.col("same")]
     cost = sum((p * (w / sum(weights)) for w, p in zip(weights, parts, strict=True)), F.lit(0.0))
     rows = rows.where((F.col("similarity") >= min_similarity) | (F.col("center") <= max_center)).withColumn("cost", cost)
     return rows.where(F.col("cost") < max_cost).select("video_id", "scene_id", F.col("l_piece_id").alias("left_id"), F.col("r_piece_id").alias("right_id"), "gap", "cost")
 
 
+def cheapest_links(edges: dict[tuple[int, int], float], max_cost: float) -> dict[int, int]:
+    """left -> right: the one-to-one links with the least summed cost, where going without a link costs ``max_cost``.
+
+    Links that share no piece cannot disturb each other, so each connected part is solved by itself.
+    """
+    parent: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for left, right in edges:
+        parent[find(("l", left))] = find(("r", right))
+    parts: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for e in edges:
+        parts.setdefault(find(("l", e[0])), []).append(e)
+    out = {}
+    for part in parts.values():
+        lefts, rights = sorted({e[0] for e in part}), sorted({e[1] for e in part})
+        row, col = {v: i for i, v in enumerate(lefts)}, {v: i for i, v in enumerate(rights)}
+        cost = np.full((len(lefts), len(rights) + len(lefts)), max_cost)
+        for e in part:
+            cost[row[e[0]], col[e[1]]] = edges[e]
+        linked = ((lefts[i], j) for i, j in zip(*assign(cost), strict=True) if j < len(rights))
+        out |= {left: rights[j] for left, j in linked if edges.get((left, rights[j]), max_cost) < max_cost}
+    return out
+
+
 def stitch(edges: DataFrame, pieces: DataFrame, max_cost: float = 0.58) -> DataFrame:
     """video_id, scene_id, piece_id, head_id: chains of pieces by the cheapest one-to-one links, where going without a link costs ``max_cost``."""
     rows = pieces.select("video_id", "scene_id", F.col("piece_id").alias("left_id"), F.lit(None).cast("long").alias("right_id"), F.lit(None).cast("double").alias("cost"))
@@ -214,21 +292,15 @@ def stitch(edges: DataFrame, pieces: DataFrame, max_cost: float = 0.58) -> DataF
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pdf.loc[pdf["right_id"].isna(), "left_id"].unique())
-        place = {v: i for i, v in enumerate(ids)}
-        n = len(ids)
-        cost = np.full((n, 2 * n), 1e6)
-        cost[np.arange(n), n + np.arange(n)] = max_cost
-        for e in pdf.dropna(subset=["right_id"]).itertuples():
-            cost[place[e.left_id], place[int(e.right_id)]] = e.cost
-        after = {int(i): int(j) for i, j in zip(*assign(cost), strict=True) if j < n and cost[i, j] < max_cost}
-        head = list(range(n))
-        starts = set(range(n)) - set(after.values())
-        for s in starts:
-            at = s
+        linked = pdf.dropna(subset=["right_id"])
+        after = cheapest_links({(int(x), int(y)): c for x, y, c in zip(linked["left_id"], linked["right_id"], linked["cost"], strict=True)}, max_cost)
+        head = {int(i): int(i) for i in ids}
+        for start in set(head) - set(after.values()):
+            at = start
             while at in after:
                 at = after[at]
-                head[at] = s
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "scene_id": pdf["scene_id"].iloc[0], "piece_id": ids, "head_id": ids[head]})
+                head[at] = start
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "scene_id": pdf["scene_id"].iloc[0], "piece_id": ids, "head_id": [head[int(i)] for i in ids]})
 
     return rows.groupBy("video_id", "scene_id").applyInPandas(run, f"video_id {rows.schema['video_id'].dataType.simpleString()}, scene_id {rows.schema['scene_id'].dataType.simpleString()}, piece_id long, head_id long")
 
@@ -241,51 +313,88 @@ def apply_global_ids(rows: DataFrame, mapping: DataFrame, links: DataFrame) -> D
     return out.withColumn("identity_source", F.when(F.col("identity_support").isNotNull(), "offline_stitch").otherwise("local"))
 
 
-def hybrid_track(detections: DataFrame, *, weights=(0.3, 0.2, 0.45, 0.05), max_cost=0.72, min_hits=2, max_age=30, max_center=4.0, min_iou=0.01, min_similarity=0.35) -> DataFrame:
-    """Tracks by the cheapest assignment over overlap, distance, appearance and class; rows: video_id, scene_id, frame, det_id, track_id.
+class AppearanceTracker:
+    """Live tracks of one scene in arrays: last two boxes, appearance sums, class votes; a step costs one matrix, not a call a pair."""
+
+    MEMORY = 20
+
+    def __init__(self, share, max_cost, min_hits, max_age, max_center, min_iou, min_similarity, min_new_score):
+        self.share, self.max_cost, self.min_hits, self.max_age = share, max_cost, min_hits, max_age
+        self.max_center, self.min_iou, self.min_similarity, self.min_new_score = max_center, min_iou, min_similarity, min_new_score
+        self.live: list[dict] = []
+        self.ids = 0
+
+    def _costs(self, n: int, boxes: np.ndarray, classes: list[str], looks: list[np.ndarray | None]) -> np.ndarray:
+        last, before = (np.array([t[k] for t in self.live]) for k in ("box", "old"))
+        at, old_at = (np.array([t[k] for t in self.live], float) for k in ("at", "old_at"))
+        guess = last + (last - before) / np.maximum(at - old_at, 1.0)[:, None] * (n - at)[:, None]
+        overlap = ious(guess, boxes)
+        mid = lambda b: (b[:, :2] + b[:, 2:]) / 2
+        size = np.sqrt(np.maximum(1.0, (guess[:, 2] - guess[:, 0]) * (guess[:, 3] - guess[:, 1])))
+        away = np.linalg.norm(mid(guess)[:, None] - mid(boxes)[None], axis=2) / size[:, None]
+        similarity = np.array([[0.0 if m is None or e is None else float(m @ e) for e in looks] for m in (t["mean"] for t in self.live)]).reshape(overlap.shape)
+        likely = np.array([[t["votes"].get(c, 0.0) / (sum(t["votes"].values()) or 1.0) for c in classes] for t in self.live]).reshape(overlap.shape)
+        cost = np.tensordot(self.share, np.stack([1 - overlap, np.minimum(1.0, away / self.max_center), 1 - np.maximum(0.0, similarity), 1 - likely]), 1)
+        return np.where((overlap < self.min_iou) & (away > self.max_center) & (similarity < self.min_similarity), 1e6, cost)
+
+    def step(self, n: int, boxes: np.ndarray, classes: list[str], weights: list[float], scores: list[float | None], looks: list, det: list[int]) -> list[tuple[int, int, int, float]]:
+        """(frame, det, track, identity support) of everything that this frame's detections confirm."""
+        self.live = [t for t in self.live if n - t["at"] <= self.max_age]
+        taken, cost = {}, None
+        if self.live and len(det):
+            cost = self._costs(n, boxes, classes, looks)
+            taken = {int(j): int(i) for i, j in zip(*assign(cost), strict=True) if cost[i, j] <= self.max_cost}
+        out, known = [], list(self.live)
+        for j in range(len(det)):
+            if j in taken:
+                t, support = known[taken[j]], max(0.0, 1.0 - float(cost[taken[j], j]))
+                t["old"], t["old_at"] = t["box"], t["at"]
+            elif scores[j] is not None and scores[j] < self.min_new_score:
+                continue
+            else:
+                t, support = {"id": None, "old": boxes[j], "old_at": n, "looks": deque(maxlen=self.MEMORY), "mean": None, "votes": {}, "waiting": [], "hits": 0}, 0.5
+                self.live.append(t)
+            t["box"], t["at"] = boxes[j], n
+            t["hits"] += 1
+            t["votes"][classes[j]] = t["votes"].get(classes[j], 0.0) + weights[j]
+            if looks[j] is not None:
+                t["looks"].append(looks[j])
+                mean = np.mean(t["looks"], axis=0)
+                t["mean"] = mean / norm if (norm := np.linalg.norm(mean)) > 0 else None
+            t["waiting"].append((n, det[j], support))
+            if t["hits"] >= self.min_hits:
+                if t["id"] is None:
+                    self.ids += 1
+                    t["id"] = self.ids
+                out += [(f, d, t["id"], s) for f, d, s in t["waiting"]]
+                t["waiting"] = []
+        return out
+
+
+def hybrid_track(detections: DataFrame, *, weights=(0.3, 0.2, 0.45, 0.05), max_cost=0.72, min_hits=2, max_age=30, max_center=4.0, min_iou=0.01, min_similarity=0.35, min_new_score=0.0) -> DataFrame:
+    """Tracks by the cheapest assignment over overlap, distance, appearance and class; rows: video_id, scene_id, frame, det_id, track_id, identity_support.
 
-    ``detections`` also have class_name and a unit ``embedding``.  A track predicts its box from its last two; its
-    appearance is the mean of its last 20 embeddings.
+    ``detections`` also have class_name and a unit ``embedding``, and may have score and association_weight.  A track predicts its box from its last two; its
+    appearance is the mean of its last 20 embeddings, and a missing one is like no other.  Detections scored under ``min_new_score`` open no
+    track.  identity_support is 1 - cost, and a half for a track's first row.
     """
     share = np.array(weights) / sum(weights)
-    columns = ["video_id", "scene_id", "frame", "det_id", "class_name", *g.SIDES, "embedding"]
-
-    def cost_of(t: dict, n: int, box: np.ndarray, cls: str, emb: np.ndarray) -> float:
-        (f0, b0), (f1, b1) = t["seen"][-2:] if len(t["seen"]) > 1 else (t["seen"][-1], t["seen"][-1])
-        guess = b1 + ((b1 - b0) / (f1 - f0) if f1 > f0 else 0) * (n - f1)
-        iou = float(ious(guess[None], box[None])[0, 0])
-        center = np.hypot(*((guess[:2] + guess[2:] - box[:2] - box[2:]) / 2)) / np.sqrt(max(1.0, (guess[2] - guess[0]) * (guess[3] - guess[1])))
-        mean = np.mean(t["emb"][-20:], axis=0)
-        similarity = float(mean @ emb / max(np.linalg.norm(mean), 1e-12))
-        if iou < min_iou and center > max_center and similarity < min_similarity:
-            return 1e6
-        return float(share @ [1 - iou, min(1.0, center / max_center), 1 - max(0.0, similarity), 1 - t["votes"].get(cls, 0) / sum(t["votes"].values())])
+    rows = detections.withColumns({"weight": association_weight(detections), "score": F.col("score").cast("double") if "score" in detections.columns else F.lit(None).cast("double")})
+    columns = ["video_id", "scene_id", "frame", "det_id", "class_name", *g.SIDES, "embedding", "weight", "score"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, out, ids = [], [], 0
-        for n, rows in pdf.sort_values(["frame", "det_id"]).groupby("frame"):
-            boxes, cls, emb, det = rows[list(g.SIDES)].to_numpy(float), rows["class_name"].tolist(), [np.asarray(e, float) for e in rows["embedding"]], rows["det_id"].tolist()
-            cost = np.array([[cost_of(t, n, boxes[j], cls[j], emb[j]) for j in range(len(det))] for t in live]).reshape(len(live), len(det))
-            taken = {}
-            if cost.size:
-                taken = {int(j): int(i) for i, j in zip(*assign(cost), strict=True) if cost[i, j] <= max_cost}
-            for j in range(len(det)):
-                t = live[taken[j]] if j in taken else {"id": None, "seen": [], "emb": [], "votes": {}, "waiting": []}
-                if j not in taken:
-                    live.append(t)
-                t["seen"].append((n, boxes[j]))
-                t["emb"].append(emb[j])
-                t["votes"][cls[j]] = t["votes"].get(cls[j], 0) + 1
-                t["waiting"].append((n, det[j]))
-                if t["id"] is None and len(t["waiting"]) >= min_hits:
-                    ids += 1
-                    t["id"] = ids
-                if t["id"] is not None:
-                    out += [(f, d, t["id"]) for f, d in t["waiting"]]
-                    t["waiting"] = []
-            live = [t for t in live if n - t["seen"][-1][0] <= max_age]
-        found = pd.DataFrame(out, columns=["frame", "det_id", "track_id"])
-        return found.assign(video_id=pdf["video_id"].iloc[0], scene_id=pdf["scene_id"].iloc[0])[["video_id", "scene_id", "frame", "det_id", "track_id"]]
+        tracker, out = AppearanceTracker(share, max_cost, min_hits, max_age, max_center, min_iou, min_similarity, min_new_score), []
+        pdf = pdf.sort_values(["frame", "det_id"], kind="stable")
+        frames, boxes = pdf["frame"].to_numpy(), pdf[list(g.SIDES)].to_numpy(float)
+        name = [str(c or "unknown").strip().lower() or "unknown" for c in pdf["class_name"]]
+        look = [None if e is None or not np.any(np.isfinite(e)) or not np.any(e) else np.asarray(e, float) for e in pdf["embedding"]]
+        score = [None if s is None or not np.isfinite(s) else float(s) for s in pdf["score"].astype(object)]
+        det, weight = pdf["det_id"].tolist(), pdf["weight"].tolist()
+        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(frames)], strict=True):
+            out += tracker.step(int(frames[a]), boxes[a:b], name[a:b], weight[a:b], score[a:b], look[a:b], det[a:b])
+        found = pd.DataFrame(out, columns=["frame", "det_id", "track_id", "identity_support"])
+        return found.assign(video_id=pdf["video_id"].iloc[0], scene_id=pdf["scene_id"].iloc[0])[["video_id", "scene_id", "frame", "det_id", "track_id", "identity_support"]]
 
     kind = detections.schema["video_id"].dataType.simpleString()
-    return detections.select(*columns).groupBy("video_id", "scene_id").applyInPandas(run, f"video_id {kind}, scene_id int, frame int, det_id long, track_id int")
+    return rows.select(*columns).groupBy("video_id", "scene_id").applyInPandas(run, f"video_id {kind}, scene_id int, frame int, det_id long, track_id int, identity_support double")

@@ -59,6 +59,16 @@ def project_tubes(s, d):
     return E.tubes(frames(s, d, "p")).select(*E.TRIPLET, "rel_id", "run_id", "start_frame", "end_excl", r6(F.col("score")).alias("score"), (F.round("s_volume", 3) + F.lit(0.0)).alias("s_volume"))
 
 
+@query(with_gold(f"""{TUBES}, prx AS (SELECT video_id, rel_id, s, CASE WHEN s % 7 = 3 THEN -1 ELSE o END AS o, st + CASE WHEN s % 11 = 5 THEN 500 ELSE 0 END AS st, en + CASE WHEN s % 11 = 5 THEN 500 ELSE 0 END AS en FROM pr),
+rn AS (SELECT x.video_id, x.rel_id, x.o = -1 AS missing, (SELECT count(DISTINCT run) FROM pt WHERE pt.video_id = x.video_id AND pt.rel_id = x.rel_id AND x.o <> -1 AND x.st < 500) AS runs FROM prx x)
+SELECT video_id, count(*) FILTER (missing) AS skipped_missing_tracks, count(*) FILTER (NOT missing AND runs = 0) AS skipped_empty_tubes, sum(greatest(runs - 1, 0))::BIGINT AS split_on_track_gaps, sum(runs)::BIGINT AS relation_count FROM rn GROUP BY video_id"""))
+def projection_counts(s, d):
+    o = fixture.obs(s, d)
+    far = F.when(F.col("subject_id") % 11 == 5, 500).otherwise(0)
+    r = relations(s, d, "p").withColumns({"object_id": F.when(F.col("subject_id") % 7 == 3, -1).otherwise(F.col("object_id")), "start_frame": F.col("start_frame") + far, "end_frame": F.col("end_frame") + far})
+    return E.projection_counts(r, T.interpolate_gaps(o), T.main_class(o))
+
+
 @query(with_gold(f"{TUBES}, {OVERLAP} SELECT video_id, pid AS pred, gid AS gold, round(viou, 6)+0.0 AS viou FROM ovl"))
 def tube_viou(s, d):
     o = E.tube_overlaps(frames(s, d, "p"), frames(s, d, "g"))
@@ -132,14 +142,22 @@ def _diag_sql(by: str) -> str:
     part, join = (f"PARTITION BY {by} ", f"USING ({by})") if by else ("", "ON true")
     sel = f"{by} AS {by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
-    return with_gold(f"""{_DIAG}, dmx AS (SELECT *, video_id % 2 = 0 AS even FROM dm), grx AS (SELECT *, video_id % 2 = 0 AS even FROM gr),
+    return with_gold(f"""{_DIAG}, {O.predicates_sql()}, dmx AS (SELECT dm.*, CASE WHEN predicates.id % 4 = 0 THEN 'novel' ELSE 'base' END AS split FROM dm JOIN predicates ON name = p), grx AS (SELECT gr.*, CASE WHEN predicates.id % 4 = 0 THEN 'novel' ELSE 'base' END AS split FROM gr JOIN predicates ON name = p),
 l AS (SELECT *, (gold IS NOT NULL)::INT AS hit, row_number() OVER w AS k, sum((gold IS NOT NULL)::INT) OVER w AS c FROM dmx WINDOW w AS ({part}ORDER BY score DESC, video_id, rel_id ROWS UNBOUNDED PRECEDING)),
 a AS (SELECT {sel}sum(hit) AS tp0, count(*) AS n0, sum(hit * c / k) AS s0 FROM l {group}), b AS (SELECT {sel}count(*) AS g0 FROM grx {group}),
 z AS (SELECT {by + ', ' if by else ''}coalesce(tp0, 0) AS tp, coalesce(n0, 0) AS n, coalesce(s0, 0) AS s, coalesce(g0, 0) AS gold_count FROM a FULL JOIN b {join}) {_SUM((by if by != 'p' else 'p AS predicate') + ', ' if by else '')} FROM z""")
 
 
+_MACRO_SQL = f"SELECT round(coalesce(avg(ap), 0), 6)+0.0 AS macro_ap FROM ({_diag_sql('p')}) WHERE tp + fn > 0"
+
+
+def gold_of(s, d):
+    """Gold relations of the videos that have predicted tracks or relations."""
+    return E.scoped(relations(s, d, "g"), fixture.obs(s, d), relations(s, d, "p"))
+
+
 def diagnosed(s, d):
-    return E.diagnostic_match(relations(s, d, "p"), relations(s, d, "g"), E.align_tracks(support(s, d)))
+    return E.diagnostic_match(relations(s, d, "p"), gold_of(s, d), E.align_tracks(support(s, d)))
 
 
 def _six(df):
@@ -153,18 +171,33 @@ def diag_match(s, d):
 
 @query(_diag_sql(""))
 def diag_summary(s, d):
-    return _six(E.summary(diagnosed(s, d), relations(s, d, "g")))
+    return _six(E.summary(diagnosed(s, d), gold_of(s, d)))
 
 
 @query(_diag_sql("p"))
 def diag_per_predicate(s, d):
-    return _six(E.summary(diagnosed(s, d), relations(s, d, "g"), "predicate"))
+    return _six(E.summary(diagnosed(s, d), gold_of(s, d), "predicate"))
 
 
-@query(_diag_sql("even"))
+def splits(s):
+    """The published split of predicates is not known; here every fourth one is novel."""
+    return O.predicates(s).select(F.col("name").alias("predicate"), F.when(F.col("id") % 4 == 0, "novel").otherwise("base").alias("split"))
+
+
+@query(_diag_sql("split"))
 def diag_splits(s, d):
-    even = F.col("video_id") % 2 == 0
-    return _six(E.summary(diagnosed(s, d).withColumn("even", even), relations(s, d, "g").withColumn("even", even), "even"))
+    return _six(E.summary(E.with_split(diagnosed(s, d), splits(s)), E.with_split(gold_of(s, d), splits(s)), "split"))
+
+
+@query(_MACRO_SQL)
+def diag_macro_ap(s, d):
+    return E.macro_ap(_six(E.summary(diagnosed(s, d), gold_of(s, d), "predicate"))).withColumn("macro_ap", r6(F.col("macro_ap")))
+
+
+@query(with_gold(f"{_DIAG} SELECT (SELECT count(DISTINCT (video_id, track_id)) FROM gobs) AS gold, (SELECT count(DISTINCT (video_id, track_id)) FROM obs) AS predicted, count(*) AS matched, round(coalesce(avg(iou), 0), 6)+0.0 AS mean_iou, round(count(*) / (SELECT count(DISTINCT (video_id, track_id)) FROM gobs), 6)+0.0 AS recall FROM su WHERE gold_id = pred_id AND iou >= 0.3"))
+def track_alignment(s, d):
+    a = E.track_alignment(E.align_tracks(support(s, d)), fixture.gold_obs(s, d), fixture.obs(s, d))
+    return a.withColumns({c: r6(F.col(c)) for c in ("mean_iou", "recall")})
 
 
 @query(with_gold(f"{_DIAG} SELECT k, round((SELECT count(*) FROM dm WHERE rank <= k AND gold IS NOT NULL) / (SELECT count(*) FROM gr), 6)+0.0 AS recall FROM (VALUES (5), (20)) v(k)"))
@@ -186,8 +219,7 @@ def error_examples(s, d):
 
 @query(with_gold(f"{BASE} SELECT * FROM (SELECT rel_id, video_id, p AS predicate FROM gr WHERE video_id IN (SELECT video_id FROM pr WHERE video_id % 3 <> 1))"))
 def scoped_gold(s, d):
-    done = relations(s, d, "p").where("video_id % 3 <> 1").select("video_id").distinct()
-    return relations(s, d, "g").join(done, "video_id", "left_semi").select("rel_id", "video_id", "predicate")
+    return E.scoped(relations(s, d, "g"), relations(s, d, "p").where("video_id % 3 <> 1")).select("rel_id", "video_id", "predicate")
 
 
 @query(with_gold(f"""{BASE}, rq AS (SELECT DISTINCT video_id FROM obs WHERE video_id % 4 <> 2 UNION SELECT 9001), pv AS (SELECT video_id, rel_id FROM pr WHERE video_id % 5 <> 0 UNION ALL SELECT DISTINCT video_id, NULL FROM obs WHERE video_id % 5 = 0 AND video_id % 3 = 0)

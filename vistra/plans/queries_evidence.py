@@ -22,9 +22,12 @@ def top_pairs(s, d):
     return E.top_pairs(visible_pairs(s, d), 10)
 
 
-@query(with_obs(f"{_VP} SELECT *, row_number() OVER (PARTITION BY video_id, window_id ORDER BY a, b) AS rank FROM vp QUALIFY rank <= 6"))
+@query(with_obs(f"""{_VP}, wt AS (SELECT DISTINCT it.video_id, w.window_id, track_id FROM it JOIN range(1, 8) w(window_id) ON frame BETWEEN (w.window_id - 1) * 15 AND (w.window_id - 1) * 15 + 29),
+ap AS (SELECT x.video_id, x.window_id, x.track_id AS a, y.track_id AS b, row_number() OVER (PARTITION BY x.video_id, x.window_id ORDER BY x.track_id, y.track_id) AS rank FROM (SELECT * FROM wt QUALIFY row_number() OVER (PARTITION BY video_id, window_id ORDER BY track_id) <= 9) x JOIN (SELECT * FROM wt QUALIFY row_number() OVER (PARTITION BY video_id, window_id ORDER BY track_id) <= 9) y ON x.video_id = y.video_id AND x.window_id = y.window_id AND x.track_id < y.track_id)
+SELECT vp.*, ap.rank FROM vp JOIN ap USING (video_id, window_id, a, b) WHERE ap.rank <= 26"""))
 def rule_pair_cap(s, d):
-    return E.rule_pair_cap(visible_pairs(s, d), 6)
+    inside = T.assign_windows(filled(s, d), fixture.FRAMES).select("video_id", "window_id", "track_id").distinct()
+    return E.rule_pair_cap(visible_pairs(s, d), inside, 26, 9)
 
 
 @query(with_obs(f"{_VP}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, window_id ORDER BY n DESC, a, b) AS rank FROM vp) SELECT video_id, window_id, count(*) AS candidates, count(*) FILTER (rank <= 10) AS processed, count(*) FILTER (rank > 10) AS deferred FROM r GROUP BY ALL"))
@@ -139,6 +142,18 @@ def expand_route(s, d):
     return routing.listed(routing.expand(routed, O.neighbors(s)))
 
 
+@query(with_obs(f""", {FEATURES_SQL}, {SCORES_SQL}, {_EXPAND_SQL.split(", wa AS")[0].split(",\nwa AS")[0]}, gr AS (SELECT * FROM op WHERE family IN ('contact', 'locomotion_state')),
+al AS (SELECT video_id, window_id, subject_id, object_id, family FROM best UNION SELECT * FROM gr), nb AS (SELECT DISTINCT al.video_id, al.window_id, al.subject_id, al.object_id, nbr.word AS family FROM al JOIN nbr ON nbr.grp = al.family),
+ex AS (SELECT * FROM nb EXCEPT SELECT * FROM al)
+SELECT {', '.join(PACKET)}, (SELECT string_agg(family, ',' ORDER BY family) FROM al x WHERE (x.video_id, x.window_id, x.subject_id, x.object_id) = (fe.video_id, fe.window_id, fe.subject_id, fe.object_id)) AS families,
+  coalesce((SELECT string_agg(family, ',' ORDER BY family) FROM ex x WHERE (x.video_id, x.window_id, x.subject_id, x.object_id) = (fe.video_id, fe.window_id, fe.subject_id, fe.object_id)), '') AS expandable FROM fe"""))
+def expand_families(s, d):
+    asked = F.array(F.lit("contact"), F.lit("locomotion_state"), F.lit("no_such_family"))
+    routed = routing.route(ranked(s, d), O.siblings(s)).withColumn("requested", asked)
+    out = routing.expand(routed, O.neighbors(s))
+    return out.select(*PACKET, F.concat_ws(",", F.array_sort("families")).alias("families"), F.concat_ws(",", F.array_sort("expandable")).alias("expandable"))
+
+
 @query(with_obs(f", {FEATURES_SQL}, {SCORES_SQL}, {ROUTE_SQL}, {SAMPLE_SQL}, rt AS (SELECT video_id, window_id, subject_id, object_id, string_agg(name, ',' ORDER BY ord) AS candidates FROM ro WHERE ord <= 14 GROUP BY ALL) SELECT {', '.join(PACKET)}, frame_count, round(median_dx, 6)+0.0 AS median_dx, round(approach_rate, 6)+0.0 AS approach_rate, candidates, sample FROM fe JOIN rt USING (video_id, window_id, subject_id, object_id) JOIN sa USING (video_id, window_id, subject_id, object_id)"))
 def evidence_packets(s, d):
     f = features(s, d)

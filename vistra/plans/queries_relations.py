@@ -187,15 +187,40 @@ def category_constraint(s, d):
     return R.category_filter(merged(s, d), T.main_class(fixture.obs(s, d)), limits).select(*R.KEY, "allowed")
 
 
-@query(with_obs(f"""{MERGED}, {CONFLICT_SQL}, q AS (SELECT video_id, array_to_string(sources, ',') AS source, count(*) AS n, count(*) FILTER (rk < 0.45) AS low FROM mr GROUP BY ALL)
-SELECT q.video_id, sum(n)::BIGINT AS relations, string_agg(source || '=' || n, ';' ORDER BY source) AS source_counts, sum(low)::BIGINT AS low_scores, (SELECT count(*) FROM cf WHERE cf.video_id = q.video_id) AS conflicts FROM q GROUP BY q.video_id"""))
+_ALLOWED_SQL = f"""{_MAIN_SQL}, fa AS (SELECT m.*, CASE m.p WHEN 'above' THEN a.class_name IN ('dog', 'cat', 'horse') WHEN 'left' THEN b.class_name NOT IN ('person', 'unknown') ELSE true END AS allowed
+FROM mr m JOIN mc a ON a.video_id = m.video_id AND a.track_id = m.s JOIN mc b ON b.video_id = m.video_id AND b.track_id = m.o)"""
+
+
+@query(with_obs(f"""{MERGED}, {CONFLICT_SQL}, {_ALLOWED_SQL}, q AS (SELECT video_id, array_to_string(sources, ',') AS source, count(*) AS n, count(*) FILTER (rk < 0.85) AS low FROM mr GROUP BY ALL),
+lo AS (SELECT video_id, string_agg(concat_ws(' ', s, p, o, st, en), ';' ORDER BY st, en, s, p, o) AS ex FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY st, en, s, p, o) AS n FROM mr WHERE rk < 0.85) WHERE n <= 20 GROUP BY video_id),
+k AS (SELECT video_id, count(*) AS n, count(*) FILTER (allowed) AS al, count(*) FILTER (allowed AND rk >= 0.7) AS kept FROM fa GROUP BY video_id)
+SELECT q.video_id, sum(q.n)::BIGINT AS relations, string_agg(source || '=' || q.n, ';' ORDER BY source) AS source_counts, sum(low)::BIGINT AS low_scores, (SELECT count(*) FROM cf WHERE cf.video_id = q.video_id) AS conflicts, any_value(k.n - k.al) AS filtered_by_category, any_value(k.al - k.kept) AS filtered_by_score, any_value(k.kept) AS kept,
+  coalesce(any_value(lo.ex), '') AS low_examples, (SELECT count(*) FROM cf WHERE cf.video_id = q.video_id) = 0 AND any_value(k.n - k.al) = 0 AS passed FROM q JOIN k USING (video_id) LEFT JOIN lo USING (video_id) GROUP BY q.video_id"""))
 def verify_qc(s, d):
-    m = merged(s, d).withColumn("source", F.concat_ws(",", "sources"))
-    by = m.groupBy("video_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum((R.ranking_score() < 0.45).cast("int")).alias("low"))
-    counts = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(x["source"], F.lit("="), x["n"].cast("string"))))
-    out = by.groupBy("video_id").agg(F.sum("n").alias("relations"), counts.alias("source_counts"), F.sum("low").alias("low_scores"))
-    c = R.conflicts(m, O.mutex(s)).groupBy("video_id").agg(F.count(F.lit(1)).alias("conflicts"))
-    return out.join(c, "video_id", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+    m = merged(s, d)
+    limits = s.createDataFrame([("above", ["animal"], None), ("left", ["any"], ["object"])], "predicate string, subject_categories array<string>, object_categories array<string>")
+    allowed = R.category_filter(m, T.main_class(fixture.obs(s, d)), limits).where("allowed")
+    out = R.verify_report(m, allowed, R.export_filter(allowed, 0.7), O.mutex(s), low=0.85)
+    return out.withColumn("low_examples", F.concat_ws(";", "low_examples"))
+
+
+@query(with_obs(f"""{MERGED}, {CONFLICT_SQL}, sc AS (SELECT video_id, s, o, st, en, p, max(rk) AS rk FROM mr GROUP BY ALL), lo AS (SELECT cf.video_id, cf.s, cf.o, cf.st, cf.en, CASE WHEN x.rk >= y.rk THEN cf.q ELSE cf.p END AS p, CASE WHEN x.rk >= y.rk THEN cf.p ELSE cf.q END AS kept
+  FROM cf JOIN sc x ON (x.video_id, x.s, x.o, x.st, x.en, x.p) = (cf.video_id, cf.s, cf.o, cf.st, cf.en, cf.p) JOIN sc y ON (y.video_id, y.s, y.o, y.st, y.en, y.p) = (cf.video_id, cf.s, cf.o, cf.st, cf.en, cf.q))
+SELECT mr.video_id, mr.s AS subject_id, mr.p AS predicate, mr.o AS object_id, mr.st AS start_frame, mr.en AS end_frame, 'delete' AS action, 'mutex conflict; keep ' || kept AS reason, round(rk, 6)+0.0 AS ranking_score FROM mr JOIN lo ON (lo.video_id, lo.s, lo.o, lo.st, lo.en, lo.p) = (mr.video_id, mr.s, mr.o, mr.st, mr.en, mr.p)"""))
+def mutex_deletions(s, d):
+    return R.deletions(merged(s, d), O.mutex(s)).withColumn("ranking_score", r6(F.col("ranking_score")))
+
+
+_RAW_SQL = """SELECT video_id, event_id, CASE WHEN event_id % 7 = 0 THEN 'x' || track_id ELSE track_id::VARCHAR END AS subject_track_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (track_id + 1)::VARCHAR END AS object_id,
+  CASE event_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' Left ' ELSE 'touch' END AS predicate, CASE WHEN event_id % 3 = 0 THEN NULL ELSE frame::VARCHAR END AS start_frame, CASE WHEN event_id % 13 = 0 THEN 'late' WHEN event_id % 2 = 0 THEN NULL ELSE (frame + 9)::VARCHAR END AS end_frame FROM obs"""
+
+
+@query(with_obs(f""", raw AS ({_RAW_SQL}) SELECT video_id, event_id, subject_track_id::BIGINT AS subject_id, lower(trim(predicate)) AS predicate, object_id::BIGINT AS object_id, coalesce(start_frame::INT, 0) AS start_frame, coalesce(end_frame::INT, start_frame::INT, 0) AS end_frame
+FROM raw WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id % 13 <> 0"""))
+def relation_keys(s, d):
+    raw = fixture.obs(s, d).selectExpr("video_id", "event_id", "CASE WHEN event_id % 7 = 0 THEN concat('x', track_id) ELSE string(track_id) END AS subject_track_id", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE string(track_id + 1) END AS object_id",
+                                       "CASE event_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' Left ' ELSE 'touch' END AS predicate", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE string(frame) END AS start_frame", "CASE WHEN event_id % 13 = 0 THEN 'late' WHEN event_id % 2 = 0 THEN NULL ELSE string(frame + 9) END AS end_frame")
+    return R.keyed(raw)
 
 
 CLUSTER_SQL = """o AS (SELECT *, row_number() OVER (PARTITION BY video_id, s, p, o ORDER BY st, en, segment_id) AS rn FROM mr),

@@ -43,9 +43,11 @@ pv AS (SELECT *, frame - lag(frame) OVER w AS df, x1 - lag(x1) OVER w AS a1, y1
 pc AS (SELECT video_id, scene_id, track_id, run, (track_id * 1000 + scene_id * 500 + run)::BIGINT AS piece_id, min(frame) AS st, max(frame) AS en, arg_min(class_name, frame) AS cls, arg_min(x1, frame) AS fx1, arg_min(y1, frame) AS fy1, arg_min(x2, frame) AS fx2, arg_min(y2, frame) AS fy2,
   arg_max(x1, frame) AS lx1, arg_max(y1, frame) AS ly1, arg_max(x2, frame) AS lx2, arg_max(y2, frame) AS ly2, arg_max(coalesce(a1 / df, 0), frame) AS v1, arg_max(coalesce(a2 / df, 0), frame) AS v2, arg_max(coalesce(a3 / df, 0), frame) AS v3, arg_max(coalesce(a4 / df, 0), frame) AS v4 FROM pv GROUP BY ALL),
 pe AS (SELECT pc.*, em.e FROM pc JOIN em ON em.vec_id = pc.track_id % 500),
-ed0 AS (SELECT l.video_id, l.scene_id, l.piece_id AS left_id, r.piece_id AS right_id, r.st - l.en AS gap, l.lx1 + l.v1 * (r.st - l.en) AS tx1, l.ly1 + l.v2 * (r.st - l.en) AS ty1, l.lx2 + l.v3 * (r.st - l.en) AS tx2, l.ly2 + l.v4 * (r.st - l.en) AS ty2, r.fx1 AS dx1, r.fy1 AS dy1, r.fx2 AS dx2, r.fy2 AS dy2, l.e AS le, r.e AS re, (l.cls = r.cls)::INT AS same
+ed0 AS (SELECT l.video_id, l.scene_id, l.piece_id AS left_id, r.piece_id AS right_id, r.st - l.en AS gap, l.lx1 + l.v1 * (r.st - l.en) AS tx1, l.ly1 + l.v2 * (r.st - l.en) AS ty1, l.lx2 + l.v3 * (r.st - l.en) AS tx2, l.ly2 + l.v4 * (r.st - l.en) AS ty2, r.fx1 AS dx1, r.fy1 AS dy1, r.fx2 AS dx2, r.fy2 AS dy2, l.e AS le, r.e AS re
   FROM pe l JOIN pe r ON l.video_id = r.video_id AND l.scene_id = r.scene_id AND r.st - l.en BETWEEN 1 AND 90),
-ed1 AS (SELECT *, list_sum(list_transform(list_zip(le, re), lambda z: z[1] * z[2])) AS sim, {_CEN('t', 'd')} AS center, {_EPS('t', 'd')} AS iou FROM ed0),
+cs AS (SELECT video_id, scene_id, piece_id, class_name, w / sum(w) OVER (PARTITION BY video_id, scene_id, piece_id) AS share FROM (SELECT video_id, scene_id, (track_id * 1000 + scene_id * 500 + run)::BIGINT AS piece_id, class_name, sum(coalesce(score, 1.0)) AS w FROM pr GROUP BY ALL)),
+ov AS (SELECT a.piece_id AS left_id, b.piece_id AS right_id, sum(least(a.share, b.share)) AS both FROM cs a JOIN cs b ON a.video_id = b.video_id AND a.scene_id = b.scene_id AND a.class_name = b.class_name GROUP BY ALL),
+ed1 AS (SELECT ed0.*, coalesce(ov.both, 0) AS same, list_sum(list_transform(list_zip(le, re), lambda z: z[1] * z[2])) AS sim, {_CEN('t', 'd')} AS center, {_EPS('t', 'd')} AS iou FROM ed0 LEFT JOIN ov ON ov.left_id = ed0.left_id AND ov.right_id = ed0.right_id),
 ed AS (SELECT *, 0.55 * (1 - greatest(0.0, sim)) + 0.25 * least(1.0, center / 4) + 0.15 * (1 - iou) + 0.05 * (1 - same) AS cost FROM ed1 WHERE sim >= 0.6 OR center <= 4)"""
 
 

@@ -32,7 +32,7 @@ def file_fingerprint(s, d):
     return files.fingerprints(s, d, "*.parquet")
 
 
-@query()
+@query(with_obs(""" SELECT video_id, track_id, frame, class_name, sha256('{"class_name":"' || class_name || '","frame":' || frame || ',"track_id":' || track_id || ',"video_id":' || video_id || '}') AS sha256 FROM obs"""))
 def stable_hash(s, d):
     return files.stable_hash(fixture.obs(s, d).select("video_id", "track_id", "frame", "class_name"), "class_name", "frame", "track_id", "video_id")
 
