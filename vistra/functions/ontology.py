@@ -62,8 +62,18 @@ FAMILY_NEIGHBORS = {
 #: Inverses used for coupling, and predicates that exclude each other.
 INVERSES = {"left": "right", "right": "left", "above": "beneath", "beneath": "above", "front": "behind", "behind": "front", "away": "toward", "toward": "away"}
 MUTEX = (("left", "right"), ("above", "beneath"), ("behind", "front"), ("away", "toward"))
+#: Comparatives, relations that geometry decides without a model, relations that hold both ways, and what the families mean.
 COMPARATIVES = ("faster", "larger", "taller")
-#: Relations that geometry decides without a model.
+SYMMETRIC = ("next_to", "touch", "fight", "play", "with")
+FAMILY_DESCRIPTIONS = {
+    "geometry": "relative position, containment, and depth",
+    "relative_motion": "approaching, separating, passing, following, or moving together",
+    "locomotion_state": "the subject's movement or posture while related to the object",
+    "contact": "visible physical contact or impact",
+    "manipulation": "the subject controls, carries, operates, or transfers the object",
+    "attention_social": "attention or sustained social interaction",
+    "comparative": "relative size, height, or speed",
+}
 GEOMETRIC = ("left", "right", "above", "beneath", "next_to")
 
 ACTIONS = {a for text in FAMILY_ACTIONS.values() for a in text.split()}
@@ -137,6 +147,23 @@ def siblings(spark: SparkSession) -> DataFrame:
     return first.select("name", "sibling", (F.row_number().over(Window.partitionBy("name").orderBy("o", "sibling")) - 1).alias("ord"))
 
 
+def families(spark: SparkSession) -> DataFrame:
+    """family, description."""
+    return spark.createDataFrame(list(FAMILY_DESCRIPTIONS.items()), "family string, description string")
+
+
+def candidates_for(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with every predicate as a candidate: classes suppress none, evidence decides."""
+    return pairs.withColumn("candidates", F.array(*map(F.lit, PREDICATES)))
+
+
+def summary(spark: SparkSession) -> DataFrame:
+    """name, parts, symmetric: the components of each predicate as text, ``atomic`` where there are none."""
+    part = lambda c: F.when(F.col(c) != "", F.concat(F.lit(f"{c}="), F.col(c)))
+    text = F.concat_ws(", ", part("action"), part("spatial"), part("comparative"))
+    return predicates(spark).select("name", F.when(text == "", "atomic").otherwise(text).alias("parts"), F.col("name").isin(*SYMMETRIC).alias("symmetric"))
+
+
 def inverses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(INVERSES.items()), "predicate string, inverse string")
 

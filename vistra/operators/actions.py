@@ -57,6 +57,24 @@ def validate_proposals(actions: DataFrame, packets: DataFrame, directions: DataF
     return out.withColumns({"granted_frames": none("granted_frames", "array<int>", "request_more_frames"), "granted_families": none("granted_families", "array<string>", "request_candidate_expansion")})
 
 
+def supplemental_packets(packets: DataFrame, validated: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """The second round: one packet for each that was granted frames or families, with no budget left.
+
+    It shows the frames that were displayed and those granted, and has the candidates of ``expanded(packet_id, subject_id, object_id, candidates)`` where
+    a direction was expanded.  Columns: packet_id (the parent's with ``:supplemental``), parent_id, displayed, max_additional, granted_families.
+    """
+    asked = validated.where("accepted").groupBy("packet_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("granted_frames")))).alias("more"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("granted_families")))).alias("granted_families")
+    )
+    asked = asked.where((F.size("more") > 0) | (F.size("granted_families") > 0))
+    out = packets.join(asked, "packet_id").withColumn("displayed", F.array_sort(F.array_distinct(F.concat("displayed", "more"))))
+    out = out.withColumns({"parent_id": F.col("packet_id"), "max_additional": F.lit(0), "packet_id": F.concat("packet_id", F.lit(":supplemental"))}).drop("more")
+    if expanded is not None:
+        named = expanded.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct("subject_id", "object_id", "candidates"))).alias("directions")).withColumnRenamed("packet_id", "parent_id")
+        out = out.join(named, "parent_id", "left")
+    return out
+
+
 def semantic_relations(validated: DataFrame) -> DataFrame:
     """Relation rows of the accepted proposals."""
     rows = validated.where("accepted and name = 'accept_relation'")

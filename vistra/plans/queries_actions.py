@@ -99,6 +99,17 @@ def apply_actions(s, d):
     return A.apply_reviews(r, v.where("accepted")).select("relation_id", "predicate", "start_frame", "end_frame", "source")
 
 
+@query(with_obs(f""", {_ACTIONS_SQL}, gr AS (SELECT packet_id, w0, w1, name, CASE WHEN because IS NULL AND name = 'request_more_frames' THEN e1 END AS f1, CASE WHEN because IS NULL AND name = 'request_more_frames' THEN e2 END AS f2, CASE WHEN because IS NULL AND name = 'request_candidate_expansion' THEN family END AS fam FROM vl),
+fr AS (SELECT packet_id, w0, w1, list_filter(list_sort(list_distinct(flatten(list([w0 + f1, w0 + f2])))), lambda x: x IS NOT NULL AND x <= w1 AND (x - w0) % 3 <> 0) AS more, string_agg(DISTINCT fam, ',') AS fams FROM gr GROUP BY packet_id, w0, w1)
+SELECT packet_id || ':supplemental' AS packet_id, packet_id AS parent_id, len(range(w0, w1 + 1, 3)) + least(len(more), 2) AS shown, coalesce(fams, '') AS families, 0 AS max_additional FROM fr WHERE len(more) > 0 OR fams IS NOT NULL"""))
+def supplemental_packets(s, d):
+    p = visible_pairs(s, d).withColumn("w0", (F.col("window_id") - 1) * 15)
+    pid = F.concat(F.col("video_id").cast("string"), F.lit(":w"), F.col("window_id").cast("string"), F.lit(":"), F.col("a").cast("string"), F.lit(":"), F.col("b").cast("string"))
+    packets = p.select(pid.alias("packet_id"), F.sequence("w0", F.least(F.lit(119), F.col("w0") + 29), F.lit(3)).alias("displayed"))
+    out = A.supplemental_packets(packets, validated(s, d))
+    return out.select("packet_id", "parent_id", F.size("displayed").cast("long").alias("shown"), F.concat_ws(",", "granted_families").alias("families"), "max_additional")
+
+
 @query(with_obs(f""", {INTERP_SQL}, {PAIRS_SQL}, pk AS (SELECT concat(video_id, ':w', window_id, ':', a, ':', b) AS packet_id, a, b FROM pw GROUP BY video_id, window_id, a, b HAVING count(*) >= 2)
 SELECT packet_id, CASE WHEN (a + b) % 4 = 0 THEN NULL WHEN (a + b) % 3 = 0 THEN 'second' ELSE 'first' END AS actions, CASE WHEN (a + b) % 4 = 0 THEN 'missing' ELSE 'answered' END AS state FROM pk"""))
 def packet_audit(s, d):

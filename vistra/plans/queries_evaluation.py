@@ -264,3 +264,25 @@ def merge_exports(s, d):
     r = relations(s, d, "p")
     out = annotations.merge_exports([r.where("video_id % 2 = 0"), r.where("video_id % 2 = 1")], asked)
     return out.select("video_id", F.size("relations").cast("long").alias("relations"), F.concat_ws(",", F.transform("relations", lambda x: x["rel_id"])).alias("ids"))
+
+
+@query(with_gold(" SELECT video_id, track_id, CASE WHEN track_id % 4 = 0 THEN 'unknown' ELSE 'dog' END AS category, frame, x1, y1, x2, y2 FROM gobs WHERE event_id % 9 <> 0"))
+def gold_trajectories(s, d):
+    side = lambda c, gone: F.when(F.col("event_id") % 9 == gone, None).otherwise(F.col(c))
+    box = F.struct(side("x1", 0).alias("xmin"), F.col("y1").alias("ymin"), F.col("x2").alias("xmax"), F.col("y2").alias("ymax"))
+    o = fixture.gold_obs(s, d)
+    by_frame = o.groupBy("video_id", "frame").agg(F.collect_list(F.struct(F.col("track_id").alias("tid"), box.alias("bbox"))).alias("items"))
+    spine = fixture.frames(s, d).join(by_frame, ["video_id", "frame"], "left").select("video_id", "frame", F.coalesce("items", F.array().cast(by_frame.schema["items"].dataType)).alias("items"))
+    lists = spine.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "items"))), lambda x: x["items"]).alias("trajectories"))
+    names = o.where("track_id % 4 <> 0").groupBy("video_id").agg(F.collect_set(F.struct(F.col("track_id").alias("tid"), F.lit("dog").alias("category"))).alias("objects"))
+    return annotations.gold_trajectories(lists.join(names, "video_id", "left"))
+
+
+@query(f"WITH {O.predicates_sql()} SELECT name, CASE WHEN concat_ws(', ', CASE WHEN action <> '' THEN 'action=' || action END, CASE WHEN spatial <> '' THEN 'spatial=' || spatial END, CASE WHEN comparative <> '' THEN 'comparative=' || comparative END) = '' THEN 'atomic' ELSE concat_ws(', ', CASE WHEN action <> '' THEN 'action=' || action END, CASE WHEN spatial <> '' THEN 'spatial=' || spatial END, CASE WHEN comparative <> '' THEN 'comparative=' || comparative END) END AS parts, name IN ('next_to', 'touch', 'fight', 'play', 'with') AS symmetric FROM predicates")
+def predicate_summary(s, d):
+    return O.summary(s)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(repr((k, v)) if chr(39) not in v else '(' + repr(k) + ', ' + chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) + ')' for k, v in O.FAMILY_DESCRIPTIONS.items())}) t(family, description)")
+def family_descriptions(s, d):
+    return O.families(s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vistra.functions import geometry as g
+from vistra.functions import ontology as O
 from vistra.operators import detections as D
 from vistra.operators import tracks as T
 from vistra.sources import files, fixture
@@ -121,6 +122,71 @@ def contract_violations(s, d):
     return D.violations(broken).select("event_id", F.concat_ws(",", "violations").alias("violations"))
 
 
+@query(f"""WITH {DET_SQL} SELECT event_id, x1, y1, x2, y2, CASE WHEN event_id % 3 = 0 THEN -1 ELSE (event_id % 9)::INT END AS class, CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE class_name END AS class_name, CASE WHEN event_id % 6 = 5 THEN NULL ELSE 0.25 END AS score,
+  CASE WHEN event_id % 6 = 5 THEN 'unavailable' WHEN event_id % 6 = 1 THEN 'native' ELSE 'legacy_confidence' END AS score_kind FROM det WHERE event_id % 11 NOT IN (1, 2, 3) AND event_id % 13 <> 5 AND event_id % 17 <> 4""")
+def detections_compacted(s, d):
+    raw = """concat('{"bbox":', CASE event_id % 11 WHEN 1 THEN '[1,2,3]' WHEN 2 THEN '[1,2,"x",4]' WHEN 3 THEN 'null' ELSE concat('[', x1, ',', y1, ',', x2, ',', y2, ']') END,
+      CASE WHEN event_id % 13 = 5 THEN ',"class":"dog"' WHEN event_id % 3 = 0 THEN '' ELSE concat(',"class":', event_id % 9) END, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(',"class_name":"', class_name, '"') END,
+      CASE WHEN event_id % 17 = 4 THEN ',"score":"high"' WHEN event_id % 6 = 5 THEN '' WHEN event_id % 2 = 0 THEN ',"confidence":0.25' ELSE ',"score":0.25' END, CASE WHEN event_id % 6 = 1 THEN ',"score_kind":"native"' ELSE '' END, '}')"""
+    return D.compact(fixture.det(s, d).select("event_id", F.expr(raw).alias("raw")), "raw").select("event_id", *g.SIDES, "class", "class_name", "score", "score_kind")
+
+
+_TRACK_ROWS = """event_id, CASE WHEN event_id % 31 = 0 THEN -1 ELSE track_id END AS track_id, CASE WHEN event_id % 29 = 0 THEN -2 ELSE frame END AS frame, x1, y1, CASE WHEN event_id % 23 = 0 THEN x1 ELSE x2 END AS x2, y2,
+  CASE WHEN event_id % 19 = 0 THEN '  ' ELSE class_name END AS class_name, CASE WHEN event_id % 17 = 0 THEN 1.5 ELSE 0.5 END AS confidence, CASE event_id % 4 WHEN 0 THEN 'predicted' WHEN 1 THEN 'guessed' ELSE 'observed' END AS box_source, event_id % 4 = 0 AS is_predicted, event_id % 6 <> 0 AS seen"""
+
+
+@query(with_obs(f""", r AS (SELECT {_TRACK_ROWS} FROM obs) SELECT event_id, concat_ws(',', CASE WHEN track_id < 0 THEN 'bad_track_id' END, CASE WHEN frame < 0 THEN 'negative_frame' END, CASE WHEN x2 <= x1 THEN 'bad_box' END, CASE WHEN seen AND x2 <= x1 THEN 'bad_observed_box' END, CASE WHEN trim(class_name) = '' THEN 'empty_class' END,
+  CASE WHEN confidence > 1 THEN 'bad_score' END, CASE WHEN box_source = 'guessed' THEN 'unknown_source' END, CASE WHEN is_predicted AND seen THEN 'predicted_but_observed' END, CASE WHEN box_source = 'observed' AND NOT seen THEN 'observed_without_box' END, CASE WHEN box_source <> 'observed' AND seen THEN 'unobserved_with_box' END) AS violations FROM r"""))
+def track_contract(s, d):
+    r = fixture.obs(s, d).selectExpr(*fixture._split(_TRACK_ROWS)).withColumn("bbox", F.array(*g.box()))
+    r = r.withColumn("bbox_observed", F.when(F.col("seen"), F.col("bbox")))
+    return D.track_violations(r).select("event_id", F.concat_ws(",", "violations").alias("violations"))
+
+
+_RELATION_ROWS = """event_id, track_id AS subject_id, CASE WHEN event_id % 5 = 0 THEN track_id WHEN event_id % 7 = 0 THEN -1 ELSE track_id + 1 END AS object_id, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'left' END AS predicate, frame AS start_frame, CASE WHEN event_id % 13 = 0 THEN frame ELSE frame + 5 END AS end_frame,
+  0.5 AS confidence, CASE WHEN event_id % 17 = 0 THEN -0.1 ELSE 0.1 END AS rule_support, 0.2 AS agent_score, 0.3 AS ranking_score, CASE WHEN event_id % 3 = 0 THEN frame + 5 ELSE frame END AS evidence"""
+
+
+@query(with_obs(f""", r AS (SELECT {_RELATION_ROWS} FROM obs) SELECT event_id, concat_ws(',', CASE WHEN object_id < 0 THEN 'bad_track_id' END, CASE WHEN object_id = subject_id THEN 'same_track' END, CASE WHEN trim(predicate) = '' THEN 'empty_predicate' END, CASE WHEN end_frame <= start_frame THEN 'bad_span' END,
+  CASE WHEN rule_support < 0 THEN 'bad_score' END, CASE WHEN evidence < start_frame OR evidence >= end_frame THEN 'evidence_outside_span' END) AS violations FROM r"""))
+def relation_contract(s, d):
+    r = fixture.obs(s, d).selectExpr(*fixture._split(_RELATION_ROWS)).withColumn("evidence_frames", F.array("evidence"))
+    return D.relation_violations(r).select("event_id", F.concat_ws(",", "violations").alias("violations"))
+
+
+@query(f"""WITH {DET_SQL}, f AS (SELECT DISTINCT video_id, frame FROM det), n AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1) // 5 AS batch_id FROM f)
+SELECT video_id, batch_id, CASE WHEN batch_id % 3 = 0 THEN 'repeated_frame' ELSE 'length_differs' END AS problem FROM n WHERE batch_id % 3 < 2 GROUP BY ALL""")
+def batch_problems(s, d):
+    b = D.frame_batches(fixture.det(s, d).select("video_id", "frame").distinct())
+    twice = b.where("batch_id % 3 = 0").unionByName(b.where("batch_id % 3 = 0"))
+    longer = b.where("batch_id % 3 = 1").withColumn("batch_frames", F.concat("batch_frames", F.array(F.lit(-1))))
+    return D.batch_problems(twice.unionByName(longer).unionByName(b.where("batch_id % 3 = 2")))
+
+
+@query(f"""WITH {DET_SQL}, c AS (SELECT video_id, frame, count(*) AS n FROM det WHERE frame % 3 = 0 GROUP BY ALL) SELECT video_id, frame FROM c""")
+def tracker_clock(s, d):
+    from vistra.operators import tracking as K
+
+    return K.clock(D.frame_spine(_videos(s, d), fixture.det(s, d).where("frame % 3 = 0"))).select("video_id", "frame")
+
+
+@query(f"""WITH {DET_SQL}, r AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 3 = 1 THEN NULL ELSE class_name END AS class_name, CASE WHEN event_id % 4 = 0 THEN 'Bike' ELSE '' END AS category, CASE WHEN event_id % 5 = 0 THEN 'red-Panda' END AS label FROM det),
+f AS (SELECT event_id, coalesce(nullif(trim(class_name), ''), nullif(trim(category), ''), nullif(trim(label), '')) AS v FROM r) SELECT event_id, CASE WHEN v IS NULL THEN 'unknown' WHEN v = 'Bike' THEN 'bicycle' WHEN v = 'red-Panda' THEN 'red_panda' ELSE v END AS label FROM f""")
+def class_fallback(s, d):
+    from vistra.operators import labels
+
+    r = fixture.det(s, d).selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 3 = 1 THEN NULL ELSE class_name END AS class_name", "CASE WHEN event_id % 4 = 0 THEN 'Bike' ELSE '' END AS category", "CASE WHEN event_id % 5 = 0 THEN 'red-Panda' END AS class")
+    return labels.first_name(r, O.aliases(s)).select("event_id", "label")
+
+
+@query(f"""WITH {DET_SQL} SELECT DISTINCT class_name, CASE WHEN class_name IN ('car', 'bicycle') THEN 'vehicle' ELSE class_name END AS class_group FROM det""")
+def class_groups(s, d):
+    from vistra.operators import tracking as K
+
+    same = s.createDataFrame([("Vehicle", " car"), ("Vehicle", "bicycle")], "canonical string, other string")
+    return K.class_groups(fixture.det(s, d).select("class_name").distinct(), same)
+
+
 @query(f"""WITH {DET_SQL}, f AS (SELECT video_id, class_name, min(event_id) AS first FROM det GROUP BY ALL)
 SELECT video_id, class_name, (dense_rank() OVER (PARTITION BY video_id ORDER BY first) - 1)::INT AS class_id FROM f""")
 def class_ids(s, d):

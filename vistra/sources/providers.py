@@ -27,6 +27,31 @@ class StubProvider:
         return self.reply
 
 
+def dry_run(packets: DataFrame, reply: str = '{"actions": []}') -> DataFrame:
+    """What ``ask`` gives without calling anyone: the same reply for every packet."""
+    return packets.select("packet_id", F.lit(reply).alias("reply"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"))
+
+
+def without_key(packets: DataFrame, name: str) -> DataFrame:
+    """What ``ask`` gives where the provider's key is missing: a row with its error for every packet, not an exception."""
+    return packets.select("packet_id", F.lit(None).cast("string").alias("reply"), F.lit(f"missing key {name}").alias("error"), F.lit(0).alias("attempts"))
+
+
+def embed(boxes: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list]], key: str = "det_id") -> DataFrame:
+    """key, embedding of ``boxes`` by an encoder that is made once in each task; brought to length 1, null where the encoder gives none or zeros."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = make()
+        for pdf in batches:
+            found = []
+            for v in encoder(pdf):
+                norm = 0.0 if v is None else float(sum(float(x) * float(x) for x in v)) ** 0.5
+                found.append([float(x) / norm for x in v] if norm > 0 else None)
+            yield pd.DataFrame({key: pdf[key], "embedding": found})
+
+    return boxes.mapInPandas(run, f"{key} {boxes.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
 def ask(packets: DataFrame, make: Callable[[], Provider], *, retries: int = 2, wait: float = 0.0) -> DataFrame:
     """packet_id, reply, error, attempts for ``packets(packet_id, prompt, images)``; one provider for each task.
 
@@ -63,10 +88,18 @@ def detect(frames: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Dat
     return frames.mapInPandas(run, schema)
 
 
-def prompt(packet: Column, families: str = "") -> Column:
-    """The text for a packet: an instruction and the packet as JSON."""
-    head = "Name the relations that the frames show. Answer with JSON: {\"actions\": [...]}."
-    return F.concat(F.lit(f"{head}\n{families}\n"), F.to_json(packet))
+#: What each kind of call asks for.
+_TASKS = {
+    "proposal": "Name the relations that the frames show.",
+    "supplemental": "More frames or candidates were granted. Name the relations that they show; ask for nothing more.",
+    "review": "Review these relations against the frames: accept, reject, change the predicate, or narrow the interval.",
+    "vocabulary": "Name the classes of the objects that the frames show.",
+}
+
+
+def prompt(packet: Column, families: str = "", task: str = "proposal") -> Column:
+    """The text for a packet (or an array of packets): the task, the families' meanings, and the packet as JSON."""
+    return F.concat(F.lit(f"{_TASKS[task]} Answer with JSON: {{\"actions\": [...]}}.\n{families}\n"), F.to_json(packet))
 
 
 def call_stats(replies: DataFrame) -> DataFrame:
