@@ -54,6 +54,22 @@ def test_url_filters(spark):
     assert (got[2].host, got[2].path) == ("sub.com", "/en/") and (got[7].host, got[7].path, got[12].path) == ("", "", "/")
 
 
+def test_url_patterns_are_found_by_their_tokens(spark):
+    urls = {1: "http://h.com/en/cart/1", 2: "http://en.wikipedia.org/wiki/Login", 3: "http://localhost:80/x", 4: "http://a.org/archive/2020/1", 5: "http://archive.org/details/x", 6: "http://a.org/sitemap-1.xml.gz", 7: "http://best-casino.net/", 8: "http://a.org/cartoon",
+            9: "http://a.org/PASSWORD-reset", 10: "http://a.org/password-reset", 11: "http://a.org/page/12/", 12: "http://a.org/page/1200/", 13: "http://ads.a.com/"}
+    rows = [(k, v) for k, v in urls.items()] * 2 + [(None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    got = [(r.page_id, r.verdict) for r in url_filters.judge(frame).collect()]
+    blocked = {1, 3, 4, 6, 7, 10, 12, 13}
+    assert sorted(got, key=str) == sorted([(k, "block" if k in blocked else "allow") for k, _ in rows], key=str)
+    assert url_filters.judge(frame.limit(0)).count() == 0
+    index = url_filters.Index(url_filters.PATTERNS)
+    for host, path in (url_filters.parts(u) for u in urls.values()):
+        plain = [r for r in url_filters.PATTERNS if __import__("re").fullmatch(r.pattern, f"{host}\n{path}", __import__("re").S | __import__("re").A)]
+        want = max(plain, key=lambda r: (len(r.name), r.action == "allow", r.name), default=None)
+        assert index.match(host, path) == want and len(list(index.candidates(host, path))) < 6
+
+
 def test_url_index_runs_few_rules():
     rules = tuple(url_filters.Rule("block", f"site{i}.com", "/en/") for i in range(200))
     index = url_filters.Index(rules)

@@ -19,7 +19,7 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Rule:
-    """``host`` with its subdomains and paths that start with ``path``; or else ``pattern``, which needs ``tokens``."""
+    """``host`` with its subdomains and paths that start with ``path``; or else ``pattern`` over host, line end and path, which needs ``tokens``."""
 
     action: str
     host: str = ""
@@ -50,12 +50,51 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: The method's own patterns, asked where no rule above fits: they block what is never prose.
-PATTERNS = (
-    Rule("block", pattern=r"[^\n]*\n.*\b(?:wp-)?login\b.*", tokens=("login",)),
-    Rule("block", pattern=r"[^\n]*\n.*\bcasino\b.*", tokens=("casino",)),
-    Rule("block", pattern=r"(?:.*\.)?doubleclick\.[a-z]+\n.*", tokens=("doubleclick",)),
-)
+#: The method's own patterns, asked where no rule above fits: token, action, and the regular expression over host, line end and path.
+#: They block pages that are never prose - advertising, gambling, shops' carts, accounts, feeds, listings of an archive - and allow a few that look like them.
+_PATTERNS = r"""
+doubleclick block (?:.*\.)?doubleclick\.[a-z]+\n.*
+adservice block (?:.*\.)?adservice\.[a-z.]+\n.*
+googlesyndication block (?:.*\.)?googlesyndication\.com\n.*
+taboola block (?:.*\.)?taboola\.com\n.*
+outbrain block (?:.*\.)?outbrain\.com\n.*
+ads block (?:.*\.)?ads\.[a-z0-9-]+\.[a-z]+\n.*
+banner block [^\n]*\n.*/banner/\d+x\d+.*
+casino block [^\n]*\n.*\bcasino\b.*
+casino block (?:.*[.-])?casino(?:[.-].*)?\n.*
+poker block [^\n]*\n.*\bpoker\b.*
+betting block [^\n]*\n.*\bbetting\b.*
+viagra block [^\n]*\n.*\bviagra\b.*
+xxx block (?:.*\.)?xxx\n.*
+xxx block [^\n]*\n.*\bxxx\b.*
+porn block [^\n]*\n.*\bporn\b.*
+login block [^\n]*\n.*\b(?:wp-)?login\b.*
+signin block [^\n]*\n.*\bsignin\b.*
+signup block [^\n]*\n.*\bsignup\b.*
+register block [^\n]*\n(?:/[a-z]{2})?/register/?
+password block [^\n]*\n.*\bpassword[/_-](?:reset|forgot|recovery)\b.*
+password block [^\n]*\n.*\b(?:reset|forgot|recover)[/_-]password\b.*
+admin block [^\n]*\n.*/(?:wp-)?admin/.*
+xmlrpc block [^\n]*\n.*/xmlrpc\.php
+cgi block [^\n]*\n/cgi-bin/.*
+cart block [^\n]*\n(?:/[a-z]{2})?/cart(?:/.*)?
+checkout block [^\n]*\n.*/checkout(?:/.*)?
+wishlist block [^\n]*\n.*/wishlist(?:/.*)?
+feed block [^\n]*\n.*/feed/?
+rss block [^\n]*\n.*/rss(?:\.xml)?/?
+sitemap block [^\n]*\n.*/sitemap(?:[_-]\w+)?\.xml(?:\.gz)?
+robots block [^\n]*\n/robots\.txt
+calendar block [^\n]*\n.*/calendar/\d{4}(?:/\d{1,2}){0,2}/?
+archive block [^\n]*\n.*/archive/\d{4}(?:/\d{1,2}){0,2}/?
+page block [^\n]*\n.*/page/\d{3,}/?
+print block [^\n]*\n.*/print/\d+/?
+download block [^\n]*\n.*/download/.*\.(?:zip|gz|exe|dmg|iso|apk)
+localhost block localhost(?::\d+)?\n.*
+wikipedia allow (?:.*\.)?wikipedia\.org\n/wiki/.*
+arxiv allow (?:.*\.)?arxiv\.org\n/(?:abs|pdf)/.*
+archive allow (?:.*\.)?archive\.org\n/details/.*
+"""
+PATTERNS = tuple(Rule(action, pattern=pattern, tokens=(token,)) for token, action, pattern in (line.split(" ", 2) for line in _PATTERNS.strip().splitlines()))
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -88,15 +127,16 @@ class Index:
 
     def match(self, host: str, path: str) -> Rule | None:
         subject = f"{host}\n{path}"
-        fits = [r for r, regex in self.candidates(host, path) if regex.match(subject)]
+        fits = [r for r, regex in self.candidates(host, path) if regex.fullmatch(subject) or (r.host and regex.match(subject))]
         return max(fits, key=lambda r: (len(r.name), r.action == "allow", r.name), default=None)
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rule, ...] = PATTERNS) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict.
 
-    A host rule that fits decides; where none does, rule is null and the patterns decide, ``allow`` if none of them fits.
-    Null urls have an empty host and path and are allowed.
+    A host rule that fits decides; where none does, rule is null and the patterns decide, of those that fit the longest, ``allow`` if none of them does.
+    Null urls have an empty host and path and are allowed.  Repeated rows and null ids are kept as they are, other columns are left out, and
+    an empty table gives an empty one.
     """
 
     def run(batches):
@@ -112,13 +152,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rul
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
 
 
-ORACLE = r"""
+#: Each pattern stands for itself here, so that the index of tokens is checked against running them all.
+_SQL_PATTERNS = ", ".join(f"('{r.action}', '{r.pattern}')" for r in PATTERNS)
+ORACLE = rf"""
 WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM p),
 rules(action, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fit AS (SELECT page_id, rhost || rpath AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, action, rhost || rpath DESC) AS rk
   FROM hp JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
-SELECT hp.page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND (regexp_matches(path, '\b(wp-)?login\b') OR regexp_matches(path, '\bcasino\b') OR regexp_full_match(host, '(.*\.)?doubleclick\.[a-z]+')) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT hp.page_id, host, path, rule, coalesce(action, (SELECT arg_max(a, length(p) * 2 + (a = 'allow')::INT) FROM (VALUES {_SQL_PATTERNS}) t(a, p) WHERE host <> '' AND regexp_full_match(host || chr(10) || path, p)), 'allow') AS verdict
 FROM hp LEFT JOIN fit ON hp.page_id = fit.page_id AND rk = 1
 """
