@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records, with an offset index.
 
 A record is: length (8 bytes), masked CRC-32C of the length (4), data, masked CRC-32C of the data (4), all
-little-endian.  The data of one record is one document: its id (8 bytes, signed; the smallest number for a null), its number
-of ids (4), the width of an id in bytes (1: 2 or 4), then the ids.  Beside each file ``x.records`` stands
+little-endian.  The data of one record is one document: the kind of its id (1 byte: 0 none, 1 a number, 2 a text), the id (a number in 8 bytes,
+signed; a text as its length in 4 bytes and UTF-8), its number of token ids (4), the width of one in bytes (1: 2 or 4), then the ids.  Beside each file ``x.records`` stands
 ``x.index``: 16 bytes for each record, its offset and its whole length, for reads in any order.
 """
 
@@ -32,7 +32,6 @@ MASK_ADD = 0xA282EAD8
 BLOCK = 64
 #: Records whose checksums are computed together, in bytes.
 BATCH_BYTES = 2 << 20
-NULL_ID = -(1 << 63)
 END_ID = 2
 
 
@@ -99,14 +98,25 @@ def frames(records: list[bytes]) -> list[bytes]:
     return [size + struct.pack("<I", a) + data + struct.pack("<I", b) for size, a, data, b in both]
 
 
-def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
+def serialize(doc_id: int | str | None, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return struct.pack("<qIB", NULL_ID if doc_id is None else doc_id, len(ids), width) + ids.astype(f"<u{width}").tobytes()
+    if isinstance(doc_id, str):
+        name = doc_id.encode()
+        head = struct.pack("<BI", 2, len(name)) + name
+    else:
+        head = b"\0" if doc_id is None else struct.pack("<Bq", 1, doc_id)
+    return head + struct.pack("<IB", len(ids), width) + ids.astype(f"<u{width}").tobytes()
 
 
-def parse(data: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, n, width = struct.unpack_from("<qIB", data)
-    return None if doc_id == NULL_ID else doc_id, np.frombuffer(data, f"<u{width}", n, 13).astype("<u4")
+def parse(data: bytes) -> tuple[int | str | None, np.ndarray]:
+    kind, at, doc_id = data[0], 1, None
+    if kind == 1:
+        (doc_id,), at = struct.unpack_from("<q", data, 1), 9
+    elif kind == 2:
+        (size,) = struct.unpack_from("<I", data, 1)
+        doc_id, at = data[5 : 5 + size].decode(), 5 + size
+    n, width = struct.unpack_from("<IB", data, at)
+    return doc_id, np.frombuffer(data, f"<u{width}", n, at + 5).astype("<u4")
 
 
 def read_records(stream, most: int | None = None):
@@ -129,7 +139,7 @@ def read_records(stream, most: int | None = None):
             return
 
 
-def read_at(path: str, number: int) -> tuple[int | None, np.ndarray]:
+def read_at(path: str, number: int) -> tuple[int | str | None, np.ndarray]:
     """Record ``number`` of a file, through its index."""
     store, name = fs.FileSystem.from_uri(path)
     with store.open_input_file(re.sub(r"records$", "index", name)) as index:
@@ -234,14 +244,15 @@ def word_encoder(tokenizer_file: str) -> WordEncoder:
 def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> DataFrame:
     """Encode every whole text, append the end id, and write record files in ascending doc_id order.
 
-    Returns the manifest: part, path, n_docs, n_ids, one row per file; file ``part`` holds larger ids than those
-    before it.  Null ids come first; equal ids stand in the order of a hash of their texts.  Each attempt of a
+    Returns the manifest: part, path, n_docs, n_ids, id_type (long or string), one row per file; file ``part`` holds larger ids than those
+    before it.  Ids are numbers or texts; null ones come first; equal ids stand in the order of a hash of their texts.  Null texts count as empty.  Each attempt of a
     task writes a file of its own and only finished ones are in the manifest, so lost executors do no harm.
     Records of an empty table: no file.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
-    rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    id_type = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
+    rows = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
@@ -269,9 +280,9 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> Da
         if stream is not None:
             stream.close()
             index.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids], "id_type": [id_type]})
 
-    return map_batches(dealt, run, "part int, path string, n_docs long, n_ids long")
+    return map_batches(dealt, run, "part int, path string, n_docs long, n_ids long, id_type string")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -280,10 +291,10 @@ def read(manifest: DataFrame) -> DataFrame:
     The manifest is one small row per file; the driver adds up the ids of the files before each.
     """
     spark = manifest.sparkSession
-    files, start = [], 0
+    files, start, id_type = [], 0, "long"
     for row in sorted(manifest.collect(), key=lambda r: r["part"]):
         files.append((row["path"], start))
-        start += row["n_ids"]
+        start, id_type = start + row["n_ids"], row["id_type"]
     listed = spark.createDataFrame(files, "path string, start long").repartition(max(1, len(files)))
 
     def run(batches):
@@ -298,12 +309,13 @@ def read(manifest: DataFrame) -> DataFrame:
                             out[key].append(value)
                         start += len(ids)
                         if len(out["start"]) == 10_000:
-                            yield _rows(out)
+                            yield _rows(out, id_type)
                             out = {k: [] for k in out}
-                yield _rows(out)
+                yield _rows(out, id_type)
 
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def _rows(out: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+def _rows(out: dict[str, list], id_type: str) -> pa.RecordBatch:
+    kind = pa.string() if id_type == "string" else pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(v, kind if k == "doc_id" else pa.int64()) for k, v in out.items()], list(out))
