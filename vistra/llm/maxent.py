@@ -2,8 +2,9 @@
 
 The corpus's words are counted first, all of them.  The most frequent ones, the end of a text and a symbol for all others are what
 the model predicts: first the class of the next symbol, then the symbol in its class, each by a softmax over sums of weight rows.  The
-features are the bias, the word before, the word before that (a skip) and, for classes, both; every word, rare ones too, is a context of its own
-hash.  A feature's row of class weights is found by a hash of the feature, its row of member weights by one among the rows of the class.
+features of a class are the bias, the word before, and where both are of the model's words the word before that (a skip) and the two together;
+those of a member are the bias and the word before.  A rare word before is a context of its own hash, so a text's rare words say something too.
+A feature's row of class weights is found by a hash of the feature, its row of member weights by one among the rows of the class.
 
 The bias is the logarithms of the counted shares.  Then every training text is used in one round: the rounds' texts are dealt by a hash,
 Spark sums a round's gradient over them, and the driver makes a step.  The probability of the symbol for all others is spread
@@ -31,9 +32,11 @@ WIDTH = 64
 END, OTHER = 0, 1
 #: Bits of a context word's number, and of a symbol's.
 CONTEXT_BITS, SYMBOL_BITS = 20, 13
+#: The word before that, where it does not count.
+NONE = (1 << CONTEXT_BITS) - 1
 #: Rows of class weights and of member weights.
 CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 15
-ROUNDS, RATE, RIDGE = 5, 0.7, 5.0
+ROUNDS, RATE, RIDGE = 5, 1.0, 3.0
 #: Rows of a gradient that travel together, tokens whose gradient is computed together, and rows of weights that are looked up together.
 BLOCK, TOKENS, PART = 32, 400_000, 4_096
 #: Bytes of encoded text for each task of a round, so that gradients stay small beside what they are taken from.
@@ -146,7 +149,7 @@ class Reader:
 
     def _new(self, words: list[bytes]) -> None:
         m, first = self.model, self.model.width**2 + 1
-        room = (1 << CONTEXT_BITS) - first
+        room = NONE - first
         numbers = (s if (s := m.symbols.get(w)) is not None else first + xxhash.xxh32_intdigest(w) % room for w in words)
         self.number = np.concatenate([self.number, np.fromiter(numbers, np.int32, len(words))])
         self.count = np.concatenate([self.count, np.fromiter((m.frequent.get(w, -1) for w in words), np.int64, len(words))])
@@ -154,7 +157,10 @@ class Reader:
 
 
 def token_keys(numbers: np.ndarray, lengths: np.ndarray, symbols: int) -> np.ndarray:
-    """One number for each token, the end of each text included: the word before, the word before that, and the symbol that follows."""
+    """One number for each token, the end of each text included: the word before, the word before that, and the symbol that follows.
+
+    The word before that counts only where both are of the model's words or the start; it is NONE else.
+    """
     start, n = symbols, lengths + 1
     stops = np.cumsum(n)
     here = np.full(int(n.sum()), END, np.int64)
@@ -165,6 +171,7 @@ def token_keys(numbers: np.ndarray, lengths: np.ndarray, symbols: int) -> np.nda
     first = stops - n
     one[first] = two[first] = start
     two[first[n > 1] + 1] = start
+    two[(one > start) | (two > start)] = NONE
     return ((one << CONTEXT_BITS | two) << SYMBOL_BITS) | np.where(here < symbols, here, OTHER)
 
 
@@ -176,17 +183,18 @@ def _hashed(x: np.ndarray, rows) -> np.ndarray:
 
 
 def class_rows(context: np.ndarray) -> list[np.ndarray]:
-    """Rows of class weights of each context: the bias, the word before, the word before that, and both."""
+    """Rows of class weights of each context: the bias, the word before, the word before that, and both; row 1 is for none and stays 0."""
     one, two = context >> CONTEXT_BITS, context & ((1 << CONTEXT_BITS) - 1)
-    return [np.zeros(len(context), np.int64), *(1 + _hashed(f, CLASS_ROWS - 1) for f in (one << 2 | 1, two << 2 | 2, context << 2 | 3))]
+    there = two != NONE
+    found = (_hashed(one << 2 | 1, CLASS_ROWS - 2), _hashed(two << 2 | 2, CLASS_ROWS - 2), _hashed(context << 2 | 3, CLASS_ROWS - 2))
+    return [np.zeros(len(context), np.int64), 2 + found[0], *(np.where(there, 2 + f, 1) for f in found[1:])]
 
 
-def member_rows(context: np.ndarray, cls: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """Rows of member weights of each context in a class: the bias, the word before, and the word before that."""
-    one, two = context >> CONTEXT_BITS, context & ((1 << CONTEXT_BITS) - 1)
+def member_rows(one: np.ndarray, cls: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Rows of member weights in a class: the bias, and the word before."""
     first = places[cls]
     room = np.maximum(places[cls + 1] - first, 1)
-    return [cls, *(np.minimum(first + _hashed(f, room), MEMBER_ROWS - 1) for f in (one << 2 | 1, two << 2 | 2))]
+    return [cls, np.minimum(first + _hashed(one << 2 | 1, room), MEMBER_ROWS - 1)]
 
 
 def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -198,17 +206,20 @@ def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _parts(model: Model, key: np.ndarray):
-    """For both tables, in parts: the number of the table, the rows of each distinct context (or context and class), which of them each
-    key belongs to, its target, and the keys' slice.  Keys are sorted and distinct, so a context is looked up once for all its symbols."""
+    """For both tables, in parts: the number of the table, the rows of each distinct context (or word before and class), which of them each
+    key belongs to, its target, and the keys' places.  Keys are distinct, so what they share is looked up once for all of them."""
     w, places = model.width, model.places()
     context, symbol = key >> SYMBOL_BITS, key & ((1 << SYMBOL_BITS) - 1)
-    for level, unit, target in ((0, context, symbol // w), (1, key // w, symbol % w)):
+    for level, unit, target in ((0, context, symbol // w), (1, (context >> CONTEXT_BITS) * w + symbol // w, symbol % w)):
+        order = np.argsort(unit, kind="stable")
+        unit = unit[order]
         heads = np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
         for a in range(0, len(heads) - 1, PART):
             ends = heads[a : a + PART + 1]
-            at = ends[:-1]
-            rows = member_rows(context[at], symbol[at] // w, places) if level else class_rows(context[at])
-            yield level, rows, np.repeat(np.arange(len(at)), np.diff(ends)), target[ends[0] : ends[-1]], slice(ends[0], ends[-1])
+            mine = unit[ends[:-1]]
+            rows = member_rows(mine // w, mine % w, places) if level else class_rows(mine)
+            part = order[ends[0] : ends[-1]]
+            yield level, rows, np.repeat(np.arange(len(mine)), np.diff(ends)), target[part], part
 
 
 def token_logs(model: Model, key: np.ndarray) -> np.ndarray:
@@ -220,21 +231,12 @@ def token_logs(model: Model, key: np.ndarray) -> np.ndarray:
 
 
 def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """``table[rows] += values`` where rows may repeat: neighbours of the same row are added in pairs, round after round."""
+    """``table[rows] += values.T`` where rows may repeat: sums of equal rows are taken along the columns, which lie in one piece."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
-    while len(rows):
-        same = np.r_[False, rows[1:] == rows[:-1], False]
-        alone = ~(same[1:] | same[:-1])
-        table[rows[alone]] += values[order[alone]]
-        left = np.flatnonzero(~alone)
-        rows, same, order = rows[left], same[left], order[left]
-        heads = np.flatnonzero(~same)
-        odd = (np.arange(len(rows)) - np.repeat(heads, np.diff(np.r_[heads, len(rows)]))) % 2 == 1
-        sums = values[order[~odd]]
-        second = np.flatnonzero(odd)
-        sums[np.cumsum(~odd)[second - 1] - 1] += values[order[second]]
-        rows, values, order = rows[~odd], sums, np.arange(len(sums))
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else rows
+    if len(first):
+        table[rows[first]] += np.add.reduceat(values.take(order, axis=1), first, axis=1).T
 
 
 def add_gradient(sums, visits, model: Model, key: np.ndarray, n: np.ndarray) -> None:
@@ -245,24 +247,40 @@ def add_gradient(sums, visits, model: Model, key: np.ndarray, n: np.ndarray) ->
         tokens = np.bincount(group, n[part], units).astype(np.float32)
         more = np.bincount(group * w + target, n[part], units * w).astype(np.float32).reshape(-1, w)
         more -= np.exp(log_softmax(model.weights[level], rows)) * tokens[:, None]
+        columns = np.ascontiguousarray(more.T)
         for r in rows[1:]:
-            add_rows(sums[level], r, more)
-            visits[level] += np.bincount(r, tokens, len(visits[level])).astype(np.float32)
+            there = np.flatnonzero(r != 1) if level == 0 else slice(None)  # row 1 of the class weights is for features that are not there
+            add_rows(sums[level], r[there], columns[:, there])
+            visits[level] += np.bincount(r[there], tokens[there], len(visits[level])).astype(np.float32)
 
 
-def encoded(docs: DataFrame, model: Model) -> DataFrame:
-    """turn, ids (the numbers of its words) of every training text; a null text counts as empty, a null id as any other."""
+def read(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per text, null ones as empty: doc_id, held_out, turn, part and nr (which tell rows apart), ids (the numbers of its words), and what the
+    frequent words give: known, base, log_other; rare has the words that are to be joined."""
 
     def run(batches):
-        reader = Reader(model)
+        reader, number = Reader(model), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, lengths = reader.table.batch(text_bytes(part.column("text")).to_pylist())
+                n, count = lengths + 1, reader.count[flat]
+                logs = np.where(count >= 0, model.log_base(np.maximum(count, 0)), 0.0)
+                other = np.where(reader.number[flat] >= model.width**2, logs - model.rest_norm, 0.0)  # a rare word's own log is joined later
+                base = segment_sums(logs, lengths) + float(model.log_base(model.end)) - n * model.base_norm
+                known = segment_sums((count > 0).astype(np.int64), lengths) + (1 if model.end else 0)
+                rare = np.flatnonzero(count < 0)
+                per = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[rare], minlength=len(lengths))
+                words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array([reader.words[i] for i in flat[rare].tolist()], pa.binary()))
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(reader.number[flat], pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("turn"), ids], ["turn", "ids"])
+                nr = pa.array(np.arange(number, number + len(n)))
+                number += len(n)
+                cols = [*(part.column(c) for c in ("doc_id", "held_out", "turn", "part")), nr, ids, pa.array(known), pa.array(base), pa.array(segment_sums(other, lengths)), words]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "turn", "part", "nr", "ids", "known", "base", "log_other", "rare"])
 
     turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)).cast("int")
-    return map_batches(docs.where(is_training(F.col("doc_id"))).select("text", turn.alias("turn")), run, "turn int, ids array<int>")
+    rows = docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out"), turn.alias("turn"), F.spark_partition_id().alias("part"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return cut(map_batches(rows, run, f"doc_id {kind}, held_out boolean, turn int, part int, nr long, ids array<int>, known long, base double, log_other double, rare array<binary>"), "lm-texts")
 
 
 def train(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -329,10 +347,15 @@ def train(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, width: int = WIDTH) -> tuple[Model, DataFrame]:
     """The model, with ``width`` classes of as many members, and the table of all counted words."""
+    return _fitted(docs, width)[:2]
+
+
+def _fitted(docs: DataFrame, width: int) -> tuple[Model, DataFrame, DataFrame]:
     counts = cut(word_counts(docs), "lm-words")
     model = vocabulary(counts, width)
-    model.weights = train(cut(encoded(docs, model), "lm-texts"), model)
-    return model, counts
+    texts = read(docs, model)
+    model.weights = train(texts.where("not held_out").select("turn", "ids"), model)
+    return model, counts, texts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -342,42 +365,44 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     from as often as they stand; an empty table gives an empty one; other columns are left out.  Words of the frequent list are
     scored in the worker; the rest are joined with the counts of all words.
     """
+    return _scored(read(docs, model), model, counts)
+
+
+def fit_and_score(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``score`` of ``docs`` by a model of their own training rows; texts are read once for both."""
+    model, counts, texts = _fitted(docs, width)
+    return _scored(texts, model, counts)
+
+
+def _scored(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    small = replace(model, frequent={}, symbols={})
 
     def run(batches):
-        reader = Reader(model)
-        symbols = model.width**2
-        number = 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                flat, lengths = reader.table.batch(text_bytes(part.column("text")).to_pylist())
-                key, place = np.unique(token_keys(reader.number[flat], lengths, symbols), return_inverse=True)
-                logs_p = (token_logs(model, key) / math.log(10))[place]
-                n = lengths + 1
-                scores = segment_sums(logs_p, n)
-                count, other = reader.count[flat], reader.number[flat] >= symbols
-                logs = np.where(count >= 0, model.log_base(np.maximum(count, 0)), 0.0)
-                scores += segment_sums(np.where(other, logs - model.rest_norm, 0.0), lengths)  # a rare word's own log is joined below
-                base = segment_sums(logs, lengths) + float(model.log_base(model.end)) - n * model.base_norm
-                known = segment_sums((count > 0).astype(np.int64), lengths) + (1 if model.end else 0)
-                rare = np.flatnonzero(count < 0)
-                per = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[rare], minlength=len(lengths))
-                words = pa.array([reader.words[i] for i in flat[rare].tolist()], pa.binary())
-                offsets = pa.array(np.r_[0, np.cumsum(per)], pa.int32())
-                uid = np.arange(number, number + len(n))
-                number += len(n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), part.column("part"), pa.array(uid), pa.array(n), pa.array(known), pa.array(base), pa.array(scores), pa.ListArray.from_arrays(offsets, words)],
-                    ["doc_id", "held_out", "part", "nr", "n_tokens", "known", "base", "log_p", "rare"],
-                )
-
-    rows = docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out"), F.spark_partition_id().alias("part"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = cut(map_batches(rows, run, f"doc_id {kind}, held_out boolean, part int, nr long, n_tokens long, known long, base double, log_p double, rare array<binary>"), "lm-scored")
-    rare = scored.select("part", "nr", F.explode("rare").alias("word"))
+            ids = batch.column("ids")
+            lengths, flat, at = np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy(), 0
+            for a, b in _runs(lengths):
+                part, n = batch.slice(a, b - a), lengths[a:b] + 1
+                total = int(lengths[a:b].sum())
+                key, place = np.unique(token_keys(flat[at : at + total], lengths[a:b], small.width**2), return_inverse=True)
+                at += total
+                scores = segment_sums((token_logs(small, key) / math.log(10))[place], n) + part.column("log_other").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "part", "nr")), pa.array(n), part.column("known"), part.column("base"), pa.array(scores)], ["doc_id", "held_out", "part", "nr", "n_tokens", "known", "base", "log_p"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = map_batches(texts.drop("turn", "rare"), run, f"doc_id {kind}, held_out boolean, part int, nr long, n_tokens long, known long, base double, log_p double")
+    rare = texts.select("part", "nr", F.explode("rare").alias("word"))
     found = counts.where((F.col("c") < model.floor) | (F.length("word") > FREQUENT_BYTES)).where(F.col("word").isNotNull())
     hits = rare.join(found, "word").groupBy("part", "nr").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(hits, ["part", "nr"], "left").select(
+    return rows.join(hits, ["part", "nr"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("log_p") + logs).alias("score"),
     )
+
+
+def _runs(lengths: np.ndarray):
+    """First and last row of runs with about TOKENS tokens each."""
+    part = (np.cumsum(lengths + 1) - lengths - 1) // TOKENS
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(lengths)], strict=True) if len(part) else ()
