@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a reply may ask for.
+#: The codes of reject_reason below are fixed values too.
 ACTION_TYPES = ("accept_relation", "reject_relation", "change_predicate", "refine_interval", "request_more_frames", "request_candidate_expansion", "defer_for_review")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vistra.operators.evidence import PACKET
 
 
+# The floors, factors and weights of the scores below.
+
+
 def _in01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 

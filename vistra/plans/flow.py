@@ -14,6 +14,7 @@ from vistra.operators import routing
 from vistra.operators import tracking as K
 from vistra.operators import tracks as T
 from vistra.plans.config import Config
+from vistra.sources.scratch import kept
 
 
 def track(detections: DataFrame, config: Config) -> DataFrame:
@@ -47,7 +48,7 @@ def merge(sources: list[DataFrame]) -> DataFrame:
     rows = None
     for n, df in enumerate(sources):
         df = df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
-        df = df.select(*columns, (F.lit(n) * 1_000_000 + F.col("segment_id")).alias("ord"))
+        df = df.select(*columns, F.struct(F.lit(n).alias("source_order"), F.col("segment_id").alias("segment")).alias("ord"))
         rows = df if rows is None else rows.unionByName(df)
     rows = rows.withColumns({"confidence": F.lit(None).cast("double"), "source": F.coalesce("source", F.lit("unknown"))})
     return R.merge(rows).withColumns({"confidence": F.lit(None).cast("double"), "ord": F.col("segment_id")})
@@ -68,7 +69,7 @@ def verify(relations: DataFrame, reviews: DataFrame | None, classes: DataFrame,
 def run(detections: DataFrame, videos: DataFrame | int, config: Config, *, semantic: DataFrame | None = None, reviews: DataFrame | None = None, constraints: DataFrame | None = None) -> DataFrame:
     """Detections to relations.  ``videos``: video_id, total_frames, or one length of all; ``semantic``: relations that a model proposed; ``reviews``: its review actions."""
     spark = detections.sparkSession
-    tracks = track(detections, config).cache()
+    tracks = kept(track(detections, config), "tracks")
     sources = [rules(tracks, videos, config).withColumns({"score_kind": F.lit("rule_support"), "source": F.lit("window_geometry")})]
     sources += [semantic] if semantic is not None else []
     c = config.clustering
