@@ -360,3 +360,16 @@ def test_pipeline_equals_its_parts_done_plainly(spark, tmp_path):
     assert all(r.ids == encoder.encode([texts[r.doc_id].encode()])[0].tolist() for r in got)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, str(tmp_path)).columns == frame.columns, name
+
+
+def test_pipeline_on_odd_tables(spark, no_docs, tmp_path):
+    """An empty table gives an empty one; null ids, null texts, repeated rows and columns of the operators' own names do no harm."""
+    import corpus_pipeline
+
+    no_docs.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    odd = spark.createDataFrame(rows_of(), SCHEMA).withColumnsRenamed({"held_out": "mix", "part": "fp", "size": "tie"})
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in out}
+    assert all(r.round_trip for r in out) and ids <= {r[0] for r in rows_of()} and not ids & {3, 4, 5, 8, 10, 13}

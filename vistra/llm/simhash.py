@@ -165,7 +165,8 @@ def keep_one(docs: DataFrame, near: float | None = None) -> DataFrame:
     """The rows of ``docs`` (all columns) less those of a component that has a smaller doc_id.
 
     With ``near``, texts whose sets of five-word shingles have at least that Jaccard similarity are linked too.
-    Of equal ids in a component one row stays, the first by its text; rows with a null id stay only where their component has no other.
+    Of equal ids in a component one row stays, the first by a hash of its text, any one of those that differ in other columns only; rows with a null id
+    stay only where their component has no other.  An empty table gives an empty one.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     rows = cut(fingerprints(rows, "tie"), "simhash")
