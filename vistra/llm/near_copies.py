@@ -20,7 +20,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, BAND = 24, 5
 SEED = 42
 #: Turns end when so many pairs a row of the keys are left, or more than this part of those before the turn.
-ENOUGH, STALLED = 2, 0.9
+ENOUGH, STALLED = 2, 0.5
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """a, b: links between distinct texts (xxhash64 of each) that make the same components as all verified candidate pairs.
 
-    The texts of a key are first verified against its smallest one, then, while many pairs of a key are in different components
+    Each text is first verified against the smallest one that it shares any key with, so a group of copies costs one pair a text whatever its size; then, while many pairs of a key are in different components
     and links still join them, against one other text of the key at a time.  At the end the texts of
     keys that are still in different components are ordered by their rarest shingles first: two sets of similarity s share one among
     the first n - ceil(s n) + 1 of each, with enough left after it in both, so only pairs that do are verified, and nothing is lost.
@@ -116,17 +116,22 @@ def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Data
     once = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut(_sets(once, shingle), "copies-sets")
 
+    shared = cut(shared.join(sets.select("node", "n"), "node").join(sets.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head"), "copies-sized")
+
     def verified(candidates: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        few = candidates.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b")
+        """Of ``candidates`` (a, na, b, nb: nodes and the sizes of their sets) those whose sets are similar enough; sizes rule out many before sets are fetched."""
+        left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        few = candidates.where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
         both = few.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= least).select("a", "b")
 
-    linked = cut(verified(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "copies-linked")
+    first = shared.where("node <> head").groupBy("node", "n").agg(F.min(F.struct("head", "head_n")).alias("h"))
+    first = first.select(F.col("h.head").alias("a"), F.col("h.head_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    linked = cut(verified(first), "copies-linked")
     before, turn = None, 0
     while True:
         member = cut(components(linked), "copies-members")
-        placed = shared.join(member, "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("component"))
+        placed = shared.join(member, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         mixed = cut(mixed, "copies-parts")
@@ -136,8 +141,10 @@ def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Data
             break
         before, turn = open_pairs, turn + 1
         order = F.xxhash64("node", "key", F.lit(turn))
-        leads = placed.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("lead"))
-        more = placed.join(leads, "key").where("component <> lead.component").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        leads = placed.groupBy("key").agg(F.min_by(F.struct("node", "component", "n"), order).alias("lead"))
+        ends = F.array_sort(F.array(F.struct("node", "n"), F.struct("lead.node", "lead.n")))
+        more = placed.join(leads, "key").where("component <> lead.component").select(ends.alias("e")).distinct()
+        more = more.select(F.col("e")[0]["node"].alias("a"), F.col("e")[0]["n"].alias("na"), F.col("e")[1]["node"].alias("b"), F.col("e")[1]["n"].alias("nb"))
         linked = cut(linked.unionByName(verified(more)), "copies-linked")
     mine = placed.select("node", "component").distinct()
     words = sets.join(mine, "node").select("node", "component", "n", F.explode("shingles").alias("shingle"))
@@ -148,5 +155,5 @@ def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Data
     first = first.join(meet, "shingle", "left_semi")
     side = lambda x: first.select("shingle", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("left").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
     enough = F.least("la", "lb") * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9  # holds at the first shingle that the two share
-    rest = side("a").join(side("b"), "shingle").where("a < b and ca <> cb").where(enough).select("a", "b").distinct()
+    rest = side("a").join(side("b"), "shingle").where("a < b and ca <> cb").where(enough).select("a", "na", "b", "nb").distinct()
     return linked.unionByName(verified(rest)).distinct()
