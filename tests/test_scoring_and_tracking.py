@@ -1,5 +1,6 @@
 """Scoring without a global order, stitching, the appearance tracker, stages over videos, reports."""
 
+import datetime
 import itertools
 import json
 import random
@@ -146,3 +147,33 @@ def test_second_round_packets(spark):
     assert out[0].directions[0].candidates == ["touch"]
     everything = ontology.candidates_for(spark.range(1)).first().candidates
     assert len(everything) == 132 and np.unique(everything).size == 132
+
+
+def test_stitch_edges_equal_their_sql_without_weight_and_at_ties(spark, tmp_path):
+    """Pieces whose scores are all zero, alone and beside others of their class; costs that lie between two sixth places."""
+    import duckdb
+
+    from vistra.plans import catalog
+    from vistra.plans.registry import r6
+
+    rng = random.Random(4)
+    rows, start = [], datetime.datetime(2024, 1, 1)
+    for user in range(20):
+        for frame in range(0, 60, 6):  # pieces of one detection, some of the two beside it
+            for f in (frame, frame + 1) if rng.random() < 0.3 else (frame,):
+                rows.append((len(rows), start + datetime.timedelta(hours=6 * f + 1), user, 0.0 if rng.random() < 0.4 else 50.0))
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, value double)")
+    con.executemany("insert into events values (?, ?, ?, ?)", rows)
+    con.execute("create table embeddings as select i as vec_id, [1.0::float, (i % 7)::float] as embedding from range(500) t(i)")
+    for name in ("events", "embeddings"):
+        con.execute(f"copy {name} to '{tmp_path}/{name}.parquet' (format parquet)")
+    want = con.execute(catalog.ORACLES["stitch_edges"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["stitch_edges"](spark, str(tmp_path)).collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+    ties = [((rng.randrange(600_000) + 0.5) / 1e6,) for _ in range(500)] + [(0.5195015,), (-0.5195015,), (None,)]
+    con.execute("create table ties (x double)")
+    con.executemany("insert into ties values (?)", ties)
+    want = dict(con.execute("select x, round(x, 6) + 0.0 from ties").fetchall())
+    assert {r.x: r.y for r in spark.createDataFrame(ties, "x double").select("x", r6(F.col("x")).alias("y")).collect()} == want

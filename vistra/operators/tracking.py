@@ -210,8 +210,8 @@ def clock(frames: DataFrame, dense: bool = False) -> DataFrame:
 def tracklets(rows: DataFrame, max_gap: int = 15) -> DataFrame:
     """Tracks cut where more than ``max_gap`` frames are missing or the scene changes.
 
-    Each has its span, first and last box, last velocity, ``shares`` (class -> part of the weights), class_name (the heaviest class, the first by name
-    of equal ones) and mean_confidence (null without any score).
+    Each has its span, first and last box, last velocity, ``votes`` (class -> weight), ``shares`` (class -> part of the weights, all of them to "unknown"
+    where they sum to nothing), class_name (the heaviest class, the first by name of equal ones) and mean_confidence (null without any score).
     """
     runs = T.frame_runs(rows, ("video_id", "scene_id", "track_id"), max_gap)
     key = ("video_id", "scene_id", "track_id", "run_id")
@@ -221,7 +221,7 @@ def tracklets(rows: DataFrame, max_gap: int = 15) -> DataFrame:
     weighed = weighed.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "w")))).alias("votes"), F.sum("w").alias("total"))
     best = F.element_at(F.array_sort(F.transform(F.map_entries("votes"), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("name")))), 1)["name"]
     shares = F.when(F.col("total") > 0, F.transform_values("votes", lambda k, v: v / F.col("total"))).otherwise(F.create_map(F.lit("unknown"), F.lit(1.0)))
-    weighed = weighed.select(*key, shares.alias("shares"), best.alias("class_name"))
+    weighed = weighed.select(*key, "votes", shares.alias("shares"), best.alias("class_name"))
     runs = runs.withColumns({f"v_{s}": F.coalesce((F.col(s) - F.lag(s).over(order)) / dt, F.lit(0.0)) for s in g.SIDES})
     ends = [F.min_by(s, "frame").alias(f"first_{s}") for s in g.SIDES] + [F.max_by(s, "frame").alias(f"last_{s}") for s in g.SIDES] + [F.max_by(f"v_{s}", "frame").alias(f"v_{s}") for s in g.SIDES]
     score = F.avg("score") if "score" in rows.columns else F.lit(None).cast("double")
@@ -237,9 +237,11 @@ def share_overlap(a: str, b: str) -> Column:
 def stitch_edges(pieces: DataFrame, *, max_gap=90, min_similarity=0.6, max_center=4.0, weights=(0.55, 0.25, 0.15, 0.05), max_cost=0.58) -> DataFrame:
     """left_id, right_id, gap, cost: pairs of ``pieces`` (with piece_id and a unit ``embedding``) of a video and scene that one object may explain.
 
-    A piece without an embedding is like no other (similarity 0).  Pairs meet by blocks of ``max_gap`` frames: a piece can only follow one that
+    A piece without an embedding is like no other (similarity 0); without ``shares`` all of a piece is of its class_name.  Pairs meet by blocks of ``max_gap`` frames: a piece can only follow one that
     ended in its own block or the one before, so long scenes are not squared.
     """
+    if "shares" not in pieces.columns:
+        pieces = pieces.withColumn("shares", F.create_map(F.coalesce("class_name", F.lit("unknown")), F.lit(1.0)))
     kept = ["piece_id", "start_frame", "end_frame", "shares", "embedding"]
     block = lambda c: F.floor(F.col(c) / max_gap)
     left = pieces.select("video_id", "scene_id", F.explode(F.array(block("end_frame"), block("end_frame") + 1)).alias("block"), *[F.col(c).alias(f"l_{c}") for c in kept], *[F.col(f"last_{s}").alias(f"b_{s}") for s in g.SIDES], *[F.col(f"v_{s}").alias(f"v_{s}") for s in g.SIDES])
