@@ -224,6 +224,28 @@ def test_embedding_recall_at_the_threshold():
     assert needed >= 2 and (counts >= needed).mean() > 0.99
 
 
+def test_the_count_is_calibrated_on_all_vectors(spark, monkeypatch):
+    """5,000 distinct vectors, more than any sample held before: each is measured with its own partner, however the rows are dealt."""
+    x = np.random.default_rng(6).standard_normal((5_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen, calibrated = [], vector_dedup.calibrated
+
+    def watched(n, measure):
+        return calibrated(n, lambda tau, m: seen.append((tau, m, measure(tau, m))) or seen[-1][2])
+
+    monkeypatch.setattr(vector_dedup, "calibrated", watched)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "head long, unit array<double>")
+    for parts in (2, 5):
+        vector_dedup.near_pairs(frame.repartition(parts), len(x))
+    assert [sum(found.values()) for _, _, found in seen] == [5_000, 5_000]
+    tau, m, _ = seen[0]
+    mates = vector_dedup.own_partners(x)
+    assert np.allclose((x * mates).sum(1), vector_dedup.LEAST_COSINE)
+    counts = vector_dedup.collisions_of(x, mates, tau, m)
+    needed = max(1, int(np.sort(counts)[int((1 - vector_dedup.RECALL) * len(counts))]))
+    assert [calibrated(len(x), lambda *_, found=found: found)[2] for _, _, found in seen] == [needed, needed]
+
+
 def test_collisions_are_those_of_query_windows():
     rng = np.random.default_rng(0)
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((30, 8)), rng.standard_normal((30, 8))))

@@ -2,7 +2,7 @@
 
 Every vector is projected on many directions, and each direction's projections are sorted.  A vector asks with a window of WINDOW to
 both sides around its own projection, and collides once with every vector in it, for each direction and asking side.
-Pairs whose collisions reach a count are verified by their cosine.  The count is calibrated: a bounded sample of the vectors gets partners
+Pairs whose collisions reach a count are verified by their cosine.  The count is calibrated on the whole table: every distinct vector gets a partner
 whose cosine is just the least one, and the count is the largest that the wanted part of these pairs reaches.
 
 In the middle of a direction a window would hold a good part of all vectors, so that collisions grew with the square of the table.  A vector
@@ -18,10 +18,13 @@ far out in few directions of one pair.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ LEAST_COSINE = 0.9
 LIST_SIZE = 12
 #: Expected collisions of a pair whose cosine is just LEAST_COSINE, before the calibration.
 COLLISIONS = 24.0
-#: Part of the pairs at LEAST_COSINE that must reach the count, and the number of sample vectors that it is measured on.
-RECALL, SAMPLE = 0.998, 4_000
+#: Part of the pairs at LEAST_COSINE, one for each distinct vector, that must reach the count.
+RECALL = 0.998
 #: Half the width of a query's window, in standard deviations of a projection.
 WINDOW = 0.45
 SETS = 16
@@ -124,7 +127,16 @@ def pair_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def partners(unit: np.ndarray, seed: int = SEED) -> np.ndarray:
     """For each row a unit vector whose cosine with it is LEAST_COSINE, in a random direction."""
-    z = np.random.default_rng(seed).standard_normal(unit.shape)
+    return _partners(unit, np.random.default_rng(seed).standard_normal(unit.shape))
+
+
+def own_partners(unit: np.ndarray) -> np.ndarray:
+    """Like ``partners``, in a direction that depends on nothing but the row, so that no dealing of the rows changes it."""
+    z = [np.random.default_rng([SEED, xxhash.xxh64_intdigest(v.tobytes())]).standard_normal(len(v)) for v in np.ascontiguousarray(unit)]
+    return _partners(unit, np.array(z).reshape(unit.shape))
+
+
+def _partners(unit: np.ndarray, z: np.ndarray) -> np.ndarray:
     z -= (z * unit).sum(1, keepdims=True) * unit
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-30)
     return LEAST_COSINE * unit + math.sqrt(1 - LEAST_COSINE**2) * z
@@ -144,44 +156,62 @@ def collisions_of(x: np.ndarray, y: np.ndarray, tau: float, m: int) -> np.ndarra
     return out
 
 
-def calibrate(sample: list[np.ndarray], n: int) -> tuple[float, int, int]:
-    """tau, m and the count that a pair needs among ``n`` vectors like those of ``sample`` (an array for each length of vectors).
+def calibrate(vectors: list[np.ndarray], n: int) -> tuple[float, int, int]:
+    """``calibrated`` on all of ``vectors`` (an array for each length of vectors), in memory."""
+    return calibrated(n, lambda tau, m: Counter(c for x in vectors if x.shape[1] > 1 for c in collisions_of(x, partners(x), tau, m).tolist()))
+
+
+def calibrated(n: int, measure: Callable[[float, int], dict[int, int]]) -> tuple[float, int, int]:
+    """tau, m and the count that a pair needs among ``n`` vectors; ``measure(tau, m)`` tells how many vectors have how many collisions with their partners.
 
-    The count is the largest that RECALL of the pairs of a sample vector and its partner reach; where not even one
-    collision does, there are more directions.
+    The count is the largest that RECALL of these pairs reach; where not even one collision does, there are more directions.
     """
     collisions = COLLISIONS
     while True:
         tau, m = plan(n, collisions)
-        counts = np.concatenate([collisions_of(x, partners(x), tau, m) for x in sample if x.shape[1] > 1] or [np.full(1, 2)])
-        needed = int(np.sort(counts)[int((1 - RECALL) * len(counts))])
+        found = sorted((measure(tau, m) or {2: 1}).items())
+        fewer = np.cumsum([c for _, c in found])
+        needed = found[int(np.searchsorted(fewer, int((1 - RECALL) * fewer[-1]), "right"))][0]
         if needed >= 1 or collisions > 8 * COLLISIONS:
             return tau, m, max(needed, 1)
         collisions *= 2
 
 
+def blocks(units: pa.ListArray):
+    """(rows, their vectors) of up to 512 rows whose vectors have the same length."""
+    widths = np.diff(units.offsets.to_numpy())
+    flat, ends = units.flatten().to_numpy(), np.cumsum(widths)
+    for dim in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == dim)
+        for at in range(0, len(rows), 512):
+            part = rows[at : at + 512]
+            yield part, flat[(ends[part] - dim)[:, None] + np.arange(dim)]
+
+
 def near_pairs(heads: DataFrame, n: int) -> DataFrame:
     """a, b (a < b): pairs of the ``n`` rows of ``heads(head, unit)`` with cosine LEAST_COSINE or more that their collisions find."""
-    some = heads.where(F.pmod(F.xxhash64("head"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, SAMPLE / max(n, 1))))).select("unit").toArrow()
-    by_length: dict[int, list] = {}
-    for unit in some.column("unit").to_pylist():
-        by_length.setdefault(len(unit), []).append(unit)
-    tau, m, needed = calibrate([np.array(by_length[k]) for k in sorted(by_length)], n)
+
+    def measure(tau, m):
+        def run(batches):
+            found: Counter = Counter()
+            for batch in batches:
+                for _, unit in blocks(batch.column("unit")):
+                    if unit.shape[1] > 1:
+                        found.update(collisions_of(unit, own_partners(unit), tau, m).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["collisions", "vectors"])
+
+        rows = map_batches(heads.select("unit"), run, "collisions long, vectors long").groupBy("collisions").agg(F.sum("vectors").alias("vectors"))
+        return {r["collisions"]: r["vectors"] for r in rows.collect()}
+
+    tau, m, needed = calibrated(n, measure)
 
     def project(batches):
         for batch in batches:
-            ids, units = batch.column("head").to_numpy(), batch.column("unit")
-            widths = np.diff(units.offsets.to_numpy())
-            flat = units.flatten().to_numpy().astype(np.float32)
-            ends = np.cumsum(widths)
-            for dim in np.unique(widths).tolist():
-                rows = np.flatnonzero(widths == dim)
-                for at in range(0, len(rows), 512):
-                    part = rows[at : at + 512]
-                    unit = flat[(ends[part] - dim)[:, None] + np.arange(dim)]
-                    row, lists, p = far_out(unit, tau - WINDOW, m)
-                    dims = np.full(len(row), dim, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(lists), pa.array(p.astype(np.float32)), pa.array(ids[part][row])], ["dim", "list", "p", "id"])
+            ids = batch.column("head").to_numpy()
+            for part, unit in blocks(batch.column("unit")):
+                row, lists, p = far_out(unit.astype(np.float32), tau - WINDOW, m)
+                dims = np.full(len(row), unit.shape[1], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(lists), pa.array(p.astype(np.float32)), pa.array(ids[part][row])], ["dim", "list", "p", "id"])
 
     def count(batches):
         """Collisions in sorted lists; a list may go on in the next batch."""
