@@ -235,6 +235,40 @@ def test_lm_rows_that_repeat_are_added():
         assert np.allclose(got, want, atol=1e-3)
 
 
+def test_rows_that_repeat_are_added_in_pairs():
+    rng = np.random.default_rng(2)
+    for most in (1, 3, 40, 1000):
+        for n in (0, 1, 700):
+            rows, values = rng.integers(0, most, n), rng.standard_normal((n, 6)).astype(np.float32)
+            got, want = np.ones((1000, 6), np.float32), np.ones((1000, 6))
+            np.add.at(want, rows, values)
+            maxent.add_pairwise(got, rows, values)
+            assert np.allclose(got, want, atol=1e-3)
+
+
+def test_lm_gradient_of_many_contexts():
+    """Sums of repeated rows and visits, each key by itself, with features of every kind and rows of weights that are not 0."""
+    w, rng = 8, np.random.default_rng(7)
+    one, two = rng.integers(0, 90, 3_000), rng.integers(0, 20, 3_000)
+    two = np.where(rng.random(3_000) < 0.3, maxent.NONE, two)
+    key, n = np.unique((one << maxent.CONTEXT_BITS | two) << maxent.SYMBOL_BITS | rng.integers(0, w * w, 3_000), return_counts=True)
+    model = maxent.Model(4, 4, 0, 1, {}, {}, 0, 0, w, np.full((w, w), 1 / 64))
+    model.weights = tuple(rng.standard_normal(x.shape).astype(np.float32) for x in model.start())
+    sums, visits = [np.zeros((len(x), w), np.float32) for x in model.weights], [np.zeros(len(x), np.float32) for x in model.weights]
+    maxent.add_gradient(sums, visits, model, key, n)
+    want, seen = [np.zeros(x.shape) for x in sums], [np.zeros(x.shape) for x in visits]
+    context, symbol = key >> maxent.SYMBOL_BITS, key & ((1 << maxent.SYMBOL_BITS) - 1)
+    cls, member = symbol // w, symbol % w
+    for level, rows, target in ((0, maxent.class_rows(context), cls), (1, maxent.member_rows(context >> maxent.CONTEXT_BITS, cls, model.places()), member)):
+        more = (np.eye(w)[target] - np.exp(maxent.log_softmax(model.weights[level], rows))) * n[:, None]
+        for r in rows[1:]:
+            there = (r != 1) | (level == 1)
+            np.add.at(want[level], r[there], more[there])
+            np.add.at(seen[level], r[there], n[there])
+    for a, b in zip([*sums, *visits], [*want, *seen], strict=True):
+        assert np.allclose(a, b, atol=2e-3) and np.abs(b).max() > 5
+
+
 def test_lm_gradient_is_counts_less_expectations():
     w = 8
     key, n = np.unique(np.array([5, 5, 9, 60]) | (3 << maxent.CONTEXT_BITS | 7) << maxent.SYMBOL_BITS, return_counts=True)

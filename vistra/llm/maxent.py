@@ -197,11 +197,17 @@ def member_rows(one: np.ndarray, cls: np.ndarray, places: np.ndarray) -> list[np
     return [cls, np.minimum(first + _hashed(one << 2 | 1, room), MEMBER_ROWS - 1)]
 
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    total = weights[rows[0]]
+def activations(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Sums of rows of weights, less the greatest of each sum."""
+    total = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        total += weights[r]
+        total += weights.take(r, axis=0)
     total -= total.max(1, keepdims=True)
+    return total
+
+
+def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    total = activations(weights, rows)
     return total - np.log(np.exp(total).sum(1, keepdims=True))
 
 
@@ -226,7 +232,9 @@ def token_logs(model: Model, key: np.ndarray) -> np.ndarray:
     """Natural log probability of each of the sorted, distinct keys."""
     out = np.zeros(len(key))
     for level, rows, group, target, part in _parts(model, key):
-        out[part] += log_softmax(model.weights[level], rows)[group, target]
+        total = activations(model.weights[level], rows)
+        asked = total[group, target]
+        out[part] += asked - np.log(np.exp(total, out=total).sum(1))[group]
     return out
 
 
@@ -239,19 +247,34 @@ def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         table[rows[first]] += np.add.reduceat(values.take(order, axis=1), first, axis=1).T
 
 
+def add_pairwise(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] += values`` where rows may repeat, best where few do; ``values`` is used up: those of equal rows are added up in pairs, then pairs of pairs."""
+    at = np.argsort(rows, kind="stable")
+    rows = rows[at]
+    place = np.arange(len(rows))
+    place -= np.maximum.accumulate(np.where(np.r_[True, rows[1:] != rows[:-1]], place, 0)) if len(rows) else 0
+    while len(second := np.flatnonzero(place & 1)):
+        values[at[second - 1]] += values.take(at[second], axis=0)
+        first = np.flatnonzero(place & 1 == 0)
+        at, rows, place = at[first], rows[first], place[first] >> 1
+    table[rows] += values.take(at, axis=0)
+
+
 def add_gradient(sums, visits, model: Model, key: np.ndarray, n: np.ndarray) -> None:
     """Adds what the sorted, distinct keys, each found ``n`` times, give to the hashed rows of both tables: counts less the model's expectation, and tokens."""
     w = model.width
     for level, rows, group, target, part in _parts(model, key):
         units = len(rows[0])
         tokens = np.bincount(group, n[part], units).astype(np.float32)
-        more = np.bincount(group * w + target, n[part], units * w).astype(np.float32).reshape(-1, w)
-        more -= np.exp(log_softmax(model.weights[level], rows)) * tokens[:, None]
-        columns = np.ascontiguousarray(more.T)
-        for r in rows[1:]:
+        more = activations(model.weights[level], rows)
+        np.exp(more, out=more)
+        more *= (-tokens / more.sum(1))[:, None]
+        np.add.at(more.reshape(-1), group * w + target, n[part].astype(np.float32))
+        for i, r in enumerate(rows[1:], 2):
             there = np.flatnonzero(r != 1) if level == 0 else slice(None)  # row 1 of the class weights is for features that are not there
-            add_rows(sums[level], r[there], columns[:, there])
             visits[level] += np.bincount(r[there], tokens[there], len(visits[level])).astype(np.float32)
+            if len(r := r[there]):
+                add_pairwise(sums[level], r, more if i == len(rows) and level else more[there])
 
 
 def read(docs: DataFrame, model: Model) -> DataFrame:
