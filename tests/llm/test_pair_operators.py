@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vistra.llm import media_chunks, simhash, url_filters, vector_dedup
+from vistra.llm import media_chunks, near_copies, simhash, url_filters, vector_dedup
 from vistra.llm.components import components
 
 from .conftest import SCHEMA, rows_of
@@ -146,6 +146,22 @@ def test_one_document_of_a_group_stays(spark, docs):
     assert sorted(str(r.doc_id) for r in out.collect()) == want
 
 
+def test_near_copies_meet_only_where_they_may_be_similar(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400)  # texts with a common passage: every pair shares the shingle 7 and about half of its others
+    sets = [np.unique(np.r_[7, rng.choice(base, 140, replace=False), rng.integers(0, 1 << 63, 60)]) for _ in range(60)]
+    sets += [np.r_[s[:-i], rng.integers(0, 1 << 63, i)] for i in range(1, 46, 3) for s in sets[:2]]  # from nearly equal to not similar enough
+    sizes = np.array([len(s) for s in sets])
+    marks = near_copies.marks(np.concatenate(sets).astype(np.uint64), sizes)
+    rows = [(7, i, i, n, n, m) for i, (n, m) in enumerate(zip(sizes.tolist(), marks.tolist(), strict=True))]
+    first = spark.createDataFrame(rows, "shingle long, node long, component long, left long, n long, marks array<long>")
+    met = {(r["a"], r["b"]) for r in near_copies.meetings(first, 0.8).collect()}
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+    similar = {(i, j) for (i, j), c in common.items() if c / (sizes[i] + sizes[j] - c) >= 0.8}
+    assert similar and similar <= met
+    assert len(met) < len(common) / 4  # all pairs met before, which is the square of the group
+
+
 def test_dedup_stage_removes_near_copies(spark):
     import corpus_pipeline
 

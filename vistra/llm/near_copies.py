@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, cut, map_batches, slices, text_bytes
@@ -19,6 +19,8 @@ from .components import components
 SHINGLE, LEAST = 5, 0.8
 BANDS, BAND = 24, 5
 SEED = 42
+#: Longs of marks for each set: every shingle sets one of their bits, by its hash.
+MARKS = 16
 #: Turns end when so many pairs a row of the keys are left, or more than this part of those before the turn.
 ENOUGH, STALLED = 2, 0.5
 
@@ -85,7 +87,7 @@ def _keyed(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, n, shingles: the distinct shingles of every text."""
+    """node, n, shingles, marks: the distinct shingles of every text, and the bits that they set."""
 
     def run(batches):
         reader = Shingles(shingle)
@@ -95,9 +97,26 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
                 sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sizes), lists], ["node", "n", "shingles"])
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(marks(np.concatenate(sets).view(np.uint64), sizes).ravel()), MARKS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sizes), lists, bits], ["node", "n", "shingles", "marks"])
 
-    return map_batches(texts, run, "node long, n long, shingles array<long>")
+    return map_batches(texts, run, "node long, n long, shingles array<long>, marks array<long>")
+
+
+def marks(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of MARKS longs for each set: the bits that its shingles set."""
+    bits = np.zeros((len(counts), MARKS * 64), bool)
+    bits[np.repeat(np.arange(len(counts)), counts), (shingles % np.uint64(MARKS * 64)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
+def most_common(a: str, na: str, b: str, nb: str) -> Column:
+    """At least as many as the shingles that two sets share, from their marks ``a`` and ``b`` (columns a0, a1, ..) and sizes.
+
+    A bit that only one set has stands for a shingle, at least one, that the other does not have.
+    """
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(MARKS)), F.lit(0))
+    return F.least(F.col(na) - only(a, b), F.col(nb) - only(b, a))
 
 
 def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -106,7 +125,8 @@ def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Data
     Each text is first verified against the smallest one that it shares any key with, so a group of copies costs one pair a text whatever its size; then, while many pairs of a key are in different components
     and links still join them, against one other text of the key at a time.  At the end the texts of
     keys that are still in different components are ordered by their rarest shingles first: two sets of similarity s share one among
-    the first n - ceil(s n) + 1 of each, with enough left after it in both, so only pairs that do are verified, and nothing is lost.
+    the first n - ceil(s n) + 1 of each, with enough left after it in both, and marks that leave room for as many common shingles as that
+    similarity needs, so only pairs that do are verified, and nothing is lost.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null")
     keys = cut(_keyed(texts, shingle).distinct(), "copies-keys")
@@ -152,8 +172,15 @@ def pairs(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Data
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("among", "shingle")))
     first = cut(ranked.where(F.col("among") > 1).where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("shingle", "node", "component", (F.col("n") - F.col("at") + 1).alias("left"), "n"), "copies-prefixes")
     meet = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    first = first.join(meet, "shingle", "left_semi")
-    side = lambda x: first.select("shingle", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("left").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
-    enough = F.least("la", "lb") * (1 + least) >= least * (F.col("na") + F.col("nb")) - 1e-9  # holds at the first shingle that the two share
-    rest = side("a").join(side("b"), "shingle").where("a < b and ca <> cb").where(enough).select("a", "na", "b", "nb").distinct()
+    first = first.join(meet, "shingle", "left_semi").join(sets.select("node", "marks"), "node")
+    rest = meetings(first, least).distinct()
     return linked.unionByName(verified(rest)).distinct()
+
+
+def meetings(first: DataFrame, least: float) -> DataFrame:
+    """a, na, b, nb for pairs of ``first`` (shingle, node, component, left, n, marks) in different components, once for each shingle at which they meet and may still be similar enough."""
+    side = lambda x: first.select("shingle", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("left").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *(F.col("marks")[i].alias(f"m{x}{i}") for i in range(MARKS)))
+    needed = least * (F.col("na") + F.col("nb")) - 1e-9  # of the shared shingles, times 1 + least
+    enough = F.least("la", "lb") * (1 + least) >= needed  # holds at the first shingle that the two share
+    like = most_common("ma", "na", "mb", "nb") * (1 + least) >= needed
+    return side("a").join(side("b"), "shingle").where("a < b and ca <> cb").where(enough).where(like).select("a", "na", "b", "nb")
