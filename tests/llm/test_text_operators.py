@@ -1,13 +1,16 @@
 import math
+import os
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vistra.llm import language_id, maxent, mixing, pieces, secrets, sentencepieces, token_records
-from vistra.llm.common import count_floor
+from vistra.llm.common import count_floor, new_path
 from vistra.llm.queries import word_vocabulary
 
 from .conftest import SCHEMA, rows_of
@@ -294,6 +297,36 @@ def test_lm_floor_bounds_the_frequent_words(spark):
     assert count_floor(counts, 1000) == 1
 
 
+def test_lm_writes_no_files_on_its_way(spark, docs):
+    """Hadoop's local file system starts two processes for each file; they were counted as copies of the JVM's memory."""
+    root = new_path(spark, "x").rpartition("/")[0].removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert maxent.fit_and_score(docs).count() == len(rows_of())
+    assert (set(os.listdir(root)) if os.path.isdir(root) else set()) == before
+
+
+def test_lm_learns_from_what_a_table_holds_now(spark, tmp_path):
+    place, found = str(tmp_path / "documents"), []
+    for texts in (["a b", "c"], ["a a a", "b"], ["z"]):
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.mode("overwrite").parquet(place)
+        model, _ = maxent.fit(spark.read.parquet(place))
+        found.append((model.total, sorted(model.frequent)))
+    tokens = lambda texts: [w for i, t in enumerate(texts) if crc(i, 7) != 2 for w in [*t.encode().split(), None]]
+    assert found == [(len(t := tokens(x)), sorted(set(t) - {None})) for x in (["a b", "c"], ["a a a", "b"], ["z"])]
+
+
+def test_lm_scores_do_not_depend_on_the_order_of_a_reading(docs, monkeypatch):
+    """Texts that are computed again, as after the loss of an executor, may come in another order."""
+    monkeypatch.setattr(maxent, "FREQUENT", 5)
+    got = lambda table: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in maxent.fit_and_score(table).collect())
+    want = got(docs)
+    monkeypatch.setattr(maxent, "keep", lambda df: df)
+    anyhow = F.udf(lambda _: random.SystemRandom().random(), "double").asNondeterministic()
+    shuffled = got(docs.withColumn("at", anyhow("n_chars")).sortWithinPartitions("at").drop("at"))
+    assert [x[:4] for x in shuffled] == [x[:4] for x in want]
+    assert all(abs(a[4] - b[4]) < 0.05 for a, b in zip(shuffled, want, strict=True))
+
+
 def test_lm_on_nothing(no_docs):
     model, counts = maxent.fit(no_docs)
     assert maxent.score(no_docs, model, counts).count() == 0

@@ -11,6 +11,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept on the executors' local disks, for tables that are cheap to compute again: a lost executor costs its parts.
+
+    Unlike ``cut`` it writes no files through Hadoop, whose local file system starts two ``chmod`` processes for each.
+    Spark takes what it keeps for any equal plan, even where the input has changed since; the token makes each plan its own.
+    """
+    return df.where(F.lit(uuid.uuid4().hex).isNotNull()).persist(StorageLevel.DISK_ONLY)
+
+
 def map_batches(rows: DataFrame, run, schema) -> DataFrame:
     """``rows.mapInArrow(run, schema)`` in bounded memory.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, count_floor, cut, map_batches, segment_sums, slices, text_bytes
+from .common import WordTable, count_floor, keep, map_batches, segment_sums, slices, text_bytes
 
 #: Words whose counts are sent to every worker, at most, and the bytes of the longest of them; all others are joined.
 FREQUENT, FREQUENT_BYTES = 200_000, 64
@@ -278,8 +278,8 @@ def add_gradient(sums, visits, model: Model, key: np.ndarray, n: np.ndarray) ->
 
 
 def read(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per text, null ones as empty: doc_id, held_out, turn, part and nr (which tell rows apart), ids (the numbers of its words), and what the
-    frequent words give: known, base, log_other; rare has the words that are to be joined."""
+    """One row per text, null ones as empty: doc_id, held_out, turn, one and two (hashes of id and text), part and nr (which tell repeated rows apart within
+    a reading), ids (the numbers of its words), and what the frequent words give: known, base, log_other; rare has the words that are to be joined."""
 
     def run(batches):
         reader, number = Reader(model), 0
@@ -297,17 +297,19 @@ def read(docs: DataFrame, model: Model) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(reader.number[flat], pa.int32()))
                 nr = pa.array(np.arange(number, number + len(n)))
                 number += len(n)
-                cols = [*(part.column(c) for c in ("doc_id", "held_out", "turn", "part")), nr, ids, pa.array(known), pa.array(base), pa.array(segment_sums(other, lengths)), words]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "turn", "part", "nr", "ids", "known", "base", "log_other", "rare"])
+                cols = [*(part.column(c) for c in ("doc_id", "held_out", "turn", "one", "two", "part")), nr, ids, pa.array(known), pa.array(base), pa.array(segment_sums(other, lengths)), words]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "turn", "one", "two", "part", "nr", "ids", "known", "base", "log_other", "rare"])
 
     turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)).cast("int")
-    rows = docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out"), turn.alias("turn"), F.spark_partition_id().alias("part"))
+    whole = F.coalesce("text", F.lit(""))
+    one, two = F.xxhash64("doc_id", whole), F.xxhash64(whole, "doc_id")
+    rows = docs.select("doc_id", "text", (~is_training(F.col("doc_id"))).alias("held_out"), turn.alias("turn"), one.alias("one"), two.alias("two"), F.spark_partition_id().alias("part"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return cut(map_batches(rows, run, f"doc_id {kind}, held_out boolean, turn int, part int, nr long, ids array<int>, known long, base double, log_other double, rare array<binary>"), "lm-texts")
+    return keep(map_batches(rows, run, f"doc_id {kind}, held_out boolean, turn int, one long, two long, part int, nr long, ids array<int>, known long, base double, log_other double, rare array<binary>"))
 
 
 def train(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after one step for each round's texts (turn, ids; a written table).
+    """Weights after one step for each round's texts (turn, ids; a kept table).
 
     The driver holds the weights, some MB whatever the corpus, and gets their gradient, of that size, each round.
     """
@@ -374,7 +376,7 @@ def fit(docs: DataFrame, width: int = WIDTH) -> tuple[Model, DataFrame]:
 
 
 def _fitted(docs: DataFrame, width: int) -> tuple[Model, DataFrame, DataFrame]:
-    counts = cut(word_counts(docs), "lm-words")
+    counts = keep(word_counts(docs))
     model = vocabulary(counts, width)
     texts = read(docs, model)
     model.weights = train(texts.where("not held_out").select("turn", "ids"), model)
@@ -410,15 +412,18 @@ def _scored(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 key, place = np.unique(token_keys(flat[at : at + total], lengths[a:b], small.width**2), return_inverse=True)
                 at += total
                 scores = segment_sums((token_logs(small, key) / math.log(10))[place], n) + part.column("log_other").to_numpy()
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "part", "nr")), pa.array(n), part.column("known"), part.column("base"), pa.array(scores)], ["doc_id", "held_out", "part", "nr", "n_tokens", "known", "base", "log_p"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "one", "two")), pa.array(n), part.column("known"), part.column("base"), pa.array(scores)], ["doc_id", "held_out", "one", "two", "n_tokens", "known", "base", "log_p"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(texts.drop("turn", "rare"), run, f"doc_id {kind}, held_out boolean, part int, nr long, n_tokens long, known long, base double, log_p double")
-    rare = texts.select("part", "nr", F.explode("rare").alias("word"))
+    rows = map_batches(texts.drop("turn", "part", "nr", "rare"), run, f"doc_id {kind}, held_out boolean, one long, two long, n_tokens long, known long, base double, log_p double")
+    # kept texts may be computed again in another order, so places tell repeated rows apart only within one reading; rows meet by their hashes
+    place = F.shiftleft(F.col("part").cast("long"), 40).bitwiseOR(F.col("nr"))
+    rare = texts.select("one", "two", place.alias("place"), F.explode("rare").alias("word"))
     found = counts.where((F.col("c") < model.floor) | (F.length("word") > FREQUENT_BYTES)).where(F.col("word").isNotNull())
-    hits = rare.join(found, "word").groupBy("part", "nr").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
+    hits = rare.join(found, "word").groupBy("one", "two", "place").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
+    hits = hits.groupBy("one", "two").agg(F.max("more").alias("more"), F.max("logs").alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return rows.join(hits, ["part", "nr"], "left").select(
+    return rows.join(hits, ["one", "two"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("log_p") + logs).alias("score"),
     )
